@@ -6,20 +6,56 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from marginalia.llm.byte_bpe import encode_digests
 from marginalia.llm.jaccard_join import jaccard_join
+from marginalia.llm.mixing import mix
+from marginalia.llm.public_vocab import default_path
+from marginalia.llm.quality_rules import quality_rules
+from marginalia.llm.secret_scan import secret_scan
+from marginalia.llm.token_counts import token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document."""
+    return secret_scan(_table(spark, sf_dir, "documents"))
+
+
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and their decoding, as digests."""
+    return encode_digests(_table(spark, sf_dir, "documents"), default_path("byte_bpe_multi_50k.tiktoken"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mix of all documents by source weights."""
+    return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram token counts of every document."""
+    return token_counts(_table(spark, sf_dir, "documents"))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of documents by sets of 4-word shingles at a Jaccard similarity of 0.85."""
     out = jaccard_join(_table(spark, sf_dir, "documents"), k=4, num=85, den=100)
     return out.select("doc_id", "n_shingles", "component_id", "n_links")
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts, tokeniser fertility and verdict of every document."""
+    return quality_rules(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_secret_scans": op2_secret_scans,
+    "op4_byte_bpe": op4_byte_bpe,
+    "op5_mixing": op5_mixing,
+    "op6_token_counts": op6_token_counts,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
+    "op10_quality_rules": op10_quality_rules,
 }
 ORACLES: dict[str, str] = {}
