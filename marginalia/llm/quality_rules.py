@@ -16,6 +16,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -197,3 +198,20 @@ def quality_rules(docs: DataFrame, vocabulary: str | None = None, *, id_col: str
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return picked.mapInArrow(run, SCHEMA)
+
+
+def keep_good(docs: DataFrame, vocabulary: str | None = None, *, text_col: str = "text", min_words: int = 50) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns; no shuffle."""
+    path = vocabulary or default_path("piece_bpe_32k.model")
+
+    @F.pandas_udf("boolean")
+    def kept(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        table = worker_table(("quality_rules", path), lambda: TokenTable(_describe(path), 500_000))
+        for series in texts:
+            data, offsets = string_buffer(pa.array(series, pa.string()))
+            out = np.empty(len(series), bool)
+            for lo, hi in slices(offsets):
+                out[lo:hi] = _judge(table, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], min_words)["kept"]
+            yield pd.Series(out)
+
+    return docs.where(kept(F.col(text_col).cast("string")))
