@@ -126,6 +126,6 @@ def resample(docs: DataFrame, **options) -> DataFrame:
     mine = docs.withColumn("__size", size).withColumn("__id", F.col(id_col).cast("long")).withColumn("__source", F.col(source_col).cast("string"))
     same = Window.partitionBy("__id")
     mine = mine.withColumn("__n", F.row_number().over(same.orderBy("__size", "__source")))
-    plan = plan.select(F.col("doc_id").alias("__pid"), F.row_number().over(Window.partitionBy("doc_id").orderBy("size", "source", "copies")).alias("__pn"), "copies").where("copies > 0")
+    plan = plan.select(F.col("doc_id").alias("__pid"), F.row_number().over(Window.partitionBy("doc_id").orderBy("size", "source", "copies")).alias("__pn"), F.col("copies").alias("__copies")).where("__copies > 0")
     joined = mine.join(plan, mine["__id"].eqNullSafe(plan["__pid"]) & (mine["__n"] == plan["__pn"]))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[docs[c] for c in docs.columns])
+    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[docs[c] for c in docs.columns])

@@ -10,8 +10,8 @@ of base64, hex or url alphabets, with a part of 16 characters or more between hy
 and underscores that has both letters and digits, that begin within 64 characters
 after a sensitive name and touch no base span. The compressor is primed
 with a dictionary of identifiers; a candidate's novelty is the number of bytes it
-adds to the compressed surrounding text (200 characters on either side, other
-candidates left in). A string that the context or the dictionary already explains
+adds to the compressed surrounding text (200 characters on either side without its own
+copies, so a repeated secret does not explain itself). A string that the context or the dictionary already explains
 adds a few bytes; a candidate that adds 0.6 bytes a character or more is reported.
 
 Offsets are code points, ends exclusive. A null text is an empty one. Every row is
@@ -56,10 +56,11 @@ def _compressor() -> zstandard.ZstdCompressor:
 
 def novelty(text: str, start: int, end: int) -> float:
     """Compressed bytes that [start, end) adds to its surroundings, for each of its characters."""
-    left, right = text[max(0, start - MARGIN) : start], text[end : end + MARGIN]
+    own = text[start:end]
+    around = (text[max(0, start - MARGIN) : start] + text[end : end + MARGIN]).replace(own, "")
     size = _compressor()
-    without = len(size.compress((left + right).encode("utf-8", "surrogatepass")))
-    return (len(size.compress((left + right + "\n" + text[start:end]).encode("utf-8", "surrogatepass"))) - without) / (end - start)
+    without = len(size.compress(around.encode("utf-8", "surrogatepass")))
+    return (len(size.compress(f"{around}\n{own}".encode("utf-8", "surrogatepass"))) - without) / (end - start)
 
 
 def base_spans(text: str, lowered: str | None = None) -> list[tuple[int, int, str]]:
