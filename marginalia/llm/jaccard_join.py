@@ -41,12 +41,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm.textkernel import Docs, distinct_by_doc, mix, slices, string_buffer, window_hashes
+from marginalia.llm.words import release_tables
 from marginalia.plans.components import connected_components
 from marginalia.plans.scratch import materialize
 
 _U = np.uint64
 
 
+#: Bytes of text that are packed together into entries of blocks.
+ENTRY_SLICE = 4_000_000
+
+
 def least_overlap(n: np.ndarray, num: int, den: int) -> np.ndarray:
     return -(-num * n // den)
 
@@ -75,6 +80,7 @@ def _fingerprints(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, n
 
 def _rows_of(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_tables()
         for batch in batches:
             data, offsets = string_buffer(batch.column(1))
             for lo, hi in slices(offsets):
@@ -99,9 +105,10 @@ def _hot_entries(k: int, num: int, den: int, n_blocks: int):
     """(block, packed hashes): the first columns of all rows in the order of hashes alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_tables()
         for batch in batches:
             data, offsets = string_buffer(batch.column(0))
-            for lo, hi in slices(offsets, 8_000_000):
+            for lo, hi in slices(offsets, ENTRY_SLICE):
                 hashes, counts = _sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], k)
                 take = counts - least_overlap(counts, num, den) + prefix_bound(counts)
                 hashes = hashes[_firsts(hashes, counts, take + take // 8)]
@@ -128,10 +135,11 @@ def _product_entries(k: int, num: int, den: int, n_blocks: int, hot_list):
     """(block, rows, sizes, numbers, hashes): packed first columns of rows, by block of columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_tables()
         known = hot_list.value
         for batch in batches:
             data, offsets = string_buffer(batch.column(0))
-            for lo, hi in slices(offsets, 8_000_000):
+            for lo, hi in slices(offsets, ENTRY_SLICE):
                 hashes, counts = _sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], k)
                 uid, _ = _fingerprints(hashes, counts)
                 _, first = np.unique(uid, return_index=True)
@@ -307,7 +315,7 @@ def _exact(k: int, num: int, den: int):
 
 def jaccard_join(
     docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, *, id_col: str = "doc_id", text_col: str = "text",
-    hot: int = 32, max_hot: int = 262_144, wide: int = 48, entries_per_block: int = 2_000_000, rows_per_block: int = 192, bytes_per_group: int = 24_000_000,
+    hot: int = 32, max_hot: int = 262_144, wide: int = 48, entries_per_block: int = 1_000_000, rows_per_block: int = 192, bytes_per_group: int = 12_000_000,
 ) -> DataFrame:
     """``(doc_id, n_shingles, component_id, class_id, n_links)`` for every row of ``docs``.
 

@@ -189,7 +189,7 @@ def quality_rules(docs: DataFrame, vocabulary: str | None = None, *, id_col: str
     path = vocabulary or default_path("piece_bpe_32k.model")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = worker_table(("quality_rules", path), lambda: TokenTable(_describe(path), 500_000))
+        table = worker_table(("quality_rules", path), lambda: TokenTable(_describe(path), 400_000))
         for batch in batches:
             data, offsets = string_buffer(batch.column(1))
             for lo, hi in slices(offsets):
@@ -206,7 +206,7 @@ def keep_good(docs: DataFrame, vocabulary: str | None = None, *, text_col: str =
 
     @F.pandas_udf("boolean")
     def kept(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        table = worker_table(("quality_rules", path), lambda: TokenTable(_describe(path), 500_000))
+        table = worker_table(("quality_rules", path), lambda: TokenTable(_describe(path), 400_000))
         for series in texts:
             data, offsets = string_buffer(pa.array(series, pa.string()))
             out = np.empty(len(series), bool)

@@ -73,6 +73,11 @@ def worker_table(key: tuple, make: Callable[[], WordTable]) -> WordTable:
     return _TABLES[key]
 
 
+def release_tables() -> None:
+    """Drop the worker's tables: for operators that need the memory for something else."""
+    _TABLES.clear()
+
+
 def split_slices(batch: pa.RecordBatch, text: int, limit: int = 2_000_000) -> Iterator[tuple[int, int, list[bytes], np.ndarray]]:
     """Slices [lo, hi) of a batch with their words, document by document, and word counts."""
     data, offsets = string_buffer(batch.column(text))
