@@ -7,8 +7,9 @@ words (runs of letters, lower-cased). The posterior with equal priors decides, t
 the language that sorts first.
 
 Fit: piece probabilities are estimated by expectation-maximisation over the counts of
-words of at most ``max_docs`` texts a language (smallest hashes of the id) and at most
-``max_words`` distinct words a language: a bounded sample of labelled rows. Counts are
+words of at most ``max_docs`` texts a language (smallest hashes of the id), ``max_rows``
+in all, and at most ``max_words`` distinct words a language: a bounded sample of
+labelled rows. Counts are
 smoothed towards the mean of all languages. A letter without a piece has one fixed
 probability in all languages. A word of over 64 letters is scored in parts of 64.
 
@@ -178,13 +179,13 @@ class PieceModel:
         return sum_by_doc(likelihood, numbers).astype(np.float32), numbers
 
 
-def fit_language_id(docs: DataFrame, vocabulary: str | None = None, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = 400, max_words: int = 20_000) -> PieceModel:
+def fit_language_id(docs: DataFrame, vocabulary: str | None = None, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = 400, max_words: int = 20_000, max_rows: int = 25_600) -> PieceModel:
     """Fit on a bounded sample of ``docs``. Filter ``docs`` to hold rows out."""
     path = vocabulary or default_path("piece_bpe_32k.model")
     known = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    chosen = known.select("id", "lang").withColumn("n", rank).where(F.col("n") <= max_docs).select("id", "lang").distinct()
-    sample = known.join(chosen, ["id", "lang"])
+    chosen = known.select("id", "lang").withColumn("n", rank).where(F.col("n") <= max_docs).orderBy("n", "lang", "id").limit(max_rows).select("id", "lang").distinct()
+    sample = known.join(F.broadcast(chosen), ["id", "lang"])  # at most max_rows ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
