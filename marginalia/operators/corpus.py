@@ -40,10 +40,10 @@ def select_sources(manifest: DataFrame, only: list[str]) -> DataFrame:
 
 def set_difference(expected: DataFrame, parsed: DataFrame, key: str) -> DataFrame:
     """(key, problem): missing, unexpected and duplicated labels (5.27)."""
-    e, p = expected.select(key).distinct(), parsed.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    e, p = expected.select(key).distinct(), parsed.groupBy(key).agg(F.count(F.lit(1)).alias("__count"))
     missing = e.join(p, key, "left_anti").select(key, F.lit("missing").alias("problem"))
     extra = p.join(e, key, "left_anti").select(key, F.lit("unexpected").alias("problem"))
-    return missing.unionByName(extra).unionByName(p.where("n > 1").select(key, F.lit("duplicated").alias("problem")))
+    return missing.unionByName(extra).unionByName(p.where("__count > 1").select(key, F.lit("duplicated").alias("problem")))
 
 
 def multiset_difference(expected: DataFrame, parsed: DataFrame, key: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions import numbers, paths, text
-from marginalia.operators import cites, corpus, evaluation, fusion, graph, retrieval, stats
+from marginalia.operators import agent, cites, corpus, evaluation, fusion, graph, parse, retrieval, stats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -633,3 +633,22 @@ def session_memory_batch(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda s: s["text"]), " ")
     return c.groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), joined.alias("s")).select("conv_id", "turns", text.cap_summary(F.col("s")).alias("summary"))
+
+
+@query()
+def prose_parse_nodes(spark, sf_dir):
+    """2.3, 2.11: every page as a tree of nodes."""
+    pages = table(spark, sf_dir, "pages").select(F.concat(F.lit("page-"), F.col("page_id")).alias("document_id"), F.lit("").alias("title"), F.lit("prose").alias("family"), "html")
+    return parse.parse_documents(pages)
+
+
+@query()
+def hierarchy_chunks(spark, sf_dir):
+    """11.1-11.3, 9.20: chunks of the parsed pages with their paths in front."""
+    return parse.chunks(prose_parse_nodes(spark, sf_dir), "hierarchy")
+
+
+@query()
+def bounded_agent_loop(spark, sf_dir):
+    """11.17-11.25 with scripted seams: every benchmark passage as a question."""
+    return agent.run_agent(questions(spark, sf_dir), chunks(spark, sf_dir).select("id", "text"))
