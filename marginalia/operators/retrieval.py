@@ -7,6 +7,7 @@ texts tie and ties go to the smaller id wherever the sums were added up.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +19,7 @@ from marginalia.functions.numbers import idf
 from marginalia.functions.text import tokens, trigrams
 
 DIGITS = 6
+_NOT_TOKEN = re.compile("[^a-z0-9]+")
 
 
 def top_k(scored: DataFrame, k: int | None, by: str = "query_id") -> DataFrame:
@@ -56,8 +58,60 @@ def gram_counts(table: DataFrame, key: str) -> DataFrame:
     return rows.join(norms, key)
 
 
-def trigram_cosine(corpus: DataFrame, queries: DataFrame, k: int | None = 8) -> DataFrame:
-    """Positive cosines of trigram bags, best first (7.7, 10.10)."""
+def _gram_codes(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct trigrams as numbers, with their counts; shorter strings have numbers of their own."""
+    joined = " ".join(t for t in _NOT_TOKEN.split((text or "").lower()) if t).encode()
+    raw = np.frombuffer(joined, np.uint8).astype(np.int64)
+    if len(raw) == 0:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    if len(raw) < 3:
+        return np.array([int.from_bytes(joined, "big")]), np.array([1])
+    return np.unique(raw[:-2] << 16 | raw[1:-1] << 8 | raw[2:], return_counts=True)
+
+
+def trigram_cosine(corpus: DataFrame, queries: DataFrame, k: int | None = 8, max_queries: int = 1024) -> DataFrame:
+    """Positive cosines of trigram bags, best first (7.7, 10.10).
+
+    Up to ``max_queries`` queries (counted first) are a matrix of grams by queries that every
+    task holds; the corpus passes once and nothing but each slice's best rows is shuffled.
+    More queries, or all ranks (``k`` None), are joined on grams instead.
+    """
+    asked = queries.select("query_id", F.col("text").cast("string")).limit(max_queries + 1).collect() if k is not None else []
+    if k is None or len(asked) > max_queries:
+        return trigram_cosine_joined(corpus, queries, k)
+    bags = [_gram_codes(r.text) for r in asked]
+    grams = np.unique(np.concatenate([b[0] for b in bags] or [np.empty(0, np.int64)]))
+    matrix = np.zeros((len(grams), len(asked)), np.float32)
+    for q, (codes, counts) in enumerate(bags):
+        matrix[np.searchsorted(grams, codes), q] = counts
+    norms = np.array([np.sqrt(float((c * c).sum())) for _, c in bags])
+    kinds = {c: f.schema[c].dataType.simpleString() for f, c in ((corpus, "id"), (queries, "query_id"))}
+    names = pa.array([r.query_id for r in asked], pa.int64() if kinds["query_id"] == "bigint" else pa.int32() if kinds["query_id"] == "int" else pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                score = np.zeros((part.num_rows, len(norms)))
+                for i, text in enumerate(part.column(1).to_pylist()):
+                    codes, counts = _gram_codes(text)
+                    place = np.searchsorted(grams, codes)
+                    known = place < len(grams)
+                    known[known] = grams[place[known]] == codes[known]
+                    if known.any():
+                        dots = counts[known].astype(np.float32) @ matrix[place[known]]
+                        score[i] = dots / np.maximum(norms * np.sqrt(float((counts * counts).sum())), 1e-300)
+                score = np.round(score, DIGITS)
+                least = np.partition(score, -k, axis=0)[-k] if part.num_rows > k else np.zeros(len(norms))
+                row, q = np.nonzero((score > 0) & (score >= least))  # ties at the cut stay: ids decide later
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), part.column(0).take(pa.array(row)), pa.array(score[row, q])], ["query_id", "id", "score"])
+
+    found = corpus.select("id", F.col("text").cast("string")).mapInArrow(run, f"query_id {kinds['query_id']}, id {kinds['id']}, score double")
+    return top_k(found, k)
+
+
+def trigram_cosine_joined(corpus: DataFrame, queries: DataFrame, k: int | None = 8) -> DataFrame:
+    """The same by a join on grams, for any number of queries."""
     a, q = gram_counts(corpus, "id"), gram_counts(queries, "query_id").withColumnsRenamed({"n": "qn", "norm": "qnorm"})
     dots = a.join(q, "gram").groupBy("query_id", "id").agg(F.sum(F.col("n") * F.col("qn")).alias("dot"), F.first("norm").alias("norm"), F.first("qnorm").alias("qnorm"))
     scored = dots.select("query_id", "id", F.round(F.col("dot") / (F.col("norm") * F.col("qnorm")), DIGITS).alias("score")).where("score > 0")

@@ -46,6 +46,15 @@ def test_bm25(spark):
     assert {(r.query_id, r.id): r.score for r in out} == {(1, "a"): score["a"], (1, "b"): score["b"]}
 
 
+def test_trigram_paths_agree(spark):
+    rng = random.Random(4)
+    docs = [(i, " ".join(rng.choice(["rent", "Deposit", "of", "a", "unit", "éa"]) for _ in range(rng.randint(0, 9)))) for i in range(60)] + [(90, None), (91, ""), (92, "ab"), (93, "rent"), (94, "rent")]
+    asked = [(1, "rent deposit"), (2, "ab"), (3, ""), (4, None), (5, "rent")]
+    corpus_, queries = frame(spark, docs, "id long, text string"), frame(spark, asked, "query_id int, text string")
+    key = lambda df: sorted((r.query_id, r.rank, r.id, r.score) for r in df.collect())
+    assert key(retrieval.trigram_cosine(corpus_, queries, 5)) == key(retrieval.trigram_cosine_joined(corpus_, queries, 5)) == key(retrieval.trigram_cosine(corpus_, queries, 5, max_queries=2))
+
+
 def test_rrf(spark):
     rows = [(1, "vector", "x", 1), (1, "vector", "y", 2), (1, "bm25", "z", 1), (1, "bm25", "y", 2), (1, "bm25", "x", 3)]
     out = {r.id: r for r in fusion.rrf(frame(spark, rows, "query_id int, stage string, id string, rank int")).collect()}
