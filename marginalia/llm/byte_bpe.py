@@ -19,7 +19,6 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -31,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm.public_vocab import default_path, rank_file
+from marginalia.llm.words import worker_table
 
 # Letters, numbers and white space below U+0250.
 _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
@@ -156,7 +156,7 @@ class _Memo(dict):
 class Codec:
     """Encoder and decoder of one vocabulary, with a bounded memo of pre-tokens."""
 
-    def __init__(self, path: str, capacity: int = 350_000):
+    def __init__(self, path: str, capacity: int = 250_000):
         self.ranks = rank_file(path)
         self.whole = PerfectHash(self.ranks)
         self.token = {rank: token for token, rank in self.ranks.items()}
@@ -174,10 +174,9 @@ class Codec:
         return b"".join(map(self.token.__getitem__, ids))
 
 
-@lru_cache(maxsize=1)
 def codec(path: str) -> Codec:
     """The worker's codec."""
-    return Codec(path)
+    return worker_table(("byte_bpe", path), lambda: Codec(path))
 
 
 def _encoder(path: str, columns: list[str], digests: bool):

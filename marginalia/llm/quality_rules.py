@@ -16,7 +16,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +24,8 @@ from marginalia.llm.public_vocab import default_path, piece_model, pieces
 from marginalia.llm.textkernel import Docs, range_hashes, slices, string_buffer, window_hashes
 from marginalia.llm.words import WordTable, sum_by_doc, worker_table
 
+#: Distinct words that a worker keeps.
+CAPACITY = 300_000
 SYMBOLS = b"#*$%&|<>"
 # Scripts, told by the first byte of a letter's UTF-8 form.
 SCRIPTS = ["latin", "greek", "cyrillic", "semitic", "indic", "han_kana", "hangul", "other"]
@@ -189,7 +190,7 @@ def quality_rules(docs: DataFrame, vocabulary: str | None = None, *, id_col: str
     path = vocabulary or default_path("piece_bpe_32k.model")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = worker_table(("quality_rules", path), lambda: TokenTable(_describe(path), 400_000))
+        table = worker_table(("quality_rules", path), lambda: TokenTable(_describe(path), CAPACITY))
         for batch in batches:
             data, offsets = string_buffer(batch.column(1))
             for lo, hi in slices(offsets):
@@ -204,14 +205,15 @@ def keep_good(docs: DataFrame, vocabulary: str | None = None, *, text_col: str =
     """The rows of ``docs`` that are kept, with all their columns; no shuffle."""
     path = vocabulary or default_path("piece_bpe_32k.model")
 
-    @F.pandas_udf("boolean")
-    def kept(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        table = worker_table(("quality_rules", path), lambda: TokenTable(_describe(path), 400_000))
-        for series in texts:
-            data, offsets = string_buffer(pa.array(series, pa.string()))
-            out = np.empty(len(series), bool)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = worker_table(("quality_rules", path), lambda: TokenTable(_describe(path), CAPACITY))
+        for batch in batches:
+            data, offsets = string_buffer(batch.column(at))
+            kept = np.empty(batch.num_rows, bool)
             for lo, hi in slices(offsets):
-                out[lo:hi] = _judge(table, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], min_words)["kept"]
-            yield pd.Series(out)
+                kept[lo:hi] = _judge(table, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], min_words)["kept"]
+            yield batch.filter(pa.array(kept))
 
-    return docs.where(kept(F.col(text_col).cast("string")))
+    return docs.mapInArrow(run, docs.schema)

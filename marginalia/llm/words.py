@@ -60,15 +60,14 @@ class WordTable:
         self.used += n
 
 
-#: One table for each (operator, parameters) of this worker.
-_TABLES: dict[tuple, WordTable] = {}
+#: What this worker keeps from batch to batch and task to task: the tables of one operator.
+_TABLES: dict[tuple, object] = {}
 
 
-def worker_table(key: tuple, make: Callable[[], WordTable]) -> WordTable:
-    """The worker's table of this key; tables of earlier models are dropped."""
+def worker_table(key: tuple, make: Callable[[], object]):
+    """The worker's table of this key. Tables of other operators or models are dropped first."""
     if key not in _TABLES:
-        for old in [k for k in _TABLES if k[0] == key[0]]:
-            del _TABLES[old]
+        release_tables()
         _TABLES[key] = make()
     return _TABLES[key]
 
