@@ -329,13 +329,13 @@ def rescue_stats(spark, sf_dir):
 
 
 @query("""WITH c AS (SELECT l_orderkey AS id, l_linenumber AS n, list(l_partkey ORDER BY l_partkey) AS cites FROM lineitem GROUP BY ALL), x AS (SELECT id, n, unnest(cites) AS cite FROM c)
-  SELECT id, n, cite::VARCHAR AS cite FROM x WHERE cite % 4 <> 0""")
+  SELECT id, n, cite::VARCHAR AS cite FROM x WHERE EXISTS (SELECT 1 FROM lineitem AS l WHERE l.l_orderkey = x.id AND l.l_partkey = x.cite AND l.l_returnflag <> 'R')""")
 def claim_clamp(spark, sf_dir):
     """3.26, 10.24: cites of claims that were not retrieved drop out."""
-    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("part"))
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("part"), "l_returnflag")
     claim = li.groupBy("id", "n").agg(F.collect_list(F.col("part").cast("string")).alias("cites"))
     claims = claim.groupBy("id").agg(F.collect_list(F.struct(F.col("n").cast("string").alias("text"), "cites")).alias("claims"))
-    allowed = li.where("part % 4 <> 0").select("id", F.col("part").cast("string").alias("key"))
+    allowed = li.where("l_returnflag <> 'R'").select("id", F.col("part").cast("string").alias("key"))
     flat = cites.clamp_claims(claims, allowed).select("id", F.explode("claims").alias("c"))
     return flat.select("id", F.col("c.text").cast("int").alias("n"), F.explode("c.cites").alias("cite"))
 
@@ -425,10 +425,10 @@ def preflight_anti(spark, sf_dir):
     return evaluation.undispositioned(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("object_id")), li, ["A", "R"])
 
 
-@query("""SELECT trace_id, name, value FROM (SELECT event_id AS trace_id, value AS raw, (value > 50)::INT::DOUBLE AS passed FROM events WHERE event_id % 5 <> 0) UNPIVOT (value FOR name IN (raw, passed))""")
+@query("""SELECT trace_id, name, value FROM (SELECT event_id AS trace_id, value AS raw, (value > 50)::INT::DOUBLE AS passed FROM events WHERE value >= 10) UNPIVOT (value FOR name IN (raw, passed))""")
 def score_sink_long(spark, sf_dir):
     """1.30: scores as long rows, untraced ones dropped."""
-    e = table(spark, sf_dir, "events").select(F.when(F.col("event_id") % 5 != 0, F.col("event_id")).alias("trace_id"), F.col("value").alias("raw"), (F.col("value") > 50).alias("passed"))
+    e = table(spark, sf_dir, "events").select(F.when(F.col("value") >= 10, F.col("event_id")).alias("trace_id"), F.col("value").alias("raw"), (F.col("value") > 50).alias("passed"))
     return evaluation.long_scores(e.withColumn("passed", F.col("passed").cast("int")), ["raw", "passed"])
 
 
@@ -519,7 +519,7 @@ def redundancy_findings(spark, sf_dir):
 # --- graph, corpus, scalar functions ---------------------------------------------------------------
 
 
-@query("""WITH seeds AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 97 = 0),
+@query("""WITH seeds AS (SELECT o_orderkey AS k FROM orders WHERE o_orderstatus = 'P'),
   e AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS pos, l_orderkey AS a, l_partkey + 10000000 AS b FROM lineitem),
   both_ AS (SELECT pos, 0 AS turn, a AS via, b AS key FROM e UNION ALL SELECT pos, 1, b, a FROM e),
   o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY pos, turn) AS n FROM both_ WHERE via IN (SELECT k FROM seeds) AND key NOT IN (SELECT k FROM seeds) AND key IN (SELECT p_partkey + 10000000 FROM part WHERE p_size > 5))
@@ -529,7 +529,7 @@ def graph_expand_one_hop(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     pos = F.row_number().over(Window.orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")).cast("long")
     edges = li.select(pos.alias("edge_pos"), F.col("l_orderkey").alias("source"), (F.col("l_partkey") + 10000000).alias("target"))
-    seeds = table(spark, sf_dir, "orders").where("o_orderkey % 97 = 0").select(F.col("o_orderkey").alias("key"))
+    seeds = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("key"))
     parts = table(spark, sf_dir, "part").where("p_size > 5").select((F.col("p_partkey") + 10000000).alias("key"))
     return graph.expand_one_hop(seeds, edges, parts)
 
@@ -567,13 +567,13 @@ def coverage_gaps(spark, sf_dir):
     return corpus.coverage(parts, docs)
 
 
-@query("""WITH m AS (SELECT page_id::VARCHAR AS id, CASE WHEN page_id % 10 = 0 THEN sha256('x') ELSE sha256(html) END AS sha, strlen(html) AS bytes FROM pages), a AS (SELECT page_id::VARCHAR AS id, sha256(html) AS found FROM pages WHERE page_id % 7 <> 0)
+@query("""WITH m AS (SELECT page_id::VARCHAR AS id, CASE WHEN page_id % 10 = 0 THEN sha256('x') ELSE sha256(html) END AS sha, strlen(html) AS bytes FROM pages), a AS (SELECT page_id::VARCHAR AS id, sha256(html) AS found FROM pages WHERE starts_with(url, 'https:'))
   SELECT id, CASE WHEN found IS NULL THEN 'error' WHEN found = sha THEN 'ok' ELSE 'mismatch' END AS status FROM m LEFT JOIN a USING (id)""")
 def manifest_verify(spark, sf_dir):
     """12.15, 10.1: some digests are wrong, some sources missing."""
-    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("n"), F.col("page_id").cast("string").alias("id"), "html")
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("n"), F.col("page_id").cast("string").alias("id"), "url", "html")
     manifest = pages.select("id", F.when(F.col("n") % 10 == 0, F.sha2(F.lit("x"), 256)).otherwise(F.sha2("html", 256)).alias("sha256"), F.octet_length("html").alias("bytes"))
-    return corpus.verify_manifest(manifest, pages.where("n % 7 <> 0").select("id", F.encode("html", "UTF-8").alias("content"))).select("id", "status")
+    return corpus.verify_manifest(manifest, pages.where("startswith(url, 'https:')").select("id", F.encode("html", "UTF-8").alias("content"))).select("id", "status")
 
 
 @query("""WITH d AS (SELECT source, doc_id, sha256(text) AS h FROM documents) SELECT source, count(*) AS n, sha256(string_agg(doc_id || ':' || h, chr(10) ORDER BY doc_id)) AS digest FROM d GROUP BY source""")
