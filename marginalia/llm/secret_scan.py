@@ -7,8 +7,11 @@ case, ASCII only.
 
 ``novel`` spans are added by measuring. Candidates are runs of 16 or more characters
 of base64, hex or url alphabets, with a part of 16 characters or more between hyphens
-and underscores that has both letters and digits, that begin within 64 characters
-after a sensitive name and touch no base span. The compressor is primed
+and underscores that has both letters and digits, in sensitive context, that touch no
+base span. Runs that follow one another with at most 64 characters between them (lines of
+a key block, items of a list) are a chain; a chain is in sensitive context as a whole where
+one of its runs lies within 64 characters of a sensitive name, before or after it. Of a run
+that holds a name and is not novel as a whole, the parts between names are measured. The compressor is primed
 with a dictionary of identifiers; a candidate's novelty is the number of bytes it
 adds to the compressed surrounding text (200 characters on either side without its own
 copies, so a repeated secret does not explain itself). A string that the context or the dictionary already explains
@@ -22,8 +25,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 import zstandard
@@ -75,22 +80,43 @@ def base_spans(text: str, lowered: str | None = None) -> list[tuple[int, int, st
     return [(s, e, KINDS[k]) for s, e, k in sorted(found, key=lambda x: (x[0], x[2], x[1]))]
 
 
+def _candidates(text: str) -> list[tuple[int, int, list[tuple[int, int]]]]:
+    """(start, end, names inside) of the runs of chains that lie near a sensitive name."""
+    names = [m.span() for m in _SENSITIVE.finditer(text)]
+    starts, ends = [s for s, _ in names], [e for _, e in names]
+    found, chain, near = [], [], False
+    for m in _CANDIDATE.finditer(text):
+        if chain and m.start() > chain[-1][1] + REACH:
+            found += chain if near else []
+            chain, near = [], False
+        inside = names[bisect_left(starts, m.start()) : bisect_left(starts, m.end())]
+        chain.append((m.start(), m.end(), [n for n in inside if n[1] <= m.end()]))
+        first = bisect_left(ends, m.start() - REACH)
+        near = near or (first < len(names) and starts[first] <= m.end() + REACH)
+    return found + (chain if near else [])
+
+
 def novel_spans(text: str, base: list[tuple[int, int, str]], lowered: str | None = None) -> list[tuple[int, int, str]]:
     """Incompressible strings in sensitive context that touch no base span."""
     lowered = text.lower() if lowered is None else lowered
     if not any(name in lowered for name in _NAMES):
         return []
-    found, last = [], 0
-    for name in _SENSITIVE.finditer(text):
-        for m in _CANDIDATE.finditer(text, max(last, name.end()), len(text)):
-            if m.start() > name.end() + REACH:
-                break
-            last = m.end()
-            part = max(re.split("[-_=]", m.group()), key=len)
-            if len(part) < 16 or part.isalpha() or part.isdigit():
-                continue
-            if all(m.end() <= s or m.start() >= e for s, e, _ in base) and novelty(text, m.start(), m.end()) >= LEAST_NOVELTY:
-                found.append((m.start(), m.end(), "novel"))
+    starts, upto = [s for s, _, _ in base], list(accumulate((e for _, e, _ in base), max))
+
+    def is_novel(start: int, end: int) -> bool:
+        part = max(re.split("[-_=]", text[start:end]), key=len)
+        if len(part) < 16 or part.isalpha() or part.isdigit():
+            return False
+        before = bisect_left(starts, end)
+        return (not before or upto[before - 1] <= start) and novelty(text, start, end) >= LEAST_NOVELTY
+
+    found = []
+    for start, end, names in _candidates(text):
+        if is_novel(start, end):
+            found.append((start, end, "novel"))
+        elif names:
+            edges = [start, *(x for name in names for x in name), end]
+            found += [(s, e, "novel") for s, e in zip(edges[::2], edges[1::2], strict=True) if e - s >= 16 and is_novel(s, e)]
     return found
 
 
