@@ -6,16 +6,17 @@ Base kinds, leftmost matches that do not overlap others of their kind: ``assign`
 case, ASCII only.
 
 ``novel`` spans are added by measuring. Candidates are runs of 16 or more characters
-of base64, hex or url alphabets, with a part of 16 characters or more between hyphens
-and underscores that has both letters and digits, in sensitive context, that touch no
-base span. Runs that follow one another with at most 64 characters between them (lines of
-a key block, items of a list) are a chain; a chain is in sensitive context as a whole where
-one of its runs lies within 64 characters of a sensitive name, before or after it. Of a run
-that holds a name and is not novel as a whole, the parts between names are measured. The compressor is primed
-with a dictionary of identifiers; a candidate's novelty is the number of bytes it
-adds to the compressed surrounding text (200 characters on either side without its own
-copies, so a repeated secret does not explain itself). A string that the context or the dictionary already explains
-adds a few bytes; a candidate that adds 0.6 bytes a character or more is reported.
+of base64, hex or url alphabets, whatever their shape, in sensitive context, that touch
+no base span. Runs that follow one another with at most 64 characters between them (lines
+of a key block, items of a list) are a chain; a chain is in sensitive context as a whole
+where one of its runs lies within 64 characters of a sensitive name, before or after it.
+Of a run that holds a name and is not novel as a whole, the parts between names are
+measured. The compressor is primed with a dictionary of identifiers and of the words of a
+public vocabulary; a candidate's novelty is the number of bytes it adds to the compressed
+surrounding text (ordinary prose, for its letter frequencies, and 200 characters on either
+side without its own copies, so a repeated secret does not explain itself). A string that
+the context or the dictionary already explains adds a few bytes; a candidate that adds
+0.6 bytes a character or more is reported.
 
 Offsets are code points, ends exclusive. A null text is an empty one. Every row is
 returned.
@@ -28,13 +29,15 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate
+from itertools import accumulate, islice
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marginalia.llm.public_vocab import default_path, rank_file
+
 KINDS = ["assign", "access", "hex", "novel"]
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -42,7 +45,8 @@ _HEX = re.compile(r"[0-9a-f]{32,}")  # a run is always taken whole, so shorter r
 _NAMES = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "api-key", "api key", "access_key", "access-key", "accesskey", "auth", "bearer", "credential", "private")
 _SENSITIVE = re.compile("|".join(_NAMES), re.ASCII | re.IGNORECASE)
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-REACH, MARGIN, LEAST_NOVELTY = 64, 200, 0.6
+_WORD = re.compile("[a-zà-ÿ]{4,}")
+REACH, MARGIN, LEAST_NOVELTY, LEVEL = 64, 200, 0.6, 19
 # Identifiers that prime the compressor.
 IDENTIFIERS = (
     "password passwd secret token api_key apikey access_key private_key client_secret client_id authorization bearer basic credential username user email host hostname port database "
@@ -51,18 +55,31 @@ IDENTIFIERS = (
     "function return import export const static public class def self this null none true false string number integer boolean object array version release build commit branch master main "
     "sha256 sha512 base64 encode decode encrypt decrypt signature certificate BEGIN END PUBLIC PRIVATE KEY rsa id uuid timestamp created_at updated_at get set create update delete select insert"
 )
+# Text that gives the compressor the letter frequencies of prose where the surroundings are short.
+ORDINARY = (
+    "It rained all week, so she read her book by the window; he wrote letters home. Im Garten blühten Rosen, niemand kam vorbei. Le chat dort encore sous la vieille table. "
+    "Los niños juegan cerca del río. Go to step-by-step notes, see my_file_name or someValueHere, e.g. one-off or up-to-date text.\n"
+)
+
+
+def _dictionary() -> bytes:
+    """Identifiers, and before them the longer words of a public vocabulary, common ones last: as in slugs, and with capitals."""
+    ranked = (t.decode("utf-8", "ignore").strip().lower() for t in islice(rank_file(default_path("byte_bpe_multi_50k.tiktoken")), 20_000))
+    words = [t for t in dict.fromkeys(ranked) if _WORD.fullmatch(t)][::-1]
+    return ("".join(w.title() for w in words[-8000:]) + "-".join(words) + IDENTIFIERS).encode()
 
 
 @lru_cache(maxsize=1)
 def _compressor() -> zstandard.ZstdCompressor:
-    primed = zstandard.ZstdCompressionDict(IDENTIFIERS.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    return zstandard.ZstdCompressor(level=6, dict_data=primed, write_checksum=False, write_content_size=False, write_dict_id=False)
+    primed = zstandard.ZstdCompressionDict(_dictionary(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    primed.precompute_compress(level=LEVEL)
+    return zstandard.ZstdCompressor(level=LEVEL, dict_data=primed, write_checksum=False, write_content_size=False, write_dict_id=False)
 
 
 def novelty(text: str, start: int, end: int) -> float:
     """Compressed bytes that [start, end) adds to its surroundings, for each of its characters."""
     own = text[start:end]
-    around = (text[max(0, start - MARGIN) : start] + text[end : end + MARGIN]).replace(own, "")
+    around = ORDINARY + (text[max(0, start - MARGIN) : start] + text[end : end + MARGIN]).replace(own, "")
     size = _compressor()
     without = len(size.compress(around.encode("utf-8", "surrogatepass")))
     return (len(size.compress(f"{around}\n{own}".encode("utf-8", "surrogatepass"))) - without) / (end - start)
@@ -104,9 +121,6 @@ def novel_spans(text: str, base: list[tuple[int, int, str]], lowered: str | None
     starts, upto = [s for s, _, _ in base], list(accumulate((e for _, e, _ in base), max))
 
     def is_novel(start: int, end: int) -> bool:
-        part = max(re.split("[-_=]", text[start:end]), key=len)
-        if len(part) < 16 or part.isalpha() or part.isdigit():
-            return False
         before = bisect_left(starts, end)
         return (not before or upto[before - 1] <= start) and novelty(text, start, end) >= LEAST_NOVELTY
 

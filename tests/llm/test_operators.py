@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import string
+import uuid
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -182,6 +183,18 @@ def test_secrets_on_both_sides_and_in_chains():
         assert redacted(text) == text
 
 
+def test_secrets_of_any_shape():
+    """Random keys are told from words and slugs by their compressed bytes alone."""
+    r, url = random.Random(13), string.ascii_letters + string.digits + "-_"
+    keys = [str(uuid.UUID(int=r.getrandbits(128), version=4)) for _ in range(50)]
+    keys += [random_text(a, n, r) for a, n in ((string.ascii_letters, 24), (string.ascii_letters, 64), (string.ascii_uppercase, 32), (url, 22), (url, 32), (url, 43), ("0123456789", 32)) for _ in range(50)]
+    for around in ("the api key: {} ok", "We met in the spring to talk about roads and schools. The bearer of this is\n{}\nand nothing else was said that day."):
+        missed = [k for k in keys if redacted(around.format(k)) != around.format("[SECRET]")]
+        assert missed == []
+        for word in ("how-to-configure-the-database-connection", "internationalization", "responsibilities", "environment_variables", "authentication-documentation", "-" * 40, "x" * 30):
+            assert redacted(around.format(word)) == around.format(word)
+
+
 def test_mixing(spark, docs, texts, empty):
     rows = mixing.mix(docs).collect()
     assert len(rows) == len(texts) and {r.doc_id for r in rows} == set(range(len(texts)))
