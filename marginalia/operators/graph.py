@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import batched
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.operators.fusion import first_seen
+from marginalia.plans.scratch import materialize
 
 
 def expand_one_hop(seeds: DataFrame, edges: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -38,15 +42,24 @@ def definitions_of_documents(definitions: DataFrame, candidates: DataFrame) -> D
     return first_seen(mine.withColumn("pos", -F.col("doc_pos")), ["term"])
 
 
-def attach_definitions(definitions: DataFrame, texts: DataFrame, max_terms: int = 50_000) -> DataFrame:
+def attach_definitions(definitions: DataFrame, texts: DataFrame, max_terms: int | None = None, block: int = 50_000) -> DataFrame:
     """Terms that occur in a text, ignoring case (4.6): (id, term).
 
-    The terms are a dictionary of checked size that every task holds as an automaton; it
-    reads each text once, whatever the number of terms.
+    Up to ``block`` terms are a dictionary that every task holds as an automaton; it reads each
+    text once, whatever the number of terms. More terms are dealt to blocks with a pass each, of
+    which the driver holds one at a time. More than ``max_terms``, where stated, are an error.
     """
-    terms = [r.term for r in definitions.select("term").where("term is not null and term <> ''").distinct().limit(max_terms + 1).collect()]
-    if len(terms) > max_terms:
+    asked = definitions.select("term").where("term is not null and term <> ''").distinct()
+    if max_terms is not None and len(asked.limit(max_terms + 1).collect()) > max_terms:
         raise ValueError(f"more than {max_terms} terms")
+    rows = asked.limit(block + 1).collect()
+    if len(rows) <= block:
+        return _attach_block([r.term for r in rows], texts)
+    return reduce(DataFrame.unionByName, [materialize(_attach_block([r.term for r in part], texts)) for part in batched(asked.toLocalIterator(), block)])
+
+
+def _attach_block(terms: list[str], texts: DataFrame) -> DataFrame:
+    """One pass for terms that a task can hold."""
 
     def run(batches):
         import ahocorasick

@@ -8,17 +8,21 @@ texts tie and ties go to the smaller id wherever the sums were added up.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import reduce
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions.numbers import idf
 from marginalia.functions.text import tokens, trigrams
+from marginalia.plans.scratch import materialize
 
 DIGITS = 6
+CELLS = 1 << 20  # of a matrix of queries by rows at a time
 _NOT_TOKEN = re.compile("[^a-z0-9]+")
 
 
@@ -119,35 +123,47 @@ def trigram_cosine_joined(corpus: DataFrame, queries: DataFrame, k: int | None =
 
 
 def vector_cosine(vectors: DataFrame, queries: DataFrame, k: int = 8, max_queries: int = 4096, keep_self: bool = True) -> DataFrame:
-    """Exact cosine top-k (7.5): one pass over ``vectors(id, vector)`` for a stated set of query vectors.
+    """Exact cosine top-k (7.5): one pass over ``vectors(id, vector)`` for each block of ``max_queries`` query vectors.
 
-    At most ``max_queries`` queries (checked), which every task holds as one matrix; larger
-    sets are for the caller to split. Each batch of rows is one matrix product, of which the
-    best k a query go on.
+    Every task holds its block as one matrix and the best k rows of each query so far. Up to
+    ``max_queries`` queries are one block; of more, the driver holds one block at a time and the
+    result of each is written before the next.
     """
-    rows = queries.select("query_id", "vector").where("vector is not null").limit(max_queries + 1).collect()
-    if len(rows) > max_queries:
-        raise ValueError(f"more than {max_queries} query vectors")
+    picked = vectors.select(F.col("id").cast("long"), "vector").where("id is not null and vector is not null")
+    asked = queries.select("query_id", "vector").where("vector is not null")
+    rows = asked.limit(max_queries + 1).collect()
+    if len(rows) <= max_queries:
+        return _vector_cosine_block(picked, rows, k, keep_self)
+    blocks = batched(asked.toLocalIterator(), max_queries)
+    return top_k(reduce(DataFrame.unionByName, [materialize(_vector_cosine_block(picked, block, k, keep_self)) for block in blocks]).drop("rank"), k)
+
+
+def _vector_cosine_block(vectors: DataFrame, rows: Sequence[Row], k: int, keep_self: bool) -> DataFrame:
+    """One pass for queries that a task can hold."""
     names = np.array([r.query_id for r in rows], np.int64)
     matrix = np.array([r.vector for r in rows], float).reshape(len(rows), -1)
     matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, best_ids = np.full((len(names), 0), -2.0), np.empty((len(names), 0), np.int64)
+        step = max(CELLS // max(len(names), 1), 1)
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(ids), -1)
-            if not len(ids) or not len(names):
+            all_ids = batch.column(0).to_numpy(zero_copy_only=False)
+            if not len(all_ids) or not len(names):
                 continue
-            score = np.round(matrix @ (flat / np.maximum(np.linalg.norm(flat, axis=1, keepdims=True), 1e-300)).T, DIGITS)
-            if not keep_self:
-                score = np.where(names[:, None] == ids[None, :], -2.0, score)
-            order = np.lexsort((np.broadcast_to(ids, score.shape), -score), axis=1)[:, :k]
-            best = np.take_along_axis(score, order, 1)
-            real = best > -2
-            yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(names[:, None], order.shape)[real]), pa.array(ids[order][real]), pa.array(best[real])], ["query_id", "id", "score"])
-
-    picked = vectors.select(F.col("id").cast("long"), "vector").where("id is not null and vector is not null")
-    return top_k(picked.mapInArrow(run, "query_id long, id long, score double"), k)
+            all_flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(all_ids), -1)
+            for at in range(0, len(all_ids), step):
+                ids, flat = all_ids[at : at + step], all_flat[at : at + step]
+                score = np.round(matrix @ (flat / np.maximum(np.linalg.norm(flat, axis=1, keepdims=True), 1e-300)).T, DIGITS)
+                if not keep_self:
+                    score = np.where(names[:, None] == ids[None, :], -2.0, score)
+                score, ids = np.hstack([best, score]), np.hstack([best_ids, np.broadcast_to(ids, score.shape)])
+                order = np.lexsort((ids, -score), axis=1)[:, :k]
+                best, best_ids = np.take_along_axis(score, order, 1), np.take_along_axis(ids, order, 1)
+        real = best > -2
+        yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(names[:, None], best.shape)[real]), pa.array(best_ids[real]), pa.array(best[real])], ["query_id", "id", "score"])
+
+    return top_k(vectors.mapInArrow(run, "query_id long, id long, score double"), k)
 
 
 def hashed_trigram_vector(text: Column, dimensions: int = 64) -> Column:

@@ -4,6 +4,7 @@ import json
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,6 +85,19 @@ def test_graph(spark):
         graph.attach_definitions(terms, texts, max_terms=1)
 
 
+def test_query_sets_beyond_one_block(spark):
+    r = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in r.integers(-2, 3, 4)]) for i in range(60)]
+    vectors = frame(spark, rows, "id long, vector array<float>")
+    queries = vectors.where("id < 11").selectExpr("id AS query_id", "vector")
+    whole, blocks = (sorted(map(tuple, retrieval.vector_cosine(vectors, queries, 5, max_queries=n).select("query_id", "id", "score", "rank").collect())) for n in (100, 4))
+    unit = np.array([v for _, v in rows]) / np.maximum(np.linalg.norm([v for _, v in rows], axis=1, keepdims=True), 1e-300)
+    score = np.round(unit[:11] @ unit.T, 6)
+    assert whole == blocks and [(q, i, n) for q, i, _, n in whole] == sorted((q, int(i), n + 1) for q in range(11) for n, i in enumerate(np.lexsort((np.arange(60), -score[q]))[:5]))
+    terms, texts = frame(spark, [("unit",), ("rent",), ("Rent",), ("pet",)], "term string"), frame(spark, [(1, "Rent a unit"), (2, "a pet")], "id int, text string")
+    assert sorted((x.id, x.term) for x in graph.attach_definitions(terms, texts, block=1).collect()) == [(1, "Rent"), (1, "rent"), (1, "unit"), (2, "pet")]
+
+
 def test_precision_recall(spark):
     items = frame(spark, [(1,), (2,), (3,), (4,)], "item_id int")
     required = frame(spark, [(1, "d|section:1"), (1, "d|section:2"), (3, "d|section:1")], "item_id int, key string")
