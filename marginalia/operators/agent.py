@@ -109,7 +109,7 @@ def _answer(found: DataFrame, corpus: DataFrame, seams: Seams, authority: Column
     rows = found.join(corpus, "id")
     level = authority if authority is not None else F.lit(0)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(level, F.desc("score"), "id"))
-    ranked = rows.withColumn("place", place).where(F.col("place") <= MAX_CLAIMS)  # no claim reads beyond these
+    ranked = rows.withColumn("place", place)  # at most MAX_HOPS x k a question; the seam decides what it reads
     sources = F.array_sort(F.collect_list(F.struct("place", "id", "text", "score")))
     out = ranked.groupBy("query_id").agg(F.max("passes").alias("passes"), sources.alias("sources")).withColumn("claims", seams.claims(F.col("sources")))
     return out.select("query_id", "passes", "claims", F.forall("claims", seams.critic).alias("grounded"))

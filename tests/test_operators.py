@@ -258,6 +258,17 @@ def test_agent_loop(spark):
     assert "Repairs" in found[5].answer and "Rent" in found[5].answer
 
 
+def test_agent_hands_all_candidates_to_the_seam(spark):
+    docs = frame(spark, [(i, f"Rent increase number {i} applies each year. More.") for i in range(12)], "id long, text string")
+    asked = frame(spark, [(1, "rent increase")], "query_id long, text string")
+    claim = lambda s: F.struct(s["text"].alias("text"), F.array(s["id"].cast("string")).alias("cites"), s["score"].alias("support"))
+    every = agent.Seams(claims=lambda sources: F.transform(sources, claim))
+    assert [r.n_claims for seams in (None, every) for r in agent.run_agent(asked, docs, seams).collect()] == [agent.MAX_CLAIMS, 8]
+    doubtful = agent.Seams(claims=every.claims, critic=lambda c: ~c["text"].contains("number 3"))
+    [wide] = agent.run_agent(asked, docs, doubtful).collect()
+    assert (wide.passes, wide.status, wide.n_claims) == (3, "degraded", 11)
+
+
 def test_enrichment_cache(spark):
     rows = frame(spark, [("a",), ("b",), ("b",)], "h string")
     cache = frame(spark, [("a", "old")], "h string, value string")
