@@ -626,6 +626,15 @@ def head_markers(spark, sf_dir):
     return rows.select("line", _SPLIT("section")["label"].alias("section"), _SPLIT("subsection")["label"].alias("subsection"), text.clause_marker(F.col("line"))["label"].alias("clause"), _SPLIT("subparagraph")["label"].alias("subparagraph"))
 
 
+@query("""WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents), l AS (SELECT doc_id, unnest(range(len(lines))) AS pos, unnest(lines) AS line FROM s)
+  SELECT doc_id, pos, nullif(regexp_extract(line, '^\\s*(\\d+(?:\\.\\d+)*)\\.?\\s+', 1), '') AS section, nullif(regexp_extract(line, '^\\(\\s*(\\d+(?:\\.\\d+)*)\\s*\\)\\s*', 1), '') AS subsection,
+    coalesce(nullif(regexp_extract(line, '(?i)^\\(\\s*([a-z]+(?:\\.\\d+)?)\\s*\\)\\s*', 1), ''), nullif(regexp_extract(line, '^(\\d+(?:\\.\\d+)*)\\.\\s+', 1), '')) AS clause, nullif(regexp_extract(line, '(?i)^\\(?\\s*([ivxlcdm]+)\\s*[).]\\s*', 1), '') AS subparagraph FROM l""")
+def head_markers_of_lines(spark, sf_dir):
+    """9.8-9.11 over every line of every document."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    return lines.select("doc_id", F.col("pos").cast("long").alias("pos"), _SPLIT("section")["label"].alias("section"), _SPLIT("subsection")["label"].alias("subsection"), text.clause_marker(F.col("line"))["label"].alias("clause"), _SPLIT("subparagraph")["label"].alias("subparagraph"))
+
+
 @query("""WITH t AS (SELECT conv_id, count(*) AS turns, string_agg(text, ' ' ORDER BY turn) AS s FROM conversations GROUP BY conv_id), c AS (SELECT *, left(s, 2000) AS cut FROM t)
   SELECT conv_id, turns, CASE WHEN length(s) <= 2000 THEN s WHEN strpos(cut, ' ') > 0 AND length(cut) - strpos(reverse(cut), ' ') > 1000 THEN left(cut, length(cut) - strpos(reverse(cut), ' ')) ELSE cut END AS summary FROM c""")
 def session_memory_batch(spark, sf_dir):

@@ -33,6 +33,17 @@ def test_against_sql(spark, name):
     assert values(ours.collect(), ours.columns) == values(theirs.fetchall(), columns)
 
 
+def test_head_markers_read_every_line(spark, tmp_path):
+    lines = ["5.1. Purposes of Act", "(2.1) A landlord shall", "(a) in the case", "1. A tenant", "(iv) by mail", "Schedule 1 Useful life", "", "plain"]
+    spark.createDataFrame([(1, "\n".join(lines)), (2, None), (3, lines[2])], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    ours = catalogue.QUERIES["head_markers_of_lines"](spark, str(tmp_path))
+    rows = values(ours.collect(), ours.columns)
+    assert len(rows) == 9 and rows == values(con.execute(catalogue.ORACLES["head_markers_of_lines"]).fetchall(), ours.columns)
+    assert [(r.section, r.subsection, r.clause, r.subparagraph) for r in ours.where("doc_id = 1").orderBy("pos").collect()][:3] == [("5.1", None, "5.1", None), (None, "2.1", None, None), (None, None, "a", None)]
+
+
 def test_entry_registers_everything():
     assert set(catalogue.QUERIES) <= set(__spark_entry__.queries())
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
