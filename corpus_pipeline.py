@@ -14,17 +14,17 @@ columns of ``documents``:
 4. ``mixing``: each document is repeated as often as the mix of its source takes it.
 5. ``byte_bpe``: doc_id, lang, source, number of tokens, token ids.
 
-Rows with a null doc_id cannot be told apart and go in stage 2. Rows that repeat a
-doc_id there are one document, whose first row by text stays.
+Rows are told apart by all their columns, not by doc_id: rows with a null or repeated
+doc_id are documents like any other. Columns beyond those of ``documents`` may have any
+name and are carried along.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from marginalia.llm.byte_bpe import encode
-from marginalia.llm.jaccard_join import jaccard_join
+from marginalia.llm.jaccard_join import drop_near_copies
 from marginalia.llm.mixing import resample
 from marginalia.llm.public_vocab import default_path
 from marginalia.llm.quality_rules import keep_good
@@ -39,11 +39,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    groups = jaccard_join(docs, k=5, num=80, den=100)
-    stay = groups.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(stay, "doc_id", "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "source", "lang"))
-    return kept.withColumn("__n", first).where("__n = 1").select(*docs.columns)
+    return drop_near_copies(docs, k=5, num=80, den=100)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
