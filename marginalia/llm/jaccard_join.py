@@ -10,9 +10,10 @@ with any partner.
 1. *Rows.* Every text becomes (doc_id, n, 128-bit fingerprint of its set). Equal
    sets are one class, whose smallest doc_id stands for it.
 2. *Column order.* Columns (shingles) that many rows use come last: those seen over
-   ``hot`` times in the first columns of all rows, the ``max_hot`` commonest of them
-   at most (a broadcast of 8 bytes each). Any fixed order gives the same result, the
-   list only makes it cheaper.
+   ``hot`` times in the first columns of all rows. They are marked in a bitmap of
+   2^``hot_bits`` bits, by the upper bits of their hashes, which is broadcast: its size
+   does not depend on the input. Any fixed order gives the same result, so columns that
+   share a bit only cost time.
 3. *Blocked product.* Of each row only its first n - o(n) + l(n) columns are kept,
    l(n) = 1 + n // 16: linked rows share at least min(l) of those. They are dealt to
    blocks of columns; each block counts the overlaps of its pairs of rows of
@@ -21,14 +22,17 @@ with any partner.
    column. Summed over the blocks, pairs below the bound min(l) are discarded.
 4. *Exact products.* The rows of each candidate component are multiplied with all
    their columns: small components whole, large ones as pairs of blocks of rows of
-   compatible size classes. Within a block the product is dense and runs over
-   slices of columns. Only a spanning forest of the links and the number of links
-   of each row leave a task.
+   compatible size classes (blocks of ``rows_per_block`` rows and ``block_shingles``
+   columns in use at most). Within a block the product is dense and runs over slices of
+   columns. Only a spanning forest of the links and the number of links of each row leave
+   a task.
 5. *Components* of those links.
 
+Rows are told apart by the fingerprints of their sets throughout, never by doc_id.
 Nulls, empty texts: n_shingles 0, linked with nothing, own component. Repeated
-doc_ids: each row is returned; if their texts differ, the smallest text is the one
-compared. A null doc_id takes no part and is not returned.
+doc_ids: each row is returned and compared with its own text. A row with a null doc_id
+takes part like any other; ``class_id`` and ``component_id`` are the smallest doc_id that
+is not null, or null if there is none. Extra columns of any name are ignored.
 """
 
 from __future__ import annotations
@@ -41,12 +45,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm.textkernel import Docs, distinct_by_doc, mix, slices, string_buffer, window_hashes
-from marginalia.llm.words import release_tables
+from marginalia.llm.words import release_tables, row_hash, spare
 from marginalia.plans.components import connected_components
 from marginalia.plans.scratch import materialize
 
 _U = np.uint64
-
+WORD = "[^\\x20\\x09-\\x0D]"
 
 #: Bytes of text that are packed together into entries of blocks.
 ENTRY_SLICE = 4_000_000
@@ -78,15 +82,37 @@ def _fingerprints(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, n
     return out[0], out[1]
 
 
+def _printed(column: pa.Array, k: int) -> Iterator[tuple[int, int, pa.Array, pa.Array, pa.Array]]:
+    """(lo, hi, sizes, two fingerprints) of the sets of a column of texts, by slices."""
+    data, offsets = string_buffer(column)
+    for lo, hi in slices(offsets):
+        hashes, counts = _sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], k)
+        yield lo, hi, pa.array(counts.astype(np.int64)), *map(pa.array, _fingerprints(hashes, counts))
+
+
 def _rows_of(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_tables()
         for batch in batches:
-            data, offsets = string_buffer(batch.column(1))
-            for lo, hi in slices(offsets):
-                hashes, counts = _sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], k)
-                one, two = _fingerprints(hashes, counts)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(counts.astype(np.int64)), pa.array(one), pa.array(two)], ["doc_id", "n_shingles", "fp1", "fp2"])
+            for lo, hi, n, one, two in _printed(batch.column(2), k):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), n, one, two], ["doc_id", "row", "n_shingles", "fp1", "fp2"])
+
+    return run
+
+
+def _texts_of(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, _, one, two in _printed(batch.column(0), k):
+                yield pa.RecordBatch.from_arrays([one, two, batch.column(0).slice(lo, hi - lo)], ["fp1", "fp2", "text"])
+
+    return run
+
+
+def _prints(k: int):
+    def run(texts: pa.Array) -> pa.Array:
+        parts = [pa.StructArray.from_arrays([n, one, two], ["n", "fp1", "fp2"]) for _, _, n, one, two in _printed(texts, k)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("n", pa.int64()), ("fp1", pa.int64()), ("fp2", pa.int64())]))
 
     return run
 
@@ -101,6 +127,11 @@ def _blocks_of(hashes: np.ndarray, n_blocks: int) -> np.ndarray:
     return (mix(hashes) % _U(n_blocks)).astype(np.int64)
 
 
+def _hash_ranges(hashes: np.ndarray, n_blocks: int) -> np.ndarray:
+    """Blocks that are ranges of hashes."""
+    return ((hashes >> _U(32)) * _U(n_blocks) >> _U(32)).astype(np.int64)
+
+
 def _hot_entries(k: int, num: int, den: int, n_blocks: int):
     """(block, packed hashes): the first columns of all rows in the order of hashes alone."""
 
@@ -112,7 +143,7 @@ def _hot_entries(k: int, num: int, den: int, n_blocks: int):
                 hashes, counts = _sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], k)
                 take = counts - least_overlap(counts, num, den) + prefix_bound(counts)
                 hashes = hashes[_firsts(hashes, counts, take + take // 8)]
-                block = _blocks_of(hashes, n_blocks)
+                block = _hash_ranges(hashes, n_blocks)
                 order = np.argsort(block, kind="stable")
                 hashes, sizes = hashes[order], np.bincount(block, minlength=n_blocks)
                 ends = np.cumsum(sizes)
@@ -122,21 +153,33 @@ def _hot_entries(k: int, num: int, den: int, n_blocks: int):
     return run
 
 
-def _count_hot(hot: int):
+def _hot_bits(hot: int, hot_bits: int):
+    """The part of the bitmap of common columns that a range of hashes covers: (first byte, bytes)."""
+
     def run(table: pa.Table) -> pa.Table:
         hashes, counts = np.unique(np.frombuffer(b"".join(table.column("hashes").to_pylist()), _U), return_counts=True)
-        keep = counts > hot
-        return pa.table({"hash": hashes[keep].view(np.int64), "rows": counts[keep]})
+        bits = np.unique(hashes[counts > hot] >> _U(64 - hot_bits)).astype(np.int64)
+        if not len(bits):
+            return pa.table({"at": pa.array([], pa.int64()), "bits": pa.array([], pa.binary())})
+        at = int(bits[0]) // 8
+        part = np.zeros((int(bits[-1]) // 8 - at + 1) * 8, np.uint8)
+        part[bits - at * 8] = 1
+        return pa.table({"at": pa.array([at]), "bits": pa.array([np.packbits(part).tobytes()], pa.binary())})
 
     return run
 
 
-def _product_entries(k: int, num: int, den: int, n_blocks: int, hot_list):
+def _is_hot(hashes: np.ndarray, bitmap: np.ndarray, hot_bits: int) -> np.ndarray:
+    at = (hashes >> _U(64 - hot_bits)).astype(np.int64)
+    return (bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+
+
+def _product_entries(k: int, num: int, den: int, n_blocks: int, bitmap, hot_bits: int):
     """(block, rows, sizes, numbers, hashes): packed first columns of rows, by block of columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_tables()
-        known = hot_list.value
+        common = np.frombuffer(bitmap.value, np.uint8)
         for batch in batches:
             data, offsets = string_buffer(batch.column(0))
             for lo, hi in slices(offsets, ENTRY_SLICE):
@@ -148,10 +191,7 @@ def _product_entries(k: int, num: int, den: int, n_blocks: int, hot_list):
                 fresh &= counts > 0
                 hashes, counts, uid = hashes[np.repeat(fresh, counts)], counts[fresh], uid[fresh]
                 docs = np.repeat(np.arange(len(counts)), counts)
-                late = np.zeros(len(hashes), bool)
-                if len(known) and len(hashes):
-                    late = known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes
-                order = np.argsort(docs * 2 + late, kind="stable")
+                order = np.argsort(docs * 2 + _is_hot(hashes, common, hot_bits), kind="stable")
                 hashes = hashes[order]
                 keep = _firsts(hashes, counts, counts - least_overlap(counts, num, den) + prefix_bound(counts))
                 hashes, docs = hashes[keep], docs[keep]
@@ -279,7 +319,7 @@ def _exact(k: int, num: int, den: int):
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         data, offsets = string_buffer(table.column("text").combine_chunks() if isinstance(table.column("text"), pa.ChunkedArray) else table.column("text"))
-        part, side, ids, copies = (table.column(c).to_numpy() for c in ("part", "side", "doc_id", "copies"))
+        part, side, ids, copies = (table.column(c).to_numpy() for c in ("part", "side", "fp1", "copies"))
         order = np.lexsort((ids, part))
         sets: list = [None] * len(ids)
         for lo, hi in slices(offsets):
@@ -313,66 +353,105 @@ def _exact(k: int, num: int, den: int):
     return run
 
 
-def jaccard_join(
-    docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, *, id_col: str = "doc_id", text_col: str = "text",
-    hot: int = 32, max_hot: int = 262_144, wide: int = 48, entries_per_block: int = 1_000_000, rows_per_block: int = 192, bytes_per_group: int = 12_000_000,
-) -> DataFrame:
-    """``(doc_id, n_shingles, component_id, class_id, n_links)`` for every row of ``docs``.
+def _linked(
+    base: DataFrame, k: int, num: int, den: int,
+    hot: int = 32, hot_bits: int = 27, wide: int = 48, entries_per_block: int = 1_000_000, rows_per_block: int = 768, block_shingles: int = 1_500_000, bytes_per_group: int = 12_000_000,
+) -> tuple[DataFrame, DataFrame]:
+    """Rows ``(doc_id, row, n_shingles, fp1, fp2)`` and classes ``(fp1, fp2, class_id, copies, group, links)`` of ``base(doc_id, row, text)``.
 
-    ``component_id``: smallest doc_id reachable by links; ``class_id``: smallest doc_id
-    with an equal set; ``n_links``: documents linked directly, equal sets included.
+    ``group`` tells components of classes apart, ``links`` counts the documents of other
+    classes that a class is linked with.
     """
-    spark = docs.sparkSession
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    rows = materialize(base.mapInArrow(_rows_of(k), "doc_id long, n_shingles long, fp1 long, fp2 long"))
+    spark = base.sparkSession
+    rows = materialize(base.mapInArrow(_rows_of(k), "doc_id long, row long, n_shingles long, fp1 long, fp2 long"))
     classes = rows.where("n_shingles > 0").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"))
     classes = materialize(classes)
     kept = int(rows.agg(F.coalesce(F.sum(F.col("n_shingles") * (den - num) / den + F.col("n_shingles") / 16 + 2), F.lit(0))).first()[0])
     n_blocks = max(8, -(-kept // entries_per_block))
 
     text = base.select("text")
-    counted = text.mapInArrow(_hot_entries(k, num, den, n_blocks), "block long, hashes binary").groupBy("block").applyInArrow(_count_hot(hot), "hash long, rows long")
-    common = counted.orderBy(F.desc("rows"), "hash").limit(max_hot).select("hash").toPandas()["hash"].to_numpy(np.int64)
-    hot_list = spark.sparkContext.broadcast(np.sort(common.view(_U)))
-
-    entries = text.mapInArrow(_product_entries(k, num, den, n_blocks, hot_list), "block long, rows binary, sizes binary, numbers binary, hashes binary")
+    counted = text.mapInArrow(_hot_entries(k, num, den, n_blocks), "block long, hashes binary").groupBy("block").applyInArrow(_hot_bits(hot, hot_bits), "at long, bits binary")
+    bitmap = np.zeros((1 << hot_bits) // 8, np.uint8)
+    for part in counted.collect():  # the parts together are as large as the bitmap
+        mine = np.frombuffer(part.bits, np.uint8)
+        bitmap[part["at"] : part["at"] + len(mine)] |= mine
+    shared = spark.sparkContext.broadcast(bitmap.tobytes())
+
+    entries = text.mapInArrow(_product_entries(k, num, den, n_blocks, shared, hot_bits), "block long, rows binary, sizes binary, numbers binary, hashes binary")
     product = entries.groupBy("block").applyInArrow(_multiply(num, den, wide), "a long, b long, overlap long, bound long")
     pairs = product.groupBy("a", "b").agg(F.sum("overlap").alias("overlap"), F.first("bound").alias("bound")).where("overlap >= bound")
     parts = connected_components(pairs.select("a", "b"))
 
     # the rows of candidate components, and where each is multiplied
-    member = classes.join(parts, classes["fp1"] == parts["node"]).select("component", "class_id", "copies", "n")
+    member = classes.join(parts, classes["fp1"] == parts["node"]).select("component", "fp1", "fp2", "copies", "n")
     step = float(np.log(den / num)) * 1.000001  # wider than the bound by more than rounding
     member = member.withColumn("cls", F.floor(F.log(F.col("n").cast("double")) / F.lit(step)))
     member = materialize(member)
     sizes = member.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles"))
-    large = sizes.where((F.col("size") > rows_per_block)).select("component")
+    large = sizes.where((F.col("size") > rows_per_block) | ((F.col("shingles") > block_shingles) & (F.col("size") > 2))).select("component")
     total = int(sizes.agg(F.coalesce(F.sum("shingles"), F.lit(0))).first()[0])
     n_groups = max(8, -(-total * 8 // bytes_per_group))
-    per_class = member.join(large, "component", "left_semi").groupBy("component", "cls").agg(F.ceil(F.count(F.lit(1)) / rows_per_block).alias("blocks"))
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / rows_per_block), F.ceil(F.sum("n") / block_shingles))
+    per_class = member.join(large, "component", "left_semi").groupBy("component", "cls").agg(blocks.alias("blocks"))
     whole = member.join(large, "component", "left_anti").select(
-        (F.pmod(F.xxhash64("component"), F.lit(n_groups)) * 2).alias("gid"), F.col("component").alias("part"), F.lit(-1).alias("side"), F.col("class_id").alias("doc_id"), "copies"
+        (F.pmod(F.xxhash64("component"), F.lit(n_groups)) * 2).alias("gid"), F.col("component").alias("part"), F.lit(-1).alias("side"), "fp1", "fp2", "copies"
     )
     # size classes are as wide as the size bound, so linked rows are in the same or in neighbouring classes
     own = per_class.select("component", F.col("cls"), F.col("cls").alias("other"), F.col("blocks").alias("others"))
     near = [per_class.select("component", (F.col("cls") + d).alias("cls"), F.col("cls").alias("other"), F.col("blocks").alias("others")) for d in (1, -1)]
     around = own.unionByName(near[0]).unionByName(near[1])
-    spread = member.join(per_class, ["component", "cls"]).withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks"))).join(around, ["component", "cls"])
+    spread = member.join(per_class, ["component", "cls"]).withColumn("block", F.pmod(F.xxhash64("fp2", "fp1"), F.col("blocks"))).join(around, ["component", "cls"])
     spread = spread.withColumn("mate", F.explode(F.sequence(F.lit(0).cast("long"), F.col("others") - 1)))
     here, there = F.struct(F.col("cls").cast("long").alias("c"), F.col("block").cast("long").alias("b")), F.struct(F.col("other").cast("long").alias("c"), F.col("mate").cast("long").alias("b"))
     paired = spread.select(
         (F.abs(F.xxhash64("component", F.least(here, there), F.greatest(here, there)) % F.lit(1 << 60)) * 2 + 1).alias("gid"),
-        F.lit(0).cast("long").alias("part"), F.when(here == there, F.lit(-1)).when(here < there, F.lit(0)).otherwise(F.lit(1)).alias("side"), F.col("class_id").alias("doc_id"), "copies",
+        F.lit(0).cast("long").alias("part"), F.when(here == there, F.lit(-1)).when(here < there, F.lit(0)).otherwise(F.lit(1)).alias("side"), "fp1", "fp2", "copies",
     )
     work = whole.unionByName(paired)
-    one_text = base.join(member.select(F.col("class_id").alias("doc_id")).hint("shuffle_hash"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    exact = work.join(one_text, "doc_id").groupBy("gid").applyInArrow(_exact(k, num, den), "kind int, a long, b long")
+    printed = base.select("text").mapInArrow(_texts_of(k), "fp1 long, fp2 long, text string")
+    one_text = printed.join(member.select("fp1", "fp2").hint("shuffle_hash"), ["fp1", "fp2"], "left_semi").groupBy("fp1", "fp2").agg(F.min("text").alias("text"))
+    exact = work.join(one_text, ["fp1", "fp2"]).groupBy("gid").applyInArrow(_exact(k, num, den), "kind int, a long, b long")
     exact = materialize(exact)
-    labels = connected_components(exact.where("kind = 0").select("a", "b")).select(F.col("node").alias("class_id"), "component")
-    links = exact.where("kind = 1").groupBy(F.col("a").alias("class_id")).agg(F.sum("b").alias("links"))
-    info = classes.select("fp1", "fp2", "class_id", "copies").join(labels, "class_id", "left").join(links, "class_id", "left")
+    labels = connected_components(exact.where("kind = 0").select("a", "b")).select(F.col("node").alias("fp1"), "component")
+    links = exact.where("kind = 1").groupBy(F.col("a").alias("fp1")).agg(F.sum("b").alias("links"))
+    info = classes.select("fp1", "fp2", "class_id", "copies").join(labels, "fp1", "left").join(links, "fp1", "left")
+    return rows, info.select("fp1", "fp2", "class_id", "copies", F.coalesce("component", "fp1").alias("group"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``(doc_id, n_shingles, component_id, class_id, n_links)`` for every row of ``docs``.
+
+    ``component_id``: smallest doc_id reachable by links; ``class_id``: smallest doc_id
+    with an equal set; ``n_links``: documents linked directly, equal sets included.
+    """
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("row"), F.col(text_col).cast("string").alias("text"))
+    rows, classes = _linked(base, k, num, den, **options)
+    classes = materialize(classes)
+    least = classes.groupBy("group").agg(F.min("class_id").alias("component_id"))
+    info = classes.join(least, "group").select("fp1", "fp2", "class_id", "component_id", "copies", "links")
     out = rows.join(info, ["fp1", "fp2"], "left")
     return out.select(
-        "doc_id", "n_shingles", F.coalesce("component", "class_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"),
-        (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).cast("long").alias("n_links"),
+        "doc_id", "n_shingles", F.when(F.col("copies").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        F.when(F.col("copies").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).cast("long").alias("n_links"),
     )
+
+
+def drop_near_copies(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest doc_id, null last, then of the smallest hash of the row.
+
+    Rows without a word all stay, with whatever columns; columns and their names are untouched.
+    """
+    name, one, two, prints = (spare(docs.columns, x) for x in ("row", "fp1", "fp2", "prints"))
+    text = F.col(f"`{text_col}`").cast("string")
+    keyed = docs.withColumn(name, row_hash(docs))
+    base = keyed.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(name).alias("row"), text.alias("text"))
+    rows, classes = _linked(base, k, num, den, **options)
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "fp1", "fp2")).alias("best")
+    chosen = rows.join(classes.select("fp1", "fp2", "group"), ["fp1", "fp2"]).groupBy("group").agg(best)
+    chosen = materialize(chosen.select(F.col("best.fp1").alias(one), F.col("best.fp2").alias(two), F.col("best.row").alias(name)))
+    has_word = F.coalesce(F.regexp_like(text, F.lit(WORD)), F.lit(False))
+    told = keyed.where(has_word).withColumn(prints, F.arrow_udf(_prints(k), "struct<n:long,fp1:long,fp2:long>")(text))
+    told = told.withColumn(one, F.col(f"{prints}.fp1")).withColumn(two, F.col(f"{prints}.fp2"))
+    stay = told.join(chosen, [one, two, name], "left_semi").dropDuplicates([one, two, name])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return stay.select(*columns).unionByName(docs.where(~has_word).select(*columns))

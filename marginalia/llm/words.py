@@ -11,10 +11,26 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from marginalia.llm.textkernel import slices, string_buffer
 
 
+def spare(columns: list[str], name: str) -> str:
+    """``name``, with underscores behind it until no column is called so (names ignore case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns of a row; which of them are null counts too. Maps cannot be hashed and are left out."""
+    plain = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    return F.xxhash64(*[x for c in plain for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))])
+
+
 class _Numbers(dict):
     def __init__(self):
         super().__init__()

@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 import tiktoken
 from public_tokenizers import PATTERN
+from pyspark.sql import functions as F
 
 from marginalia.llm import byte_bpe, jaccard_join, language_id, line_crf, mixing, quality_rules, secret_scan, token_counts, url_filter, vp_search
 from marginalia.llm.public_vocab import default_path, rank_file
@@ -75,7 +76,7 @@ def brute_components(texts, k, num, den):
     return {i: (len(s), find(i), links[i]) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize(("k", "num", "options"), [(4, 85, {}), (5, 80, {"hot": 1, "wide": 2, "rows_per_block": 3, "max_hot": 20})])
+@pytest.mark.parametrize(("k", "num", "options"), [(4, 85, {}), (5, 80, {"hot": 1, "wide": 2, "rows_per_block": 3, "hot_bits": 8})])
 def test_jaccard_join(docs, texts, k, num, options):
     found = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard_join.jaccard_join(docs, k, num, 100, **options).collect()}
     assert found == brute_components(texts, k, num, 100)
@@ -95,10 +96,26 @@ def test_jaccard_join_large_group_and_empty(spark, empty):
     assert jaccard_join.jaccard_join(empty, 4, 85, 100).collect() == []
 
 
-def test_jaccard_join_repeated_ids(spark):
-    rows = spark.createDataFrame([(1, "a b c d e"), (1, "a b c d e"), (2, "A b c d E"), (None, "a b c d e")], "doc_id long, text string")
-    out = sorted((r.doc_id, r.component_id, r.n_links) for r in jaccard_join.jaccard_join(rows, 4, 85, 100).collect())
-    assert out == [(1, 1, 2), (1, 1, 2), (2, 1, 2)]
+def test_jaccard_join_null_and_repeated_ids(spark):
+    near = " ".join(f"w{i}" for i in range(80))
+    other = near.replace("w40 ", "changed ")
+    rows = [(1, "a b c d e"), (1, "a b c d e"), (2, "A b c d E"), (None, "a b c d e"), (3, "quite another text here"), (3, near), (4, other), (None, ""), (5, None)]
+    frame = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, fp1 string")
+    out = sorted(((r.doc_id, r.component_id, r.n_links) for r in jaccard_join.jaccard_join(frame, 4, 85, 100).collect()), key=str)
+    assert out == sorted([(1, 1, 3), (1, 1, 3), (2, 1, 3), (None, 1, 3), (3, 3, 0), (3, 3, 1), (4, 3, 1), (None, None, 0), (5, 5, 0)], key=str)
+
+
+def test_drop_near_copies(spark, docs, texts, empty):
+    parts = brute_components(texts, 4, 85, 100)
+    kept = jaccard_join.drop_near_copies(docs, 4, 85, 100)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(i for i, (_, c, _) in parts.items() if c == i)
+    near = " ".join(f"w{i}" for i in range(80))
+    rows = [(1, near, "a", 1), (None, near, "a", 2), (None, near.replace("w40 ", "changed "), "a", 3), (1, "of its own", "b", 4), (None, "alone too", "b", 5), (None, "", "b", 6), (None, "", "b", 6), (7, near + " w80", None, 7), (8, "of its own", "b", 8), (8, "of its own", "b", 8)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, row string, __n int")
+    assert sorted(r["__n"] for r in jaccard_join.drop_near_copies(frame, 4, 85, 100).collect()) == [1, 4, 5, 6, 6]
+    same = spark.createDataFrame([(None, near, "x")] * 3 + [(None, near, None)], "doc_id long, text string, source string")
+    assert jaccard_join.drop_near_copies(same).count() == 1
+    assert jaccard_join.drop_near_copies(empty).collect() == []
 
 
 def test_byte_bpe(docs, texts, empty):
@@ -244,7 +261,24 @@ def test_mixing_repeated_rows(spark):
     rows = spark.createDataFrame([(1, "a b c", "s")] * 5 + [(2, None, None), (None, "a", "s")], "doc_id long, text string, source string")
     out = mixing.mix(rows).collect()
     assert len(out) == 7 and sum(r.taken for r in out if r.source == "s") >= 16
-    assert mixing.resample(rows).count() == sum(r.copies for r in out)
+    assert mixing.resample(rows).where("doc_id = 1").count() <= 10
+    names = "doc_id long, text string, source string, __n int, __size int, __copies string, __id int, row string, size int, times int"
+    clash = spark.createDataFrame([(None if i % 3 else i, f"w{i % 4} x", "a" if i % 2 else None, i, 1, "c", 2, "r", 5, 6) for i in range(40)], names)
+    again = mixing.resample(clash)
+    assert again.columns == clash.columns
+    taken = Counter(r["__n"] for r in again.collect())
+    assert set(taken) <= set(range(40)) and max(taken.values()) <= 2 and abs(sum(taken.values()) - 60) <= 2
+
+
+def test_mixing_many_equal_rows(spark):
+    """Equal rows are one item: a source of them only is taken to its target at once."""
+    same = spark.range(20_000).selectExpr("cast(7 as long) as doc_id", "'a b c' as text", "'s' as source")
+    other = spark.range(500).selectExpr("id + 100 as doc_id", "'a b c d' as text", "'t' as source")
+    out = mixing.mix(same.unionByName(other), weights=(1, 1), share=0.5)
+    got = {r.source: (r.n, r.taken, r.target) for r in out.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("taken").alias("taken"), F.max("target").alias("target")).collect()}
+    assert got["s"][0] == 20_000 and abs(got["s"][1] - got["s"][2]) <= 3 and abs(got["t"][1] - got["t"][2]) <= 4
+    again = mixing.resample(same, share=0.75)
+    assert again.count() == 15_000 and again.distinct().count() == 1
 
 
 def brute_count(word, scores, longest):
