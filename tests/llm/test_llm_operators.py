@@ -343,7 +343,7 @@ def test_vp_search(spark):
         found[r.query_id].append((r.vec_id, r.score))
     assert set(found) == {*range(0, 700, 50), 307}
     for q, got in found.items():
-        distance = vp_search.exact_distance(np.repeat(vectors[q][None], 700, 0), vectors)
+        distance = vp_search.distances(vectors[q][None].astype(float), vectors.astype(float).T)[0]
         order = [i for i in np.lexsort((np.arange(700), distance)) if i != q][:10]
         assert got == [(i, distance[i]) for i in order]
     near = vp_search.nearest(frame, queries, 10, 0.5, shard_rows=150).collect()
@@ -354,6 +354,39 @@ def test_vp_search(spark):
     assert [r.rank for r in sorted(few, key=lambda r: r.rank)] == [1, 2]
 
 
+def nearest_by_brute_force(ids, vectors, queries, k):
+    out = {}
+    for q in queries:
+        distance = vp_search.distances(vectors[ids == q].astype(float)[:1], vectors.astype(float).T)[0]
+        out[q] = [(int(ids[i]), distance[i]) for i in np.lexsort((ids, distance)) if ids[i] != q][:k]
+    return out
+
+
+@pytest.mark.parametrize("kind", ["one-hot", "grid", "repeated", "random"])
+def test_vp_search_ties(spark, kind):
+    """Factor one restores exact search, ties included, whatever the shards and groups."""
+    rng = np.random.default_rng(8)
+    n = 260
+    vectors = {"one-hot": np.eye(n), "grid": np.array([[i % 7 + 1, i // 7 % 6, i // 42] for i in range(n)]), "repeated": np.repeat(rng.integers(1, 4, (13, 5)), 20, axis=0), "random": rng.normal(size=(n, 9))}[kind].astype(np.float32)
+    ids = rng.permutation(n)
+    frame = spark.createDataFrame([(int(i), [float(x) for x in v], 1) for i, v in zip(ids, vectors, strict=True)], "vec_id long, embedding array<float>, dim int")
+    queries = [i for i in range(n) if i % 20 == 0]
+    for options in ({}, {"shard_rows": 40, "group_bytes": 1, "block_rows": 3}, {"shard_rows": 300, "block_rows": 50}):
+        found = defaultdict(list)
+        for r in sorted(vp_search.nearest(frame, frame.where("vec_id % 20 = 0"), 10, 1.0, **options).collect(), key=lambda r: (r.query_id, r.rank)):
+            found[r.query_id].append((r.vec_id, r.score))
+        assert found == nearest_by_brute_force(ids, vectors, queries, 10)
+
+
+def test_vp_search_prunes():
+    """Of low-dimensional vectors most are never measured, and none of the nearest is missed at factor one."""
+    rng = np.random.default_rng(2)
+    vectors = rng.normal(size=(20_000, 3)).astype(np.float32)
+    tree = vp_search.VPTree(np.arange(20_000), vectors)
+    found = vp_search.search_block([tree], np.arange(0, 20_000, 400), vectors[::400], 10, 1.0)
+    assert tree.measured < 0.25 * 50 * 20_000 and len(found[0]) == 500
+
+
 def test_url_filter(spark):
     hosts = ["com", "example.com", "a.example.com", "xexample.com", "EXAMPLE.com", "net", "b.net", "", "com.", "org:80", "example.com-x"]
     tails = ["", "/", "/en/", "/en/7", "/en/79?x=/en/", "/de/8#a", "?q", "#f", "/EN/"]
