@@ -7,14 +7,16 @@ words (runs of letters, lower-cased). The posterior with equal priors decides, t
 the language that sorts first.
 
 Fit: piece probabilities are estimated by expectation-maximisation over the counts of
-words of at most ``max_docs`` texts a language (smallest hashes of the id), ``max_rows``
-in all, and at most ``max_words`` distinct words a language: a bounded sample of
-labelled rows. Counts are
-smoothed towards the mean of all languages. A letter without a piece has one fixed
-probability in all languages. A word of over 64 letters is scored in parts of 64.
+all words of at most ``max_docs`` texts a language (smallest hashes of the id), ``max_rows``
+in all: a bounded sample of labelled rows. Counts are smoothed towards the mean of all
+languages. A letter without a piece has one fixed probability in all languages. Sums are
+kept as logarithms, so words of any length are summed whole. The model that tasks get is
+a number for each piece of the vocabulary and language.
 
 A text that is null or has no letter is ``und`` with score 0, as every text is when
-nothing was learned. Every row is returned.
+nothing was learned. Every row is returned, rows with a null or repeated id too; equal
+texts score alike. Rows without a lang are never learned from. Extra columns of any name
+are ignored.
 """
 
 from __future__ import annotations
@@ -35,38 +37,41 @@ from marginalia.llm.public_vocab import default_path, pieces
 from marginalia.llm.words import WordTable, split_slices, sum_by_doc, worker_table
 
 WORD_MARK = "▁"
-MAX_LETTERS = 64
 _RUN = regex.compile(r"\p{L}+")
 UNKNOWN = 1e-7
-#: Keeps forward values of a word near 1: every letter multiplies by this.
-_LIFT = 64.0
-_PART = 20_000
+#: Letters whose pieces are looked at together.
+PART_LETTERS = 200_000
+#: Numbers of a table of forward values.
+_CELLS = 2_000_000
 
 
 @lru_cache(maxsize=2)
 def _automaton(path: str):
-    """All lower-case pieces as one automaton: piece -> (number, length), and how many there are."""
+    """All lower-case pieces as one automaton: piece -> (number, length), how many there are, and the longest's length."""
     found = ahocorasick.Automaton()
     text, _ = pieces(path)
     kept = sorted(p for p in text if p == p.lower() and (p == WORD_MARK or p.removeprefix(WORD_MARK).isalpha()))
     for i, piece in enumerate(kept):
         found.add_word(piece, (i, len(piece)))
     found.make_automaton()
-    return found, len(kept)
+    return found, len(kept), max(map(len, kept), default=1)
 
 
 def letter_words(token: str) -> list[str]:
-    """The marked, lower-cased runs of letters of a token, in parts of at most 64 letters."""
-    if token.isalpha() and len(token) <= MAX_LETTERS:
+    """The marked, lower-cased runs of letters of a token."""
+    if token.isalpha():
         return [WORD_MARK + token.lower()]
-    return [WORD_MARK + run[i : i + MAX_LETTERS].lower() for run in _RUN.findall(token) for i in range(0, len(run), MAX_LETTERS)]
+    return [WORD_MARK + run.lower() for run in _RUN.findall(token)]
 
 
 class Lattice:
-    """All pieces in each of some words: edges (word, start, end, piece), by end, then word."""
+    """All pieces in each of some words: edges (word, start, stop, piece), by stop, then word.
 
-    def __init__(self, words: list[str], path: str):
-        automaton, n = _automaton(path)
+    Of a part of a longer word, ``skip`` letters only serve as context: edges that stop there are left out.
+    """
+
+    def __init__(self, words: list[str], path: str, skip: int = 0):
+        automaton, n, _ = _automaton(path)
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         begin = np.cumsum(lengths) - lengths
         hits = list(automaton.iter("".join(words)))
@@ -78,66 +83,80 @@ class Lattice:
         bare = np.flatnonzero(~covered)  # letters without a piece of their own: number n
         end, number, size = np.concatenate([end, bare + 1]), np.concatenate([number, np.full(len(bare), n)]), np.concatenate([size, np.ones(len(bare), np.int64)])
         word = np.searchsorted(begin, end - 1, "right") - 1
-        self.lengths = lengths
+        self.lengths, self.skip = lengths, skip
         stop = end - begin[word]
         order = np.lexsort((word, stop))
+        order = order[(stop[order] > skip) & (stop[order] >= size[order])]
         self.word, self.stop, self.start, self.piece = word[order], stop[order], (stop - size)[order], number[order]
         self.longest = int(lengths.max()) if len(words) else 0
         self.cut = np.searchsorted(self.stop, np.arange(1, self.longest + 2))
 
-    def forward(self, lifted: np.ndarray) -> np.ndarray:
-        """Forward values (word, position, language); ``lifted`` has a row for each piece."""
-        alpha = np.zeros((len(self.lengths), self.longest + 1, lifted.shape[1]))
-        alpha[:, 0] = 1
-        for stop in range(1, self.longest + 1):
+    def forward(self, logs: np.ndarray, alpha: np.ndarray, base: int = 0) -> np.ndarray:
+        """Log forward values at the ends of the words (word, language); ``logs`` has a row for each piece.
+
+        ``alpha`` (word, position modulo its width, language) holds the values of the last
+        positions, as many as the longest piece needs; the first letter's position is ``base``.
+        """
+        width, out = alpha.shape[1], np.zeros((len(self.lengths), logs.shape[1]))
+        for stop in range(self.skip + 1, self.longest + 1):
             lo, hi = self.cut[stop - 1], self.cut[stop]
-            if hi > lo:
-                word = self.word[lo:hi]
-                first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-                alpha[word[first], stop] = np.add.reduceat(alpha[word, self.start[lo:hi]] * lifted[self.piece[lo:hi]], first, axis=0)
-        return alpha
+            word = self.word[lo:hi]
+            first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            now = np.logaddexp.reduceat(alpha[word, (base + self.start[lo:hi]) % width] + logs[self.piece[lo:hi]], first, axis=0)
+            alpha[word[first], (base + stop) % width] = now
+            ends = self.lengths[word[first]] == stop
+            out[word[first][ends]] = now[ends]
+        return out
 
-    def expected(self, lifted: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    def expected(self, logs: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """Expected uses of each piece (piece, language) given word counts (word, language)."""
-        alpha = self.forward(lifted)
-        beta = np.zeros_like(alpha)
-        total = alpha[np.arange(len(self.lengths)), self.lengths]
-        beta[np.arange(len(self.lengths)), self.lengths] = weights / np.maximum(total, 1e-300)
-        out = np.zeros((len(lifted), lifted.shape[1]))
+        n = len(self.lengths)
+        alpha = np.full((n, self.longest + 1, logs.shape[1]), -np.inf)
+        alpha[:, 0] = 0
+        total = self.forward(logs, alpha)  # wide enough to hold every position
+        beta = np.full_like(alpha, -np.inf)
+        with np.errstate(divide="ignore"):
+            beta[np.arange(n), self.lengths] = np.log(weights) - total
+        out = np.zeros(logs.shape)
         for stop in range(self.longest, 0, -1):
             lo, hi = self.cut[stop - 1], self.cut[stop]
             word, start, piece = self.word[lo:hi], self.start[lo:hi], self.piece[lo:hi]
-            flow = beta[word, stop] * lifted[piece]
-            np.add.at(out, piece, flow * alpha[word, start])
-            np.add.at(beta, (word, start), flow)
+            flow = beta[word, stop] + logs[piece]
+            np.add.at(out, piece, np.exp(flow + alpha[word, start]))
+            np.logaddexp.at(beta, (word, start), flow)
         return out
 
 
-def _lifts(path: str) -> np.ndarray:
-    automaton, n = _automaton(path)
-    lift = np.full(n + 1, _LIFT)
-    for i, size in automaton.values():
-        lift[i] = _LIFT**size
-    return lift
+def _parts(words: list[str], cells: int) -> Iterator[list[int]]:
+    """Numbers of words, shorter ones first, in parts of at most ``PART_LETTERS`` letters and ``cells`` words, or of one word."""
+    part: list[int] = []
+    letters = 0
+    for i in sorted(range(len(words)), key=lambda i: len(words[i])):
+        if part and (letters + len(words[i]) > PART_LETTERS or len(part) >= cells):
+            yield part
+            part, letters = [], 0
+        part.append(i)
+        letters += len(words[i])
+    if part:
+        yield part
 
 
 class PieceModel:
-    """Languages and the probabilities of the pieces in each (the last row: a letter without a piece)."""
+    """Languages and the log probabilities of the pieces in each (the last row: a letter without a piece)."""
 
     def __init__(self, languages: list[str], probability: np.ndarray, path: str):
         self.languages, self.path = languages, path
-        self.lifted = probability * _lifts(path)[:, None]
-        self.key = hashlib.sha256(repr((languages, path)).encode() + self.lifted.tobytes()).hexdigest()
+        self.logs = np.log(probability)
+        self.key = hashlib.sha256(repr((languages, path)).encode() + self.logs.tobytes()).hexdigest()
 
     @classmethod
     def fit(cls, counts: dict[str, dict[str, int]], path: str, rounds: int = 3, smooth: float = 20.0) -> PieceModel:
         """``counts``: language -> word (marked, lower-cased) -> times."""
         languages = sorted(counts)
         words = sorted({w for c in counts.values() for w in c})
-        _, n = _automaton(path)
+        _, n, _ = _automaton(path)
         weights = np.array([[counts[lang].get(w, 0) for lang in languages] for w in words], float).reshape(len(words), len(languages))
-        lattices = [(Lattice(words[i : i + _PART], path), weights[i : i + _PART]) for i in range(0, len(words), _PART)]
-        lift = _lifts(path)[:, None]
+        lattices = [(Lattice([words[i] for i in part], path), weights[part]) for part in _parts(words, _CELLS // max(len(languages), 1))]
 
         def normal(uses: np.ndarray) -> np.ndarray:
             uses = uses.copy()
@@ -156,19 +175,22 @@ class PieceModel:
         for _ in range(rounds if languages else 0):
             uses = np.zeros_like(probability)
             for lattice, weight in lattices:
-                uses += lattice.expected(probability * lift, weight)
+                uses += lattice.expected(np.log(probability), weight)
             probability = normal(uses)
         return cls(languages, probability, path)
 
     def log_likelihood(self, words: list[str]) -> np.ndarray:
-        """(word, language)."""
-        out = np.zeros((len(words), len(self.languages)))
-        order = sorted(range(len(words)), key=lambda i: len(words[i]))
-        for at in range(0, len(order), _PART):
-            part = order[at : at + _PART]
-            lattice = Lattice([words[i] for i in part], self.path)
-            alpha = lattice.forward(self.lifted)[np.arange(len(part)), lattice.lengths]
-            out[part] = np.log(np.maximum(alpha, 1e-300)) - lattice.lengths[:, None] * np.log(_LIFT)
+        """(word, language): over all segmentations of each whole word."""
+        longest, many = _automaton(self.path)[2], len(self.languages)
+        out = np.zeros((len(words), many))
+        for part in _parts(words, _CELLS // max(many, 1) // (longest + 1) + 1):
+            alpha = np.full((len(part), longest + 1, many), -np.inf)
+            alpha[:, 0] = 0
+            size = max(len(words[i]) for i in part)
+            for at in range(0, max(size, 1), PART_LETTERS):  # a word longer than that is a part of its own, and read in pieces of so many letters
+                skip = min(at, longest)
+                lattice = Lattice([words[i][at - skip : at + PART_LETTERS] for i in part], self.path, skip)
+                out[part] = lattice.forward(self.logs, alpha, at - skip)
         return out
 
     def describe(self, tokens: list[bytes]) -> tuple[np.ndarray, ...]:
@@ -176,15 +198,19 @@ class PieceModel:
         parts = [letter_words(t.decode("utf-8", "replace")) for t in tokens]
         numbers = np.fromiter(map(len, parts), np.int64, len(parts))
         likelihood = self.log_likelihood([w for p in parts for w in p])
-        return sum_by_doc(likelihood, numbers).astype(np.float32), numbers
+        return sum_by_doc(likelihood, numbers), numbers
 
 
-def fit_language_id(docs: DataFrame, vocabulary: str | None = None, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = 400, max_words: int = 20_000, max_rows: int = 25_600) -> PieceModel:
-    """Fit on a bounded sample of ``docs``. Filter ``docs`` to hold rows out."""
+def fit_language_id(docs: DataFrame, vocabulary: str | None = None, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = 400, max_rows: int = 25_600) -> PieceModel:
+    """Fit on a bounded sample of ``docs``: of each language at most ``max_docs`` rows, ``max_rows`` in all. Filter ``docs`` to hold rows out."""
     path = vocabulary or default_path("piece_bpe_32k.model")
-    known = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    chosen = known.select("id", "lang").withColumn("n", rank).where(F.col("n") <= max_docs).orderBy("n", "lang", "id").limit(max_rows).select("id", "lang").distinct()
+    known = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text")).where("lang is not null and text is not null")
+    # of a common language only rows with small hashes, about four times as many as are taken, are ranked
+    order = F.pmod(F.xxhash64("id"), F.lit(1 << 40))
+    numbers = known.groupBy("lang").agg(F.count(F.lit(1)).alias("many"))
+    few = known.select("id", "lang").withColumn("h", order).join(numbers, "lang").where(F.col("h") * F.col("many") <= F.lit(float(4 * max_docs * (1 << 40))))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))
+    chosen = few.withColumn("n", rank).where(F.col("n") <= max_docs).orderBy("n", "lang", "id").limit(max_rows).select("id", "lang").distinct()
     sample = known.join(F.broadcast(chosen), ["id", "lang"])  # at most max_rows ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,9 +222,8 @@ def fit_language_id(docs: DataFrame, vocabulary: str | None = None, *, id_col: s
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in rows], pa.string()), pa.array([k[1] for k, _ in rows], pa.string()), pa.array([v for _, v in rows], pa.int64())], ["lang", "word", "n"])
 
     words = sample.select("lang", "text").mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    best = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
     counts: dict[str, dict[str, int]] = {}
-    for row in words.withColumn("rank", best).where(F.col("rank") <= max_words).collect():
+    for row in words.collect():  # the distinct words of the sample
         counts.setdefault(row.lang, {})[row.word] = row.n
     return PieceModel.fit(counts, path)
 
@@ -211,7 +236,7 @@ def identify(docs: DataFrame, model: PieceModel, *, id_col: str = "doc_id", text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         names = np.array([*known.languages, "und"], object)
-        table = worker_table(("language_id", known.key), lambda: WordTable(known.describe, 500_000))
+        table = worker_table(("language_id", known.key), lambda: WordTable(known.describe, max(_CELLS // max(len(known.languages), 1), 1000)))
         for batch in batches:
             for lo, hi, words, counts in split_slices(batch, 1):
                 n = hi - lo

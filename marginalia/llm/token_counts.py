@@ -4,14 +4,20 @@ Pre-tokens are the words ``[^\\x20\\x09-\\x0D]+``, each with the word mark in fr
 The distinct ones of a worker are inserted in a trie. A node is a prefix and holds
 the best score of a segmentation of that prefix and its number of tokens, computed
 once when the node is made, so words with a common prefix share it. A word's count
-is read at its terminal node. Scores: log probability of a piece of a fixed public
-vocabulary, in proportion to 1 / (position + 1) in that vocabulary's order of
-pieces; a character without a piece costs its UTF-8 bytes, one token each. Equal
-scores: fewer tokens.
+is read at its terminal node. A pre-token of over ``LONG`` letters is counted by the same
+recurrence outside the trie, of which only the last values are kept, so memory does not
+grow with a pre-token.
+
+The public piece vocabulary at hand is a merge vocabulary: its scores are ranks, not
+probabilities. The unigram model is therefore made from its order: the log probability of
+a piece is in proportion to 1 / (position + 1); a character without a piece costs its
+UTF-8 bytes, one token each. The forward score of a prefix is that of its best
+segmentation, since a count needs one; equal scores: fewer tokens, then less fallback.
 
 Result for every row: doc_id, n_words, n_tokens, n_fallback (byte tokens, of the
-chosen segmentation). A null or empty text has zeros. The trie is emptied beyond
-``max_nodes`` nodes.
+chosen segmentation). A null or empty text has zeros; rows with a null or repeated id,
+and repeated rows, are each returned; extra columns of any name are ignored. The trie is
+emptied beyond ``max_nodes`` nodes.
 """
 
 from __future__ import annotations
@@ -30,6 +36,8 @@ from marginalia.llm.words import WordTable, split_slices, sum_by_doc, worker_tab
 WORD_MARK = "▁"
 #: Log score of one fallback byte.
 BYTE_SCORE = -20.0
+#: Letters of a pre-token beyond which it shares no prefix and stays out of the trie: the same scores, but only the last ones are kept.
+LONG = 1024
 
 
 def piece_scores(path: str) -> dict[str, float]:
@@ -49,42 +57,51 @@ class ForwardTrie:
 
     def _reset(self) -> None:
         self.children: list[dict[str, int] | None] = [None]
-        self.score, self.tokens, self.fallback = [0.0], [0], [0]
+        self.values: list[tuple[float, int, int]] = [(0.0, 0, 0)]
+
+    def _best(self, word: str, i: int, past: list[tuple[float, int, int]], offset: int) -> tuple[float, int, int]:
+        """(score, -tokens, -fallback bytes) of the prefix that ends with letter ``i``; ``past[j - offset]`` has those of the first j letters."""
+        best, scores, end = None, self.scores, i + 1
+        for j in range(max(0, end - self.longest), end):
+            gain = scores.get(word[j:end])
+            if gain is not None:
+                score, tokens, fallback = past[j - offset]
+                here = (score + gain, tokens - 1, fallback)
+                if best is None or here > best:
+                    best = here
+        if word[i] not in scores:
+            size = len(word[i].encode("utf-8", "surrogatepass"))
+            score, tokens, fallback = past[i - offset]
+            here = (score + BYTE_SCORE * size, tokens - size, fallback - size)
+            if best is None or here > best:
+                best = here
+        return best
 
     def count(self, word: str) -> tuple[int, int]:
         """(tokens, fallback bytes) of the best segmentation of ``word``."""
-        if len(self.score) > self.max_nodes:
+        past, offset = [(0.0, 0, 0)], 0
+        if len(word) > LONG:
+            for i in range(len(word)):
+                past.append(self._best(word, i, past, offset))
+                if len(past) > LONG + self.longest:
+                    offset += LONG
+                    del past[:LONG]
+            return -past[-1][1], -past[-1][2]
+        if len(self.values) > self.max_nodes:
             self._reset()
-        children, score, tokens, fallback, scores = self.children, self.score, self.tokens, self.fallback, self.scores
-        path = [0]
-        node = 0
+        children, values, node = self.children, self.values, 0
         for i, letter in enumerate(word):
             below = children[node]
             if below is None:
                 below = children[node] = {}
             step = below.get(letter)
             if step is None:
-                best = None
-                for j in range(max(0, i + 1 - self.longest), i + 1):
-                    gain = scores.get(word[j : i + 1])
-                    if gain is not None:
-                        before = path[j]
-                        here = (score[before] + gain, -tokens[before] - 1, -fallback[before])
-                        if best is None or here > best:
-                            best = here
-                if letter not in scores:
-                    size = len(letter.encode("utf-8", "surrogatepass"))
-                    here = (score[node] + BYTE_SCORE * size, -tokens[node] - size, -fallback[node] - size)
-                    if best is None or here > best:
-                        best = here
-                step = below[letter] = len(score)
+                step = below[letter] = len(values)
                 children.append(None)
-                score.append(best[0])
-                tokens.append(-best[1])
-                fallback.append(-best[2])
+                values.append(self._best(word, i, past, 0))
             node = step
-            path.append(node)
-        return tokens[node], fallback[node]
+            past.append(values[node])
+        return -values[node][1], -values[node][2]
 
 
 def _describe(path: str, max_nodes: int):

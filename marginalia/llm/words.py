@@ -1,7 +1,7 @@
 """Distinct words of a worker, numbered, so that the work on a word is done once.
 
 A table lives in its Python worker and outlasts a task (workers are reused). It is
-emptied when it holds more than ``capacity`` words, so its memory is bounded
+emptied when it holds more than ``capacity`` words or ``TABLE_BYTES`` bytes, so its memory is bounded
 whatever the partition holds. Emptying it changes the time, never a result.
 """
 
@@ -35,13 +35,19 @@ class _Numbers(dict):
     def __init__(self):
         super().__init__()
         self.fresh: list[bytes] = []
+        self.bytes = 0
 
     def __missing__(self, word: bytes) -> int:
         n = self[word] = len(self)
+        self.bytes += len(word)
         self.fresh.append(word)
         return n
 
 
+#: Bytes of words that a table holds before it is emptied.
+TABLE_BYTES = 64_000_000
+
+
 class WordTable:
     """Words (bytes without white space) -> rows of feature arrays, made by ``describe(words)``."""
 
@@ -54,7 +60,7 @@ class WordTable:
 
     def index(self, words: list[bytes]) -> np.ndarray:
         """The row of each word; ``self.columns`` then holds the features of all rows."""
-        if len(self.numbers) > self.capacity:
+        if len(self.numbers) > self.capacity or self.numbers.bytes > TABLE_BYTES:
             self._reset()
         out = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
         if self.numbers.fresh:

@@ -298,12 +298,23 @@ def test_token_counts(docs, texts, empty):
     for row in token_counts.token_counts(docs, max_nodes=500).collect():
         words = words_of(texts[row.doc_id])
         assert row.n_words == len(words)
-        if len(texts[row.doc_id] or "") < 50_000:
+        if len(texts[row.doc_id] or "") < 50_000:  # a word of 300,000 letters is held against the trie below
             counts = [brute_count("▁" + w, scores, longest) for w in words]
             assert (row.n_tokens, row.n_fallback) == (sum(c[0] for c in counts), sum(c[1] for c in counts))
     assert token_counts.token_counts(empty).collect() == []
 
 
+def test_token_counts_of_long_words(monkeypatch):
+    scores = token_counts.piece_scores(default_path("piece_bpe_32k.model"))
+    trie = token_counts.ForwardTrie(scores)
+    words = ["▁" + "".join(R.choice("abeintörs漢") for _ in range(n)) for n in (5, 60, 900)]
+    inside = [trie.count(w) for w in words]
+    assert inside == [brute_count(w, scores, trie.longest) for w in words]
+    monkeypatch.setattr(token_counts, "LONG", 4)
+    nodes = len(trie.values)
+    assert [trie.count(w) for w in words] == inside and len(trie.values) == nodes
+
+
 def test_quality_rules(docs, texts, empty):
     for r in quality_rules.quality_rules(docs).collect():
         text = texts[r.doc_id] or ""
@@ -450,8 +461,8 @@ def test_line_crf_learns_and_handles_edges(spark, docs, texts, empty):
 def test_language_id_sums_all_segmentations():
     words = ["▁banana", "▁the", "▁ñandú"]
     model = language_id.PieceModel.fit({"x": {"▁banana": 5, "▁band": 2}, "y": {"▁the": 3}}, default_path("piece_bpe_32k.model"))
-    automaton, n = language_id._automaton(model.path)
-    probability = model.lifted / language_id._lifts(model.path)[:, None]
+    automaton, n, _ = language_id._automaton(model.path)
+    probability = np.exp(model.logs)
     value = model.log_likelihood(words)
 
     def total(word, column):
@@ -468,6 +479,40 @@ def test_language_id_sums_all_segmentations():
             assert value[i, column] == pytest.approx(np.log(max(total(word, column), 1e-300)), rel=1e-6)
 
 
+def test_language_id_sums_long_words_whole(monkeypatch):
+    """A word of 1,000 letters against the plain recurrence in logarithms; reading it in pieces of letters changes nothing."""
+    model = language_id.PieceModel.fit({"x": {"▁banana": 5, "▁band": 2}, "y": {"▁the": 3, "▁then": 9}}, default_path("piece_bpe_32k.model"))
+    automaton, n, longest = language_id._automaton(model.path)
+    word = "▁" + "".join(R.choice("abcdefnotähé漢") for _ in range(1000))
+    expected = []
+    for column in range(2):
+        sums = [0.0]
+        for i in range(1, len(word) + 1):
+            ways = [sums[j] + model.logs[automaton.get(word[j:i])[0], column] for j in range(max(0, i - longest), i) if automaton.exists(word[j:i])]
+            if not automaton.exists(word[i - 1]):
+                ways.append(sums[i - 1] + np.log(language_id.UNKNOWN))
+            sums.append(np.logaddexp.reduce(ways))
+        expected.append(sums[-1])
+    assert model.log_likelihood(["▁a", word, "▁the"])[1] == pytest.approx(expected)
+    monkeypatch.setattr(language_id, "PART_LETTERS", 37)
+    assert model.log_likelihood(["▁a", word, "▁the"])[1] == pytest.approx(expected)
+
+
+def test_language_id_predictions(spark):
+    """Prediction and posterior of whole texts against sums over their words."""
+    model = language_id.PieceModel.fit({"de": {"▁der": 5, "▁könig": 2}, "en": {"▁the": 3, "▁king": 2}, "fr": {"▁le": 3, "▁roi": 1}}, default_path("piece_bpe_32k.model"))
+    texts = ["der König", "the king the", "le roi, le roi!", "x1y2 the", "the the le", None, "123"]
+    rows = spark.createDataFrame([(i % 5, t, "clash") for i, t in enumerate(texts * 2)], "doc_id long, text string, lang_pred string")
+    found = Counter((r.doc_id, r.lang_pred, round(r.score, 9)) for r in language_id.identify(rows, model).collect())
+    expected = Counter()
+    for i, t in enumerate(texts * 2):
+        words = [w for token in (t or "").split() for w in language_id.letter_words(token)]
+        total = sum((model.log_likelihood([w])[0] for w in words), np.zeros(3))
+        odds = np.exp(total - total.max())
+        expected[(i % 5, model.languages[int(total.argmax())], round(float(odds.max() / odds.sum()), 9)) if words else (i % 5, "und", 0.0)] += 1
+    assert found == expected
+
+
 def test_language_id_edges(spark, docs, texts, empty):
     train = spark.createDataFrame([(i, t, lang) for i in range(30) for t, lang in [("the house and the garden of the king", "en"), ("das haus und der garten des königs", "de")]] + [(99, None, "en"), (98, "x", None)], "doc_id long, text string, lang string")
     model = language_id.fit_language_id(train)
