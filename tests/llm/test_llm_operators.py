@@ -1,6 +1,7 @@
 """Each operator against brute force, and on nulls, empty, long, tied, repeated and clashing rows."""
 
 import hashlib
+import math
 import random
 import re
 import string
@@ -9,12 +10,13 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import regex
 import tiktoken
 from public_tokenizers import PATTERN
 from pyspark.sql import functions as F
 
 from marginalia.llm import byte_bpe, jaccard_join, language_id, line_crf, mixing, quality_rules, secret_scan, token_counts, url_filter, vp_search
-from marginalia.llm.public_vocab import default_path, rank_file
+from marginalia.llm.public_vocab import default_path, piece_model, rank_file
 
 R = random.Random(5)
 WORDS = ["alpha", "Beta", "gamma,", "delta", "epsilon.", "zeta", "eta", "theta", "Iota", "kappa", "lambda", "mu", "nu", "xi", "éclair", "straße"]
@@ -338,7 +340,35 @@ def test_fertility_bands(spark):
     rows = spark.createDataFrame([(1, plain), (2, junk), (3, "привет " * 3 + " ".join(f"слово{i}" for i in range(60)))], "doc_id long, text string")
     found = {r.doc_id: r for r in quality_rules.quality_rules(rows).collect()}
     assert found[1].kept and not found[2].kept and not found[2].base_failed
-    assert found[3].script == "cyrillic"
+    assert found[3].script == "Cyrillic"
+    numbers = " ".join(str(1000 + 37 * i) for i in range(120))
+    [r] = quality_rules.quality_rules(spark.createDataFrame([(1, numbers)], "doc_id long, text string")).collect()
+    assert r.script == "none" and r.kept
+
+
+def test_fertility_by_brute_force(spark):
+    """Tokens, byte tokens, entropy, script and verdict of texts of many scripts, null and repeated ids among them."""
+    model = piece_model(default_path("piece_bpe_32k.model"))
+    alphabets = ["abcdefghij éß", "αβγδεζη", "приветмир", "שלוםעבר", "मराठीकख", "ภาษาไทย", "ქართული", "日本語漢字かな", "한국어말", "0123456789", "#$%&*", "🙂🙃😀", "ẞỳễ", "ՀայԵՐ"]
+    texts = [" ".join("".join(R.choice(a.replace(" ", "") + (b if R.random() < 0.2 else "")) for _ in range(R.randint(1, 9))) for _ in range(R.randint(1, 160))) for a in alphabets for b in ("x", R.choice(alphabets)) for _ in range(3)] + ["", None, "word " * 70]
+    rows = [(None if i % 9 == 0 else i % 50, t, "clash") for i, t in enumerate(texts)]
+    found = Counter((r.doc_id, r.n_tokens, r.n_fallback, round(r.entropy, 6), r.script, r.kept) for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, kept string")).collect())
+    expected = Counter()
+    for ident, text, _ in rows:
+        words = words_of(text)
+        ids = [t for w in words for t in model.encode(w)]
+        size = max(len(ids), 1)
+        entropy = abs(sum(-c / size * math.log2(c / size) for c in Counter(ids).values()))
+        counts = [len(regex.findall(rf"(?V1)[\p{{L}}&&\p{{Script={s}}}]", text or "")) for s in quality_rules.SCRIPTS[:-2]]
+        counts.append(len(regex.findall(r"\p{L}", text or "")) - sum(counts))
+        script = quality_rules.SCRIPTS[counts.index(max(counts))] if sum(counts) else "none"
+        least, most, bytes_, share, cap = quality_rules.BANDS[script]
+        fallback = sum(model.is_byte(t) for t in ids)
+        windows = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
+        marked = {j for i in range(len(words) - 2) if windows[tuple(words[i : i + 3])] > 1 for j in (i, i + 1, i + 2)}
+        kept = len(words) >= 50 and 100 * len(marked) <= 50 * len(words) and least <= sum(map(len, words)) / size <= most and fallback <= bytes_ * size and entropy >= min(share * math.log2(size), cap)
+        expected[(ident, len(ids), fallback, round(entropy, 6), script, kept)] += 1
+    assert found == expected
 
 
 def test_vp_search(spark):
