@@ -41,7 +41,7 @@ SCRIPTS = ["Latin", "Greek", "Cyrillic", "Armenian", "Hebrew", "Arabic", "Devana
 #: which is what a character of four bytes has; their tokens are bytes, so the entropy that can be asked for is less.
 #: Texts without letters are mostly digits, each a token: 2.8 bits are seven kinds of tokens.
 _LETTERS, _BYTES = (0.50, 8.0, 0.50, 0.50, 4.5), (0.25, 12.0, 0.95, 0.40, 4.0)
-BANDS = {name: _BYTES for name in SCRIPTS} | {name: _LETTERS for name in ("Greek", "Cyrillic", "Armenian", "Hebrew", "Arabic")} | {"Latin": (1.20, 8.0, 0.10, 0.55, 5.0), "none": (0.25, 12.0, 0.95, 0.30, 2.8)}
+BANDS = {name: _BYTES for name in SCRIPTS} | {name: _LETTERS for name in ("Greek", "Cyrillic", "Armenian", "Hebrew", "Arabic")} | {"Latin": (1.20, 8.0, 0.10, 0.65, 5.2), "none": (0.25, 12.0, 0.95, 0.30, 2.8)}
 #: Code points beyond this have no letters of these scripts worth a table.
 _LAST = 0x32000
 
