@@ -102,6 +102,7 @@ def _rows_of(k: int):
 
 def _texts_of(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_tables()
         for batch in batches:
             for lo, hi, _, one, two in _printed(batch.column(0), k):
                 yield pa.RecordBatch.from_arrays([one, two, batch.column(0).slice(lo, hi - lo)], ["fp1", "fp2", "text"])
@@ -287,7 +288,7 @@ def _forest(linked: np.ndarray) -> Iterator[tuple[int, int]]:
                 yield root, int(member)
 
 
-_COLUMNS_AT_ONCE = 4096
+_COLUMNS_AT_ONCE = 2048
 
 
 def _overlaps(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -355,7 +356,7 @@ def _exact(k: int, num: int, den: int):
 
 def _linked(
     base: DataFrame, k: int, num: int, den: int,
-    hot: int = 32, hot_bits: int = 27, wide: int = 48, entries_per_block: int = 1_000_000, rows_per_block: int = 768, block_shingles: int = 1_500_000, bytes_per_group: int = 12_000_000,
+    hot: int = 32, hot_bits: int = 26, wide: int = 48, entries_per_block: int = 1_000_000, rows_per_block: int = 384, block_shingles: int = 300_000, bytes_per_group: int = 6_000_000,
 ) -> tuple[DataFrame, DataFrame]:
     """Rows ``(doc_id, row, n_shingles, fp1, fp2)`` and classes ``(fp1, fp2, class_id, copies, group, links)`` of ``base(doc_id, row, text)``.
 

@@ -31,12 +31,14 @@ from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate, islice
 
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm.public_vocab import default_path, rank_file
+from marginalia.llm.words import release_tables
 
 KINDS = ["assign", "access", "hex", "novel"]
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -182,8 +184,10 @@ def redact(docs: DataFrame, *, text_col: str = "text", length_col: str | None =
     """
 
     @F.pandas_udf("string")
-    def clean(texts):
-        return texts.map(lambda t: t if t is None else _redacted(t, scan(t)[1]))
+    def clean(frames: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        release_tables()
+        for texts in frames:
+            yield texts.map(lambda t: t if t is None else _redacted(t, scan(t)[1]))
 
     out = docs.withColumn(text_col, clean(F.col(text_col)))
     if length_col and length_col in docs.columns:

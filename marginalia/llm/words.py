@@ -7,6 +7,8 @@ whatever the partition holds. Emptying it changes the time, never a result.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -95,8 +97,11 @@ def worker_table(key: tuple, make: Callable[[], object]):
 
 
 def release_tables() -> None:
-    """Drop the worker's tables: for operators that need the memory for something else."""
+    """Drop the worker's tables and give freed memory back: for operators that need the memory for something else."""
     _TABLES.clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def split_slices(batch: pa.RecordBatch, text: int, limit: int = 2_000_000) -> Iterator[tuple[int, int, list[bytes], np.ndarray]]:
