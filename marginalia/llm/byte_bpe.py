@@ -156,7 +156,7 @@ class _Memo(dict):
 class Codec:
     """Encoder and decoder of one vocabulary, with a bounded memo of pre-tokens."""
 
-    def __init__(self, path: str, capacity: int = 250_000):
+    def __init__(self, path: str, capacity: int = 125_000):
         self.ranks = rank_file(path)
         self.whole = PerfectHash(self.ranks)
         self.token = {rank: token for token, rank in self.ranks.items()}

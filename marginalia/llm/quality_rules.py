@@ -29,7 +29,9 @@ from marginalia.llm.textkernel import Docs, range_hashes, slices, string_buffer,
 from marginalia.llm.words import WordTable, sum_by_doc, worker_table
 
 #: Distinct words that a worker keeps.
-CAPACITY = 300_000
+CAPACITY = 150_000
+#: Bytes of text that are judged together; one longer document is judged alone.
+JUDGED = 500_000
 SYMBOLS = b"#*$%&|<>"
 # Names of the scripts that have a band of their own.
 SCRIPTS = ["Latin", "Greek", "Cyrillic", "Armenian", "Hebrew", "Arabic", "Devanagari", "Bengali", "Tamil", "Telugu", "Thai", "Lao", "Georgian", "Ethiopic", "Khmer", "Hangul", "Hiragana", "Katakana", "Han", "other", "none"]
@@ -68,8 +70,8 @@ def letters_by_script(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         two, three, four = (lead & 31) << 6 | next_[0], (lead & 15) << 12 | next_[0] << 6 | next_[1], (lead & 7) << 18 | next_[0] << 12 | next_[1] << 6 | next_[2]
         point = np.where(lead < 0xE0, two, np.where(lead < 0xF0, three, four))
         kinds[at] = np.where(point < _LAST, table[np.minimum(point, _LAST - 1)], many - 1)
-    owner = np.repeat(np.arange(n), np.diff(offsets))
-    return np.bincount(owner * many + kinds, minlength=n * many).reshape(n, many)[:, :-1]
+    spans = zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)
+    return np.array([np.bincount(kinds[a:b], minlength=many) for a, b in spans]).reshape(n, many)[:, :-1]
 
 
 _IS_SYMBOL = np.zeros(256, bool)
@@ -81,9 +83,10 @@ def base_counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     docs = Docs(data, offsets)
     out = {"n_words": docs.counts.astype(np.int64)}
 
+    spans = list(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True))
+
     def total(mask: np.ndarray) -> np.ndarray:
-        sums = np.concatenate([[0], np.cumsum(mask, dtype=np.int64)])
-        return sums[offsets[1:]] - sums[offsets[:-1]]
+        return np.array([np.count_nonzero(mask[a:b]) for a, b in spans], np.int64)
 
     out["word_chars"] = total(docs.inside & ((data & 0xC0) != 0x80))
     out["n_symbols"] = total(_IS_SYMBOL[data])
@@ -208,7 +211,7 @@ def quality_rules(docs: DataFrame, vocabulary: str | None = None, *, id_col: str
         table = worker_table(("quality_rules", path), lambda: TokenTable(_describe(path), CAPACITY))
         for batch in batches:
             data, offsets = string_buffer(batch.column(1))
-            for lo, hi in slices(offsets):
+            for lo, hi in slices(offsets, JUDGED):
                 found = _judge(table, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], min_words)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *(pa.array(found[c]) for c in _COLUMNS[1:])], _COLUMNS)
 
@@ -227,7 +230,7 @@ def keep_good(docs: DataFrame, vocabulary: str | None = None, *, text_col: str =
         for batch in batches:
             data, offsets = string_buffer(batch.column(at))
             kept = np.empty(batch.num_rows, bool)
-            for lo, hi in slices(offsets):
+            for lo, hi in slices(offsets, JUDGED):
                 kept[lo:hi] = _judge(table, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], min_words)["kept"]
             yield batch.filter(pa.array(kept))
 

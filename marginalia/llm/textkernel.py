@@ -17,7 +17,7 @@ SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 #: Bytes of text looked at together; one longer document is a slice of its own.
 SLICE_BYTES = 2_000_000
 #: Bytes hashed together.
-HASH_BYTES = 1_000_000
+HASH_BYTES = 1 << 18
 
 _U = np.uint64
 _R = 0x9E3779B97F4A7C15 | 1
