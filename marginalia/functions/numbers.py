@@ -56,16 +56,19 @@ def failure_stage(hit_rate: Column) -> Column:
     return F.when(hit_rate < 1.0, "retrieval").otherwise("synthesis")
 
 
+# Fixed value: what marks a line that the network puts into pages.
+WAF_MARKER = "__uzdbm_1"
+
+
 def normalize_bytes(content: Column, policy: str) -> Column:
-    """Bytes under a policy: ``none``, ``crlf-to-lf`` or ``strip-waf`` (10.2)."""
+    """Bytes under a policy: ``none``, ``crlf-to-lf`` or ``strip-waf``: lines with the marker go, with their line feed (10.2)."""
     if policy == "none":
         return content
-    text = F.decode(content, "ISO-8859-1")
+    text = F.decode(content, "ISO-8859-1")  # a character for each byte
     if policy == "crlf-to-lf":
         return F.encode(F.regexp_replace(text, "\r\n?", "\n"), "ISO-8859-1")
     if policy == "strip-waf":
-        kept = F.filter(F.split(text, "\n"), lambda line: ~F.lower(line).rlike("_incapsula_resource|/_sec/|akam|cdn-cgi"))
-        return F.encode(F.array_join(kept, "\n"), "ISO-8859-1")
+        return F.encode(F.regexp_replace(text, f"(?md)^[^\n]*{WAF_MARKER}[^\n]*\n?", ""), "ISO-8859-1")
     raise ValueError(f"unknown normalization policy: {policy}")
 
 

@@ -72,9 +72,9 @@ def clamp_plan(hops: Column, question: Column) -> Column:
 def retrieve(asked: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     """Hops of ``asked(query_id, question, hops)`` retrieved and merged (11.20): best score of each text."""
     hops = asked.select("query_id", F.posexplode(clamp_plan(F.col("hops"), F.col("question"))).alias("hop", "text"))
-    hops = hops.select(F.concat_ws("#", "query_id", "hop").alias("query_id"), "text")
-    found = hybrid(corpus, hops, k)
-    found = found.select(F.substring_index("query_id", "#", 1).cast("long").alias("query_id"), F.substring_index("query_id", "#", -1).cast("int").alias("hop"), "id", "score", "rank", "stages")
+    kind = f"query_id {asked.schema['query_id'].dataType.simpleString()}, hop int"
+    found = hybrid(corpus, hops.select(F.to_json(F.struct("query_id", "hop")).alias("query_id"), "text"), k)
+    found = found.withColumn("asked", F.from_json("query_id", kind)).select("asked.query_id", "asked.hop", "id", "score", "rank", "stages")
     return keep_max(found.withColumn("pos", F.struct("hop", "rank")), ["query_id", "id"]).drop("pos")
 
 

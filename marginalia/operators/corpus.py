@@ -80,6 +80,22 @@ def coverage(parts: DataFrame, reference: DataFrame) -> DataFrame:
     return found.where("found < needed").select("document_id", "part", "needed", "found")
 
 
+def tree_digest(rows: DataFrame, by: str, value: str, group: str, levels: tuple[int, ...] = (6, 3, 0)) -> DataFrame:
+    """(group, n, digest) of a group of any size: digests of digests, by prefixes of the sha256 of the key (10.8).
+
+    The leaves hold the lines of keys whose hashes share six hex digits, in key order; the
+    next level the digests that share three, then all: no task collects over 4,096 digests,
+    or more than a sixteen millionth of the lines.
+    """
+    name = F.sha2(F.col(by).cast("string"), 256)
+    out = rows.select(group, name.alias("at"), F.struct(F.col(by), F.concat_ws(":", by, value).alias("line")).alias("item"), F.lit(1).cast("long").alias("n"))
+    for digits in levels:
+        lines = F.transform(F.array_sort(F.collect_list("item")), lambda s: s["line"])
+        out = out.groupBy(group, F.substring("at", 1, digits).alias("at")).agg(F.sum("n").alias("n"), F.sha2(F.array_join(lines, "\n"), 256).alias("digest"))
+        out = out.select(group, "at", F.struct(F.col("at"), F.col("digest").alias("line")).alias("item"), "n")
+    return out.select(group, "n", F.col("item.line").alias("digest"))
+
+
 def ordered_digest(rows: DataFrame, by: str, value: str, group: str) -> DataFrame:
     """A digest of a group's values in key order (1.9, 7.16, 10.8)."""
     lines = F.transform(F.array_sort(F.collect_list(F.struct(by, value))), lambda s: F.concat_ws(":", s[by], s[value]))

@@ -44,15 +44,23 @@ def cite_keys(claims: Column) -> Column:
     return F.flatten(F.transform(claims, lambda c: F.transform(c["cites"], key)))
 
 
+def truth(value: Column) -> Column:
+    """Whether a JSON value counts as true: not if it is absent, null, false, zero, or empty."""
+    kind, text = F.coalesce(F.schema_of_variant(value), F.lit("VOID")), F.to_json(value)
+    number = kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
+    return F.when(kind == "VOID", False).when(kind == "BOOLEAN", text == "true").when(number, text.cast("double") != 0).otherwise(~text.isin('""', "[]", "{}"))
+
+
 def judge_verdicts(responses: DataFrame, points: DataFrame) -> DataFrame:
     """(item_id, point_id, credited) of ``responses(item_id, text)`` for ``points(item_id, point_id)`` (10.26).
 
     A point without a verdict is an error; a repeated one counts as last given.
     """
-    raw = F.from_json(strip_code_fence(F.col("text")), "struct<verdicts:array<struct<pointId:string,credited:string,rationale:string>>>")
-    rows = responses.select("item_id", F.posexplode(raw["verdicts"]).alias("pos", "v")).where("v.pointId is not null")
-    truthy = ~F.coalesce(F.lower("v.credited"), F.lit("false")).isin("false", "0", "", "null")
-    last = rows.groupBy("item_id", F.col("v.pointId").alias("point_id")).agg(F.max_by(truthy, "pos").alias("credited"))
+    whole = F.parse_json(strip_code_fence(F.col("text")))
+    rows = responses.select("item_id", F.posexplode(F.try_variant_get(whole, "$.verdicts", "array<variant>")).alias("pos", "v"))
+    rows = rows.where(F.schema_of_variant(F.try_variant_get("v", "$.pointId", "variant")) == "STRING")
+    said = truth(F.try_variant_get("v", "$.credited", "variant"))
+    last = rows.groupBy("item_id", F.try_variant_get("v", "$.pointId", "string").alias("point_id")).agg(F.max_by(said, "pos").alias("credited"))
     joined = points.select("item_id", "point_id").join(last, ["item_id", "point_id"], "left")
     return joined.withColumn("credited", require(F.col("credited"), F.col("credited").isNotNull(), "the judge left out a point", "boolean"))
 

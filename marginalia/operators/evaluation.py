@@ -49,9 +49,9 @@ def arm_comparison(baseline: DataFrame, treatment: DataFrame, measure: str, by:
     return out
 
 
-def arm_table(scores: DataFrame, arms: list[str], rag_arms: list[str], by: str = "behavior_class") -> DataFrame:
+def arm_table(scores: DataFrame, arms: list[str] | None, rag_arms: list[str], by: str = "behavior_class") -> DataFrame:
     """Cells of (slice, arm) (5.11): retrieval measures are null outside the retrieval arms."""
-    keyed = scores.where(F.col("arm").isin(arms)).withColumn("__by", F.col(by))
+    keyed = (scores if arms is None else scores.where(F.col("arm").isin(arms))).withColumn("__by", F.col(by))
     out = keyed.groupingSets([["__by", "arm"], ["arm"]], "__by", "arm").agg(
         F.grouping("__by").alias("__all"), F.count(F.lit(1)).alias("n"), F.round(share(F.col("strict_pass")), DIGITS).alias("strict_pass_rate"), F.round(F.avg("retrieval_hit_rate"), DIGITS).alias("__hit")
     )

@@ -37,8 +37,8 @@ def hybrid(corpus: DataFrame, queries: DataFrame, k: int = 8, *, allowed: Column
 
 
 def guard_after_fusion(fused: DataFrame, level: Column, allowed: list[str] | None, k: int) -> DataFrame:
-    """Drop candidates of other levels after fusion, then cut (3.17, 7.4). No levels: no filter."""
-    kept = fused.where(level.isin(allowed)) if allowed else fused
+    """Drop candidates of other levels after fusion, then cut (3.17, 7.4). None: no filter; an empty list drops all."""
+    kept = fused if allowed is None else fused.where(level.isin(allowed))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return kept.withColumn("rank", place).where(F.col("rank") <= k)
 
@@ -64,11 +64,11 @@ def authority_rerank(candidates: DataFrame, authority: Column, by: list[str], sc
     return candidates.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(authority, F.desc(score), pos)))
 
 
-def scripted_rerank(candidates: DataFrame, key: str, order: list, pos: str = "pos") -> DataFrame:
-    """Listed keys first in the given order, the rest as they were (7.9): adds ``place``."""
+def scripted_rerank(candidates: DataFrame, key: str, order: list, pos: str = "pos", by: list[str] | None = None) -> DataFrame:
+    """Listed keys first in the given order, the rest as they were (7.9): adds ``place``, within each value of ``by``."""
     listed = list(dict.fromkeys(order))
     at = F.array_position(F.array(*map(F.lit, listed)), F.col(key)) if listed else F.lit(0)
-    return candidates.withColumn("place", F.row_number().over(Window.orderBy(F.when(at > 0, at).otherwise(F.lit(len(listed) + 1)), pos)))
+    return candidates.withColumn("place", F.row_number().over(Window.partitionBy(*(by or [])).orderBy(F.when(at > 0, at).otherwise(F.lit(len(listed) + 1)), pos)))
 
 
 def relevance_rerank(candidates: DataFrame, relevance: str, authority: Column, by: list[str], pos: str = "pos") -> DataFrame:

@@ -73,19 +73,44 @@ def _gram_codes(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(raw[:-2] << 16 | raw[1:-1] << 8 | raw[2:], return_counts=True)
 
 
-def trigram_cosine(corpus: DataFrame, queries: DataFrame, k: int | None = 8, max_queries: int = 1024) -> DataFrame:
+def trigram_cosine(corpus: DataFrame, queries: DataFrame, k: int | None = 8, max_queries: int = 1024, matrix_bytes: int = 64_000_000) -> DataFrame:
     """Positive cosines of trigram bags, best first (7.7, 10.10).
 
-    Up to ``max_queries`` queries (counted first) are a matrix of grams by queries that every
-    task holds; the corpus passes once and nothing but each slice's best rows is shuffled.
-    More queries, or all ranks (``k`` None), are joined on grams instead.
+    Queries are a matrix of grams by queries that every task holds; the corpus passes once and
+    nothing but each slice's best rows is shuffled. More than ``max_queries`` queries, or
+    more grams than ``matrix_bytes`` allow, are dealt to blocks with a pass each, of which the
+    driver holds one at a time. All ranks (``k`` None) are joined on grams instead.
     """
-    asked = queries.select("query_id", F.col("text").cast("string")).limit(max_queries + 1).collect() if k is not None else []
-    if k is None or len(asked) > max_queries:
+    if k is None:
         return trigram_cosine_joined(corpus, queries, k)
+    asked = queries.select("query_id", F.col("text").cast("string"))
+    rows = asked.limit(max_queries + 1).collect()
+    blocks = [rows] if len(rows) <= max_queries else batched(asked.toLocalIterator(), max_queries)
+    parts = [part for block in blocks for part in _by_bytes(block, matrix_bytes)]
+    if len(parts) <= 1:
+        return _trigram_block(corpus, queries, [r for part in parts for r in part], k)
+    return top_k(reduce(DataFrame.unionByName, [materialize(_trigram_block(corpus, queries, part, k)) for part in parts]).drop("rank"), k)
+
+
+def _by_bytes(rows: Sequence[Row], limit: int) -> Iterator[list[Row]]:
+    """Runs of queries whose matrix has at most ``limit`` bytes, one query at least."""
+    part: list[Row] = []
+    grams: set[int] = set()
+    for row in rows:
+        more = grams | set(_gram_codes(row.text)[0].tolist())
+        if part and len(more) * (len(part) + 1) * 8 > limit:
+            yield part
+            part, more = [], set(_gram_codes(row.text)[0].tolist())
+        part, grams = [*part, row], more
+    if part:
+        yield part
+
+
+def _trigram_block(corpus: DataFrame, queries: DataFrame, asked: Sequence[Row], k: int) -> DataFrame:
+    """One pass for queries that a task can hold. Dot products are whole numbers in double precision, so exact."""
     bags = [_gram_codes(r.text) for r in asked]
     grams = np.unique(np.concatenate([b[0] for b in bags] or [np.empty(0, np.int64)]))
-    matrix = np.zeros((len(grams), len(asked)), np.float32)
+    matrix = np.zeros((len(grams), len(asked)))
     for q, (codes, counts) in enumerate(bags):
         matrix[np.searchsorted(grams, codes), q] = counts
     norms = np.array([np.sqrt(float((c * c).sum())) for _, c in bags])
@@ -103,7 +128,7 @@ def trigram_cosine(corpus: DataFrame, queries: DataFrame, k: int | None = 8, max
                     known = place < len(grams)
                     known[known] = grams[place[known]] == codes[known]
                     if known.any():
-                        dots = counts[known].astype(np.float32) @ matrix[place[known]]
+                        dots = counts[known].astype(float) @ matrix[place[known]]
                         score[i] = dots / np.maximum(norms * np.sqrt(float((counts * counts).sum())), 1e-300)
                 score = np.round(score, DIGITS)
                 least = np.partition(score, -k, axis=0)[-k] if part.num_rows > k else np.zeros(len(norms))

@@ -8,6 +8,7 @@ does, iteration after iteration.
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -16,6 +17,12 @@ from pyspark.sql import functions as F
 from marginalia.functions.numbers import kappa_of
 
 DIGITS = 6
+# The generator of permutations.
+LCG_FACTOR, LCG_STEP, LCG_MODULUS = 1664525, 1013904223, 1 << 32
+
+
+#: Draws of the sequential generator that are made together.
+DRAWS_AT_ONCE = 100_000
 
 
 def hash_draw(seed: int, iteration: Column, slot: Column, n: Column) -> Column:
@@ -35,9 +42,15 @@ def draws(spark: SparkSession, n: int, iterations: int, seed: int, generator: st
     if generator == "hash":
         grid = spark.range(iterations).select(F.col("id").alias("iteration"), F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))).alias("slot"))
         return grid.select("iteration", hash_draw(seed, F.col("iteration"), F.col("slot"), F.lit(n)).alias("idx"))
-    rng = random.Random(seed)  # one generator runs through all iterations, as in the sequential definition
-    rows = pd.DataFrame([(i, rng.randrange(n)) for i in range(iterations) for _ in range(n)], columns=["iteration", "idx"])
-    return spark.createDataFrame(rows, "iteration long, idx long")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _ in frames:
+            rng = random.Random(seed)  # one generator runs through all iterations, as in the sequential definition
+            for i in range(iterations):
+                for at in range(0, n, DRAWS_AT_ONCE):
+                    yield pd.DataFrame({"iteration": i, "idx": [rng.randrange(n) for _ in range(min(DRAWS_AT_ONCE, n - at))]})
+
+    return spark.range(1).coalesce(1).mapInPandas(run, "iteration long, idx long")
 
 
 def interval(resampled: DataFrame, value: str, confidence: float = 0.95) -> DataFrame:
@@ -57,6 +70,25 @@ def paired_bootstrap(pairs: DataFrame, seed: int, iterations: int = 2000, confid
     return interval(gaps, "gap", confidence).join(items.agg(F.round(F.avg("gap"), DIGITS).alias("point")))
 
 
+# Chances of at most 0 to 7 events of a Poisson distribution of mean 1.
+POISSON = [0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676, 0.99998975]
+
+
+def poisson_bootstrap(pairs: DataFrame, seed: int, iterations: int = 2000, confidence: float = 0.95) -> DataFrame:
+    """(point, low, high, iterations) of mean(treatment - baseline) over items of any number (12.1).
+
+    An item's weight in a resample is a Poisson draw by the hash of its id, so items need no
+    numbers and no join, and a task sends one sum for each resample.
+    """
+    items = pairs.select("item_id", (F.col("treatment") - F.col("baseline")).cast("double").alias("gap"))
+    each = items.withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
+    digest = F.md5(F.concat_ws(":", F.lit(seed), F.col("iteration"), F.col("item_id").cast("string")).cast("binary"))
+    chance = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    weight = sum((F.when(chance >= limit, 1).otherwise(0) for limit in POISSON[1:]), F.when(chance >= POISSON[0], 1).otherwise(0))
+    means = each.groupBy("iteration").agg((F.sum(weight * F.col("gap")) / F.sum(weight)).alias("gap"))
+    return interval(means, "gap", confidence).join(items.agg(F.round(F.avg("gap"), DIGITS).alias("point")))
+
+
 def kappa_bootstrap(points: DataFrame, seed: int, iterations: int = 2000, confidence: float = 0.95, generator: str = "hash") -> DataFrame:
     """The interval of kappa over resampled points (12.2)."""
     items, n = numbered(points.select("point_id", F.col("human").cast("double").alias("h"), F.col("judge").cast("double").alias("j")), "point_id")
@@ -113,12 +145,12 @@ def seeded_slice(ids: list[str], size: int, seed: int) -> list[str]:
 
 def permuted(values: list, seed: int) -> list:
     """Seed 0: as they are; else Fisher-Yates from the end with a linear congruential generator (7.13)."""
-    out, state = list(values), seed % (1 << 32)
+    out, state = list(values), seed % LCG_MODULUS or 1
     if seed == 0:
         return out
     for i in range(len(out) - 1, 0, -1):
-        state = (1664525 * state + 1013904223) % (1 << 32)
-        j = state % (i + 1)
+        state = (LCG_FACTOR * state + LCG_STEP) % LCG_MODULUS
+        j = state * (i + 1) // LCG_MODULUS  # by the upper bits
         out[i], out[j] = out[j], out[i]
     return out
 
