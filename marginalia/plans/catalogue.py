@@ -165,11 +165,11 @@ def authority_rerank(spark, sf_dir):
     return fusion.authority_rerank(o, F.substring("o_orderpriority", 1, 1), ["o_custkey"], "o_totalprice").select("o_custkey", "o_orderkey", "place")
 
 
-@query("""SELECT p_partkey, row_number() OVER (ORDER BY CASE p_partkey WHEN 7 THEN 1 WHEN 3 THEN 2 WHEN 19 THEN 3 ELSE 4 END, p_partkey) AS place FROM part""")
+@query("""SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY CASE p_partkey WHEN 7 THEN 1 WHEN 3 THEN 2 WHEN 19 THEN 3 ELSE 4 END, p_partkey) AS place FROM part""")
 def scripted_rerank(spark, sf_dir):
-    """7.9: listed keys first, repeats ignored."""
-    part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_partkey").alias("pos"))
-    return fusion.scripted_rerank(part, "p_partkey", [7, 3, 7, 19]).select("p_partkey", "place")
+    """7.9: within each brand listed keys first, repeats ignored."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.col("p_partkey").alias("pos"))
+    return fusion.scripted_rerank(part, "p_partkey", [7, 3, 7, 19], by=["p_brand"]).select("p_partkey", "place")
 
 
 @query("""WITH s AS (SELECT user_id, list_sort(list_distinct(list(event_type))) AS t FROM events GROUP BY user_id)
@@ -364,8 +364,7 @@ def arm_comparison(spark, sf_dir):
 def four_arm_table(spark, sf_dir):
     """5.11, 3.28: retrieval measures only for the retrieval arms."""
     a = _arms(spark, sf_dir)
-    names = [r.arm for r in a.select("arm").distinct().collect()]
-    return evaluation.arm_table(a, names, ["click", "view"])
+    return evaluation.arm_table(a, None, ["click", "view"])
 
 
 _POINTS = "points AS (SELECT l.doc_id AS point_id, quality = 1 AS human, toxic = 1 AS judge, lang FROM labels AS l JOIN documents USING (doc_id))"
@@ -520,18 +519,18 @@ def redundancy_findings(spark, sf_dir):
 
 
 @query("""WITH seeds AS (SELECT o_orderkey AS k FROM orders WHERE o_orderstatus = 'P'),
-  e AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS pos, l_orderkey AS a, l_partkey + 10000000 AS b FROM lineitem),
+  e AS (SELECT [l_orderkey, l_linenumber, l_partkey, l_suppkey] AS pos, l_orderkey AS a, l_partkey + 10000000 AS b FROM lineitem),
   both_ AS (SELECT pos, 0 AS turn, a AS via, b AS key FROM e UNION ALL SELECT pos, 1, b, a FROM e),
   o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY pos, turn) AS n FROM both_ WHERE via IN (SELECT k FROM seeds) AND key NOT IN (SELECT k FROM seeds) AND key IN (SELECT p_partkey + 10000000 FROM part WHERE p_size > 5))
-  SELECT key, via, pos AS edge_pos FROM o WHERE n = 1""")
+  SELECT key, via, pos[1] AS edge_order, pos[2] AS edge_line FROM o WHERE n = 1""")
 def graph_expand_one_hop(spark, sf_dir):
     """4.3: order lines are edges from orders to parts."""
     li = table(spark, sf_dir, "lineitem")
-    pos = F.row_number().over(Window.orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")).cast("long")
+    pos = F.struct(*[F.col(c).cast("long").alias(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])  # an order without numbering
     edges = li.select(pos.alias("edge_pos"), F.col("l_orderkey").alias("source"), (F.col("l_partkey") + 10000000).alias("target"))
     seeds = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("key"))
     parts = table(spark, sf_dir, "part").where("p_size > 5").select((F.col("p_partkey") + 10000000).alias("key"))
-    return graph.expand_one_hop(seeds, edges, parts)
+    return graph.expand_one_hop(seeds, edges, parts).select("key", "via", F.col("edge_pos.l_orderkey").alias("edge_order"), F.col("edge_pos.l_linenumber").alias("edge_line"))
 
 
 @query("""WITH t AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS term FROM benchmark), u AS (SELECT term FROM t WHERE length(term) >= 9) SELECT doc_id AS id, term FROM documents JOIN u ON contains(lower(text), lower(term))""")
@@ -576,11 +575,12 @@ def manifest_verify(spark, sf_dir):
     return corpus.verify_manifest(manifest, pages.where("startswith(url, 'https:')").select("id", F.encode("html", "UTF-8").alias("content"))).select("id", "status")
 
 
-@query("""WITH d AS (SELECT source, doc_id, sha256(text) AS h FROM documents) SELECT source, count(*) AS n, sha256(string_agg(doc_id || ':' || h, chr(10) ORDER BY doc_id)) AS digest FROM d GROUP BY source""")
+@query("""WITH d AS (SELECT source, doc_id, concat_ws(':', doc_id, sha256(text)) AS line, sha256(doc_id::VARCHAR) AS name FROM documents), a AS (SELECT source, left(name, 6) AS leaf, count(*) AS n, sha256(string_agg(line, chr(10) ORDER BY doc_id)) AS line FROM d GROUP BY ALL),
+  b AS (SELECT source, left(leaf, 3) AS up, sum(n) AS n, sha256(string_agg(line, chr(10) ORDER BY leaf)) AS line FROM a GROUP BY ALL) SELECT source, sum(n)::BIGINT AS n, sha256(string_agg(line, chr(10) ORDER BY up)) AS digest FROM b GROUP BY source""")
 def build_hash(spark, sf_dir):
-    """1.9, 10.8: an ordered digest of each source."""
+    """1.9, 10.8: a digest of each source, as digests of digests."""
     docs = chunks(spark, sf_dir).select("source", "id", F.sha2("text", 256).alias("h"))
-    return corpus.ordered_digest(docs, "id", "h", "source")
+    return corpus.tree_digest(docs, "id", "h", "source")
 
 
 @query("""SELECT conv_id, round(sum(((length(text) - least(turn * 10, length(text))) * 1.25::DOUBLE + least(turn * 10, length(text)) * 0.31::DOUBLE + 7 * 10.0::DOUBLE) / 1e6), 9) AS cost FROM conversations GROUP BY conv_id""")
@@ -616,16 +616,6 @@ def slugify_titles(spark, sf_dir):
 _SPLIT = lambda kind: text.head_marker(F.col("line"), kind)
 
 
-@query("""WITH l AS (SELECT * FROM (VALUES ('5.1. Purposes of Act'), ('(2.1) A landlord shall'), ('(a) in the case'), ('1. A tenant'), ('(iv) by mail'), ('Schedule 1 Useful life'), ('Schedule Useful'), ('Table a Sitework'), ('plain')) AS x(line))
-  SELECT line, nullif(regexp_extract(line, '^\\s*(\\d+(?:\\.\\d+)*)\\.?\\s+', 1), '') AS section, nullif(regexp_extract(line, '^\\(\\s*(\\d+(?:\\.\\d+)*)\\s*\\)\\s*', 1), '') AS subsection,
-    coalesce(nullif(regexp_extract(line, '(?i)^\\(\\s*([a-z]+(?:\\.\\d+)?)\\s*\\)\\s*', 1), ''), nullif(regexp_extract(line, '^(\\d+(?:\\.\\d+)*)\\.\\s+', 1), '')) AS clause, nullif(regexp_extract(line, '(?i)^\\(?\\s*([ivxlcdm]+)\\s*[).]\\s*', 1), '') AS subparagraph FROM l""")
-def head_markers(spark, sf_dir):
-    """9.8-9.11: markers at the head of provisions."""
-    lines = ["5.1. Purposes of Act", "(2.1) A landlord shall", "(a) in the case", "1. A tenant", "(iv) by mail", "Schedule 1 Useful life", "Schedule Useful", "Table a Sitework", "plain"]
-    rows = spark.createDataFrame([(x,) for x in lines], "line string")
-    return rows.select("line", _SPLIT("section")["label"].alias("section"), _SPLIT("subsection")["label"].alias("subsection"), text.clause_marker(F.col("line"))["label"].alias("clause"), _SPLIT("subparagraph")["label"].alias("subparagraph"))
-
-
 @query("""WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents), l AS (SELECT doc_id, unnest(range(len(lines))) AS pos, unnest(lines) AS line FROM s)
   SELECT doc_id, pos, nullif(regexp_extract(line, '^\\s*(\\d+(?:\\.\\d+)*)\\.?\\s+', 1), '') AS section, nullif(regexp_extract(line, '^\\(\\s*(\\d+(?:\\.\\d+)*)\\s*\\)\\s*', 1), '') AS subsection,
     coalesce(nullif(regexp_extract(line, '(?i)^\\(\\s*([a-z]+(?:\\.\\d+)?)\\s*\\)\\s*', 1), ''), nullif(regexp_extract(line, '^(\\d+(?:\\.\\d+)*)\\.\\s+', 1), '')) AS clause, nullif(regexp_extract(line, '(?i)^\\(?\\s*([ivxlcdm]+)\\s*[).]\\s*', 1), '') AS subparagraph FROM l""")
@@ -635,13 +625,17 @@ def head_markers_of_lines(spark, sf_dir):
     return lines.select("doc_id", F.col("pos").cast("long").alias("pos"), _SPLIT("section")["label"].alias("section"), _SPLIT("subsection")["label"].alias("subsection"), text.clause_marker(F.col("line"))["label"].alias("clause"), _SPLIT("subparagraph")["label"].alias("subparagraph"))
 
 
-@query("""WITH t AS (SELECT conv_id, count(*) AS turns, string_agg(text, ' ' ORDER BY turn) AS s FROM conversations GROUP BY conv_id), c AS (SELECT *, left(s, 2000) AS cut FROM t)
-  SELECT conv_id, turns, CASE WHEN length(s) <= 2000 THEN s WHEN strpos(cut, ' ') > 0 AND length(cut) - strpos(reverse(cut), ' ') > 1000 THEN left(cut, length(cut) - strpos(reverse(cut), ' ')) ELSE cut END AS summary FROM c""")
+@query("""WITH RECURSIVE t AS (SELECT conv_id, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS n FROM conversations),
+  m AS (SELECT conv_id, 0::BIGINT AS n, '' AS s FROM t WHERE n = 1 UNION ALL
+    SELECT conv_id, n, CASE WHEN length(j) <= 2000 THEN j WHEN strpos(left(j, 2000), ' ') > 0 AND 2000 - strpos(reverse(left(j, 2000)), ' ') > 1000 THEN left(j, 2000 - strpos(reverse(left(j, 2000)), ' ')) ELSE left(j, 2000) END
+    FROM (SELECT m.conv_id, t.n, CASE WHEN m.s = '' THEN t.text ELSE m.s || ' ' || t.text END AS j FROM m JOIN t ON t.conv_id = m.conv_id AND t.n = m.n + 1))
+  SELECT conv_id, n AS turns, s AS summary FROM m WHERE n = (SELECT max(t.n) FROM t WHERE t.conv_id = m.conv_id)""")
 def session_memory_batch(spark, sf_dir):
-    """11.28 in batch: a conversation's turns as one capped summary."""
-    c = table(spark, sf_dir, "conversations")
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda s: s["text"]), " ")
-    return c.groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), joined.alias("s")).select("conv_id", "turns", text.cap_summary(F.col("s")).alias("summary"))
+    """11.28 in batch: the fold of the stream, turn by turn, over each conversation."""
+    turns = F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))))
+    step = lambda seen, t: text.cap_summary(F.when(seen == "", t["text"]).otherwise(F.concat(seen, F.lit(" "), t["text"])))
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), turns.alias("t"))
+    return c.select("conv_id", "turns", F.aggregate("t", F.lit(""), step).alias("summary"))
 
 
 @query()

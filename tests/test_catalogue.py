@@ -6,10 +6,10 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from marginalia.plans import catalogue
+from marginalia.plans import catalogue, queries_more
 
 FOLDER = "/root/testdata/sf0.001"
-NAMES = ["bm25_batch", "trigram_cosine_topk", "hybrid_retrieve", "path_key_parse", "cite_precision_recall", "score_dashboard", "rescue_stats", "cohen_kappa_by_class", "stratified_split", "graph_expand_one_hop", "session_memory_batch", "manifest_verify"]
+NAMES = ["bm25_batch", "trigram_cosine_topk", "hybrid_retrieve", "path_key_parse", "cite_precision_recall", "score_dashboard", "rescue_stats", "cohen_kappa_by_class", "stratified_split", "graph_expand_one_hop", "session_memory_batch", "manifest_verify", "build_hash", *sorted(set(queries_more.__dict__) & set(catalogue.ORACLES))]
 
 
 def values(rows, columns):

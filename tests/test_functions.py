@@ -101,4 +101,6 @@ def test_numbers(spark):
     assert value(spark, numbers.token_cost(F.col("p"), F.col("c"), F.col("o")), p=1_000_000, c=400_000, o=100_000) == pytest.approx(0.6 * 1.25 + 0.4 * 0.31 + 1.0)
     assert value(spark, numbers.dense_cosine(F.col("a"), F.col("b")), a=[1.0, 0.0], b=[0.0, 0.0]) == 0.0
     assert numbers.canonical_json({"b": 1, "a": {"d": "é", "c": [1]}}) == '{"a":{"c":[1],"d":"é"},"b":1}'
+    for before, after in ((b"a\nx __uzdbm_1 y\nb", b"a\nb"), (b"a\n__uzdbm_1", b"a\n"), (b"akam\r\n__UZDBM_1\n\xff", b"akam\r\n__UZDBM_1\n\xff"), (b"__uzdbm_1\n", b"")):
+        assert bytes(value(spark, numbers.normalize_bytes(F.col("b"), "strip-waf"), b=bytearray(before))) == after
     assert bytes(value(spark, numbers.normalize_bytes(F.col("b"), "crlf-to-lf"), b=bytearray(b"a\r\nb\rc\xff"))) == b"a\nb\nc\xff"

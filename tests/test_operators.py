@@ -66,7 +66,7 @@ def test_rrf(spark):
 def test_guard_and_reranks(spark):
     fused = frame(spark, [(1, "a", 0.9, "rule"), (1, "b", 0.8, "act"), (1, "c", 0.8, "act")], "query_id int, id string, score double, level string")
     assert [r.id for r in fusion.guard_after_fusion(fused, F.col("level"), ["act"], 5).orderBy("rank").collect()] == ["b", "c"]
-    assert fusion.guard_after_fusion(fused, F.col("level"), [], 5).count() == 3
+    assert fusion.guard_after_fusion(fused, F.col("level"), [], 5).count() == 0 and fusion.guard_after_fusion(fused, F.col("level"), None, 5).count() == 3
     rows = frame(spark, [("a", 1), ("b", 2), ("c", 3), ("d", 4)], "key string, pos int")
     assert [r.key for r in fusion.scripted_rerank(rows, "key", ["c", "x", "a", "c"]).orderBy("place").collect()] == ["c", "a", "b", "d"]
     scored = frame(spark, [(1, "a", 0.5, 2, 1), (1, "b", 0.5, 1, 2), (1, "c", None, 0, 3)], "query_id int, key string, rel double, auth int, pos int")
@@ -145,6 +145,7 @@ def test_mersenne_bootstrap(spark):
 
 def test_permutation_and_slices():
     assert stats.permuted([1, 2, 3], 0) == [1, 2, 3]
+    assert stats.permuted(list(range(6)), 1) == [4, 0, 3, 2, 5, 1]
     once = stats.permuted(list(range(10)), 5)
     assert once == stats.permuted(list(range(10)), 5) != list(range(10)) and sorted(once) == list(range(10))
     assert stats.seeded_slice(["a", "b", "a", "c"], 2, 1) == random.Random(1).sample(["a", "b", "c"], 2)
