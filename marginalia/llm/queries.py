@@ -15,6 +15,7 @@ from marginalia.llm.mixing import mix
 from marginalia.llm.public_vocab import default_path
 from marginalia.llm.quality_rules import quality_rules
 from marginalia.llm.secret_scan import secret_scan
+from marginalia.llm.sql import MIXING_TARGETS, NGRAM_JACCARD_JOIN, QUALITY_BASE_COUNTS, SECRET_BASE_SPANS
 from marginalia.llm.token_counts import token_counts
 from marginalia.llm.url_filter import url_filter
 from marginalia.llm.vp_search import nearest
@@ -91,6 +92,21 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def secret_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op2 that do not depend on compression."""
+    return op2_secret_scans(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op5 before any rounding."""
+    return op5_mixing(spark, sf_dir).select("doc_id", "size", "source_size", "target")
+
+
+def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op10 that need no vocabulary."""
+    return op10_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_secret_scans": op2_secret_scans,
@@ -103,7 +119,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": op9_language_id,
     "op10_quality_rules": op10_quality_rules,
 }
+#: Columns of op2, op5 and op10 that SQL can express, as queries of their own.
+PARTS: dict[str, Callable[[SparkSession, str], DataFrame]] = {"secret_base_spans": secret_base_spans, "mixing_targets": mixing_targets, "quality_base_counts": quality_base_counts}
 ORACLES: dict[str, str] = {
+    "op8_ngram_jaccard_join": NGRAM_JACCARD_JOIN,
+    "secret_base_spans": SECRET_BASE_SPANS,
+    "mixing_targets": MIXING_TARGETS,
+    "quality_base_counts": QUALITY_BASE_COUNTS,
     "op3_nearest_neighbours": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
                    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
