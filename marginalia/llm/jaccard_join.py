@@ -100,12 +100,27 @@ def _rows_of(k: int):
     return run
 
 
+#: Sets that a task remembers at once, to send the text of a copy only once.
+_SEEN = 65_536
+
+
 def _texts_of(k: int):
+    """The texts with a word, most repeats of a set within a task left out."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_tables()
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
-            for lo, hi, _, one, two in _printed(batch.column(0), k):
-                yield pa.RecordBatch.from_arrays([one, two, batch.column(0).slice(lo, hi - lo)], ["fp1", "fp2", "text"])
+            for lo, hi, n, one, two in _printed(batch.column(0), k):
+                fresh = []
+                for i, (size, *print_) in enumerate(zip(n.to_pylist(), one.to_pylist(), two.to_pylist(), strict=True)):
+                    if size and (key := tuple(print_)) not in seen:
+                        if len(seen) >= _SEEN:
+                            seen.clear()
+                        seen.add(key)
+                        fresh.append(i)
+                at = pa.array(fresh, pa.int64())
+                yield pa.RecordBatch.from_arrays([one.take(at), two.take(at), batch.column(0).slice(lo, hi - lo).take(at)], ["fp1", "fp2", "text"])
 
     return run
 

@@ -9,6 +9,7 @@ import uuid
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 import tiktoken
@@ -107,6 +108,17 @@ def test_jaccard_join_null_and_repeated_ids(spark):
     assert out == sorted([(1, 1, 3), (1, 1, 3), (2, 1, 3), (None, 1, 3), (3, 3, 0), (3, 3, 1), (4, 3, 1), (None, None, 0), (5, 5, 0)], key=str)
 
 
+@pytest.mark.parametrize("seen", [2, 1000])
+def test_texts_are_sent_once_a_task(monkeypatch, seen):
+    """Copies leave a task once, or a few times where it forgets; none is lost, wordless texts are."""
+    monkeypatch.setattr(jaccard_join, "_SEEN", seen)
+    texts = [None, "", " ", "a b", "c d", "a b", "A  B", "e f", "a b", None, "c d", "last one"]
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[i : i + 4])], ["text"]) for i in range(0, len(texts), 4)]
+    out = [t for b in jaccard_join._texts_of(4)(iter(batches)) for t in b.column("text").to_pylist()]
+    assert {ascii_lower(" ".join(t.split())) for t in out} == {"a b", "c d", "e f", "last one"}
+    assert len(out) == 4 if seen == 1000 else len(out) < 9
+
+
 def test_drop_near_copies(spark, docs, texts, empty):
     parts = brute_components(texts, 4, 85, 100)
     kept = jaccard_join.drop_near_copies(docs, 4, 85, 100)
