@@ -201,17 +201,29 @@ class PieceModel:
         return sum_by_doc(likelihood, numbers), numbers
 
 
+#: So many of the commonest languages are thinned before their rows are ranked.
+_THINNED = 10_000
+
+
+def _chosen(known: DataFrame, max_docs: int, max_rows: int) -> DataFrame:
+    """``(id, lang)`` of the rows to fit on: the ``max_docs`` smallest hashes of each language, ``max_rows`` in all.
+
+    Of a common language only rows with small hashes, about four times as many as are
+    taken, are shuffled and ranked; the limits that tell them are broadcast.
+    """
+    limits = known.groupBy("lang").agg(F.count(F.lit(1)).cast("double").alias("many")).where(F.col("many") > 4 * max_docs)
+    limits = limits.orderBy(F.desc("many"), "lang").limit(_THINNED).select("lang", (F.lit(float(4 * max_docs) * (1 << 40)) / F.col("many")).alias("most"))
+    few = known.select("id", "lang").withColumn("h", F.pmod(F.xxhash64("id"), F.lit(1 << 40)))
+    few = few.join(F.broadcast(limits), "lang", "left").where("most is null or h <= most")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))
+    return few.withColumn("n", rank).where(F.col("n") <= max_docs).orderBy("n", "lang", "id").limit(max_rows).select("id", "lang").distinct()
+
+
 def fit_language_id(docs: DataFrame, vocabulary: str | None = None, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = 400, max_rows: int = 25_600) -> PieceModel:
     """Fit on a bounded sample of ``docs``: of each language at most ``max_docs`` rows, ``max_rows`` in all. Filter ``docs`` to hold rows out."""
     path = vocabulary or default_path("piece_bpe_32k.model")
     known = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text")).where("lang is not null and text is not null")
-    # of a common language only rows with small hashes, about four times as many as are taken, are ranked
-    order = F.pmod(F.xxhash64("id"), F.lit(1 << 40))
-    numbers = known.groupBy("lang").agg(F.count(F.lit(1)).alias("many"))
-    few = known.select("id", "lang").withColumn("h", order).join(numbers, "lang").where(F.col("h") * F.col("many") <= F.lit(float(4 * max_docs * (1 << 40))))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))
-    chosen = few.withColumn("n", rank).where(F.col("n") <= max_docs).orderBy("n", "lang", "id").limit(max_rows).select("id", "lang").distinct()
-    sample = known.join(F.broadcast(chosen), ["id", "lang"])  # at most max_rows ids
+    sample = known.join(F.broadcast(_chosen(known, max_docs, max_rows)), ["id", "lang"])  # at most max_rows ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
