@@ -8,16 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.llm.byte_bpe import encode_digests
+from marginalia.llm.importance import importance_resample
 from marginalia.llm.jaccard_join import jaccard_join
 from marginalia.llm.language_id import fit_language_id, identify
 from marginalia.llm.line_crf import fit_line_crf, score_quality
+from marginalia.llm.line_dedup import line_dedup
 from marginalia.llm.mixing import mix
 from marginalia.llm.public_vocab import default_path
 from marginalia.llm.quality_rules import quality_rules
 from marginalia.llm.secret_scan import secret_scan
-from marginalia.llm.sql import MIXING_TARGETS, NGRAM_JACCARD_JOIN, QUALITY_BASE_COUNTS, SECRET_BASE_SPANS
+from marginalia.llm.sql import IMPORTANCE_RESAMPLING, LINE_DEDUP, MIXING_TARGETS, NGRAM_JACCARD_JOIN, QUALITY_BASE_COUNTS, SECRET_BASE_SPANS, VECTOR_CODES
 from marginalia.llm.token_counts import token_counts
 from marginalia.llm.url_filter import url_filter
+from marginalia.llm.vector_codes import compress_vectors
 from marginalia.llm.vp_search import nearest
 
 
@@ -92,6 +95,22 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the documents, drawn by their likeness to the benchmark."""
+    return importance_resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Integer codes of every vector."""
+    return compress_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that an earlier one holds."""
+    found = line_dedup(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def secret_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of op2 that do not depend on compression."""
     return op2_secret_scans(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
@@ -118,11 +137,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_language_id": op9_language_id,
     "op10_quality_rules": op10_quality_rules,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_line_dedup": op13_line_dedup,
 }
 #: Columns of op2, op5 and op10 that SQL can express, as queries of their own.
 PARTS: dict[str, Callable[[SparkSession, str], DataFrame]] = {"secret_base_spans": secret_base_spans, "mixing_targets": mixing_targets, "quality_base_counts": quality_base_counts}
 ORACLES: dict[str, str] = {
     "op8_ngram_jaccard_join": NGRAM_JACCARD_JOIN,
+    "op11_importance_resampling": IMPORTANCE_RESAMPLING,
+    "op12_vector_codes": VECTOR_CODES,
+    "op13_line_dedup": LINE_DEDUP,
     "secret_base_spans": SECRET_BASE_SPANS,
     "mixing_targets": MIXING_TARGETS,
     "quality_base_counts": QUALITY_BASE_COUNTS,

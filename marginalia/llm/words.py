@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
 from marginalia.llm.textkernel import slices, string_buffer
 
@@ -27,10 +28,36 @@ def spare(columns: list[str], name: str) -> str:
     return name
 
 
+def quoted(name: str) -> Column:
+    """The column of this name, whatever characters it has."""
+    return F.col(quote(name))
+
+
+def quote(name: str) -> str:
+    """A name as SQL and schema strings take it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _hashable(value: Column, kind: DataType) -> Column:
+    """``value`` with its maps as entries in the order of their keys, at any depth: maps have no hash."""
+    if "map<" not in kind.simpleString() and "variant" not in kind.simpleString():
+        return value
+    if isinstance(kind, MapType):
+        entries = F.transform_values(value, lambda _, v: _hashable(v, kind.valueType))
+        pairs = F.transform(F.map_entries(entries), lambda e: F.struct(F.xxhash64(e["key"]).alias("h"), e.alias("e")))
+        ordered = F.array_sort(pairs, lambda a, b: F.when(a["h"] < b["h"], -1).when(a["h"] > b["h"], 1).otherwise(0))
+        return ordered
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: _hashable(x, kind.elementType))
+    if isinstance(kind, StructType):
+        return F.struct(value.isNull().alias("none"), *(_hashable(value[f.name], f.dataType).alias(f"v{i}") for i, f in enumerate(kind.fields)))
+    return F.to_json(value) if isinstance(kind, VariantType) else value
+
+
 def row_hash(df: DataFrame) -> Column:
-    """A hash of all columns of a row; which of them are null counts too. Maps cannot be hashed and are left out."""
-    plain = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
-    return F.xxhash64(*[x for c in plain for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))])
+    """A hash of all columns of a row; which of them are null counts too. Maps are hashed as their entries by key."""
+    parts = [(quoted(f.name), f.dataType) for f in df.schema.fields]
+    return F.xxhash64(*[x for c, kind in parts for x in (c.isNull(), _hashable(c, kind))])
 
 
 class _Numbers(dict):
