@@ -10,7 +10,8 @@ Pre-tokens are the matches of ``public_tokenizers.PATTERN``. Texts whose charact
 all lie below U+0250 are split by an equal pattern with the classes spelled out, which
 the faster standard engine runs; all others by the pattern itself.
 
-A null text is an empty one: no ids. Every row is returned, repeated rows too.
+A null text is an empty one: no ids. Every row is returned, rows with a null or repeated id
+and repeated rows too; equal texts have equal ids. Extra columns may have any name.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm.public_vocab import default_path, rank_file
-from marginalia.llm.words import worker_table
+from marginalia.llm.words import quoted, worker_table
 
 # Letters, numbers and white space below U+0250.
 _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
@@ -206,22 +207,26 @@ def _encoder(path: str, columns: list[str], digests: bool):
     return run
 
 
-def _with_text(docs: DataFrame, columns: list[str], text_col: str) -> tuple[DataFrame, str]:
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    return docs.select(*columns, F.col(text_col).cast("string").alias("__text")), schema
+def _with_text(docs: DataFrame, columns: list[str], text_col: str) -> tuple[DataFrame, list[str], str]:
+    """The columns and the text under plain names, those names, and their schema."""
+    kept = docs.select(*map(quoted, columns))
+    plain = [f"c{i}" for i in range(len(columns))]
+    schema = "".join(f"{p} {f.dataType.simpleString()}, " for p, f in zip(plain, kept.schema, strict=True))
+    return docs.select(*(quoted(c).alias(p) for c, p in zip(columns, plain, strict=True)), quoted(text_col).cast("string").alias("text")), plain, schema
 
 
 def encode_digests(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, n_tokens, ids_sha256, decoded_sha256)``: the ids and their decoded bytes as digests."""
-    picked, schema = _with_text(docs, [id_col], text_col)
-    return picked.mapInArrow(_encoder(vocabulary, [id_col], True), f"{schema}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    picked, plain, schema = _with_text(docs, [id_col], text_col)
+    found = picked.mapInArrow(_encoder(vocabulary, plain, True), f"{schema}n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return found.toDF(id_col, "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def encode(docs: DataFrame, vocabulary: str | None = None, *, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """``keep`` columns, n_tokens and the ids of every row."""
-    picked, schema = _with_text(docs, list(keep), text_col)
+    picked, plain, schema = _with_text(docs, list(keep), text_col)
     path = vocabulary or default_path("byte_bpe_multi_50k.tiktoken")
-    return picked.mapInArrow(_encoder(path, list(keep), False), f"{schema}, n_tokens long, ids array<int>")
+    return picked.mapInArrow(_encoder(path, plain, False), f"{schema}n_tokens long, ids array<int>").toDF(*keep, "n_tokens", "ids")
 
 
 def decode(coded: DataFrame, vocabulary: str | None = None, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -231,7 +236,7 @@ def decode(coded: DataFrame, vocabulary: str | None = None, *, id_col: str = "do
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(path)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([tool.decode(ids or []) for ids in batch.column(1).to_pylist()], pa.binary())], [id_col, "bytes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([tool.decode(ids or []) for ids in batch.column(1).to_pylist()], pa.binary())], ["id", "bytes"])
 
-    kind = coded.schema[id_col].dataType.simpleString()
-    return coded.select(id_col, ids_col).mapInArrow(run, f"`{id_col}` {kind}, bytes binary")
+    picked = coded.select(quoted(id_col).alias("id"), quoted(ids_col).alias("ids"))
+    return picked.mapInArrow(run, f"id {picked.schema[0].dataType.simpleString()}, bytes binary").toDF(id_col, "bytes")

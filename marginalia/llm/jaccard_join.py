@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm.textkernel import Docs, distinct_by_doc, mix, slices, string_buffer, window_hashes
-from marginalia.llm.words import release_tables, row_hash, spare
+from marginalia.llm.words import quoted, release_tables, row_hash, spare
 from marginalia.plans.components import connected_components
 from marginalia.plans.scratch import materialize
 
@@ -440,7 +440,7 @@ def jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, *,
     ``component_id``: smallest doc_id reachable by links; ``class_id``: smallest doc_id
     with an equal set; ``n_links``: documents linked directly, equal sets included.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("row"), F.col(text_col).cast("string").alias("text"))
+    base = docs.select(quoted(id_col).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("row"), quoted(text_col).cast("string").alias("text"))
     rows, classes = _linked(base, k, num, den, **options)
     classes = materialize(classes)
     least = classes.groupBy("group").agg(F.min("class_id").alias("component_id"))
@@ -458,9 +458,9 @@ def drop_near_copies(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     Rows without a word all stay, with whatever columns; columns and their names are untouched.
     """
     name, one, two, prints = (spare(docs.columns, x) for x in ("row", "fp1", "fp2", "prints"))
-    text = F.col(f"`{text_col}`").cast("string")
+    text = quoted(text_col).cast("string")
     keyed = docs.withColumn(name, row_hash(docs))
-    base = keyed.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(name).alias("row"), text.alias("text"))
+    base = keyed.select(quoted(id_col).cast("long").alias("doc_id"), F.col(name).alias("row"), text.alias("text"))
     rows, classes = _linked(base, k, num, den, **options)
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "fp1", "fp2")).alias("best")
     chosen = rows.join(classes.select("fp1", "fp2", "group"), ["fp1", "fp2"]).groupBy("group").agg(best)
@@ -469,5 +469,5 @@ def drop_near_copies(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     told = keyed.where(has_word).withColumn(prints, F.arrow_udf(_prints(k), "struct<n:long,fp1:long,fp2:long>")(text))
     told = told.withColumn(one, F.col(f"{prints}.fp1")).withColumn(two, F.col(f"{prints}.fp2"))
     stay = told.join(chosen, [one, two, name], "left_semi").dropDuplicates([one, two, name])
-    columns = [F.col(f"`{c}`") for c in docs.columns]
+    columns = [quoted(c) for c in docs.columns]
     return stay.select(*columns).unionByName(docs.where(~has_word).select(*columns))

@@ -7,8 +7,9 @@ words (runs of letters, lower-cased). The posterior with equal priors decides, t
 the language that sorts first.
 
 Fit: piece probabilities are estimated by expectation-maximisation over the counts of
-all words of at most ``max_docs`` texts a language (smallest hashes of the id), ``max_rows``
-in all: a bounded sample of labelled rows. Counts are smoothed towards the mean of all
+all words of at most ``max_docs`` different rows a language (smallest hashes of id and text),
+``max_rows`` in all: a bounded sample of labelled rows. Rows equal in id, language and text
+count once, so neither repeated ids nor repeated rows widen the sample or empty it. Counts are smoothed towards the mean of all
 languages. A letter without a piece has one fixed probability in all languages. Sums are
 kept as logarithms, so words of any length are summed whole. The model that tasks get is
 a number for each piece of the vocabulary and language.
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.llm.public_vocab import default_path, pieces
-from marginalia.llm.words import WordTable, split_slices, sum_by_doc, worker_table
+from marginalia.llm.words import WordTable, quoted, split_slices, sum_by_doc, worker_table
 
 WORD_MARK = "▁"
 _RUN = regex.compile(r"\p{L}+")
@@ -206,34 +207,45 @@ _THINNED = 10_000
 
 
 def _chosen(known: DataFrame, max_docs: int, max_rows: int) -> DataFrame:
-    """``(id, lang)`` of the rows to fit on: the ``max_docs`` smallest hashes of each language, ``max_rows`` in all.
+    """``(lang, print)`` of the rows to fit on: the ``max_docs`` smallest hashes of each language, ``max_rows`` in all.
 
-    Of a common language only rows with small hashes, about four times as many as are
-    taken, are shuffled and ranked; the limits that tell them are broadcast.
+    ``print`` is a hash of id and text. Of a language with many different rows only those with
+    small hashes, about four times as many as are taken, are shuffled and ranked; the
+    limits that tell them are broadcast. They come from the number of different hashes, not
+    of rows: a language with few different rows is not thinned.
     """
-    limits = known.groupBy("lang").agg(F.count(F.lit(1)).cast("double").alias("many")).where(F.col("many") > 4 * max_docs)
+    small = F.pmod(F.col("print"), F.lit(1 << 40))
+    limits = known.groupBy("lang").agg(F.approx_count_distinct("print").cast("double").alias("many")).where(F.col("many") > 8 * max_docs)
     limits = limits.orderBy(F.desc("many"), "lang").limit(_THINNED).select("lang", (F.lit(float(4 * max_docs) * (1 << 40)) / F.col("many")).alias("most"))
-    few = known.select("id", "lang").withColumn("h", F.pmod(F.xxhash64("id"), F.lit(1 << 40)))
-    few = few.join(F.broadcast(limits), "lang", "left").where("most is null or h <= most")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))
-    return few.withColumn("n", rank).where(F.col("n") <= max_docs).orderBy("n", "lang", "id").limit(max_rows).select("id", "lang").distinct()
+    few = known.select("lang", "print").withColumn("h", small).join(F.broadcast(limits), "lang", "left").where("most is null or h <= most")
+    few = few.select("lang", "h", "print").distinct()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "print"))
+    return few.withColumn("n", rank).where(F.col("n") <= max_docs).orderBy("n", "lang", "h").limit(max_rows).select("lang", "print")
 
 
 def fit_language_id(docs: DataFrame, vocabulary: str | None = None, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = 400, max_rows: int = 25_600) -> PieceModel:
     """Fit on a bounded sample of ``docs``: of each language at most ``max_docs`` rows, ``max_rows`` in all. Filter ``docs`` to hold rows out."""
     path = vocabulary or default_path("piece_bpe_32k.model")
-    known = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text")).where("lang is not null and text is not null")
-    sample = known.join(F.broadcast(_chosen(known, max_docs, max_rows)), ["id", "lang"])  # at most max_rows ids
+    text = quoted(text_col).cast("string")
+    known = docs.select(quoted(lang_col).cast("string").alias("lang"), F.xxhash64(quoted(id_col).cast("long"), text).alias("print"), text.alias("text"))
+    known = known.where("lang is not null and text is not null")
+    sample = known.join(F.broadcast(_chosen(known, max_docs, max_rows)), ["lang", "print"])  # at most max_rows rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[str, int]] = set()
         for batch in batches:
-            found: Counter = Counter()
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found.update((lang, w) for w in letter_words(text))
-            rows = list(found.items())
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in rows], pa.string()), pa.array([k[1] for k, _ in rows], pa.string()), pa.array([v for _, v in rows], pa.int64())], ["lang", "word", "n"])
-
-    words = sample.select("lang", "text").mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+            rows: list[tuple[str, int, str, int]] = []
+            for lang, print_, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (lang, print_) not in seen:
+                    seen.add((lang, print_))
+                    rows += [(lang, print_, word, n) for word, n in Counter(letter_words(text)).items()]
+            kinds = [pa.string(), pa.int64(), pa.string(), pa.int64()]
+            columns = zip(*rows, strict=True) if rows else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["lang", "print", "word", "n"])
+
+    each = sample.select("lang", "print", "text").mapInArrow(run, "lang string, print long, word string, n long")
+    # copies of a row in other tasks have the same counts
+    words = each.groupBy("lang", "print", "word").agg(F.max("n").alias("n")).groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counts: dict[str, dict[str, int]] = {}
     for row in words.collect():  # the distinct words of the sample
         counts.setdefault(row.lang, {})[row.word] = row.n
@@ -242,7 +254,7 @@ def fit_language_id(docs: DataFrame, vocabulary: str | None = None, *, id_col: s
 
 def identify(docs: DataFrame, model: PieceModel, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, lang_pred, score)`` of every row."""
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind = docs.select(quoted(id_col)).schema[0].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,7 +273,7 @@ def identify(docs: DataFrame, model: PieceModel, *, id_col: str = "doc_id", text
                     odds /= odds.sum(axis=1, keepdims=True)
                     pick = np.where(some, odds.argmax(axis=1), pick)
                     score = np.where(some, odds.max(axis=1), 0.0)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), pa.array(names[pick], pa.string()), pa.array(score)], [id_col, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), pa.array(names[pick], pa.string()), pa.array(score)], ["id", "lang_pred", "score"])
 
-    picked = docs.select(id_col, F.col(text_col).cast("string").alias("__text"))
-    return picked.mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double")
+    picked = docs.select(quoted(id_col).alias("id"), quoted(text_col).cast("string").alias("text"))
+    return picked.mapInArrow(run, f"id {kind}, lang_pred string, score double").toDF(id_col, "lang_pred", "score")

@@ -5,15 +5,18 @@ characters, word lengths, repeats within the line and of earlier lines, and the
 of the line before and after. Forward-backward gives each line's marginal probability
 to be good; the mean of those, weighted by the lines' characters, is the text's score.
 
-Fit: on at most ``max_docs`` labelled texts (those with the smallest hashes of their
-id), a bounded sample. Lines inherit their text's label; lines of bad texts that a
+Fit: on at most ``max_docs`` labelled texts, a bounded sample: of at most as many ids (those
+with the smallest hashes) the different texts with the smallest hashes of id and text. Of equal
+rows one is taken, so the bound holds however often an id repeats; an id labelled both ways
+counts as good. Lines inherit their text's label; lines of bad texts that a
 logistic model on single lines takes for good (a sound header above junk) are then
 relabelled good, and the chain is fitted to those labels. A labelled sample with one
 class only, or none, gives a constant score.
 
 A null or empty text has no line and scores the prior share of good texts, as a text
 without words does; in any text the prior weighs as one character. Every row is
-returned; labels with a null id or label take no part.
+returned, rows with a null or repeated id and equal rows too (equal texts score alike); labels
+with a null id or label take no part. Extra columns may have any name.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm.textkernel import Docs, range_hashes, slices, string_buffer
+from marginalia.llm.words import quoted
 
 _KINDS = 6  # lower letter, upper letter, digit, symbol, other ASCII punctuation, first byte of a longer character
 
@@ -177,20 +181,28 @@ class LineCRF:
 
 def fit_line_crf(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_docs: int = 1500) -> LineCRF:
     """Fit on at most ``max_docs`` of the labelled rows. Filter ``labels`` to hold rows out."""
-    ids = labels.select(F.col(id_col).cast("long").alias("id"), (F.col(label_col) > 0).cast("int").alias("label")).where("id is not null and label is not null")
+    ids = labels.select(quoted(id_col).cast("long").alias("id"), (quoted(label_col) > 0).cast("int").alias("label")).where("id is not null and label is not null")
     ids = ids.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(max_docs)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sample = texts.join(ids, "id").select("id", "text", "label")
+    texts = docs.select(quoted(id_col).cast("long").alias("id"), quoted(text_col).cast("string").alias("text"))
+    texts = texts.join(F.broadcast(ids), "id").withColumn("print", F.xxhash64("text"))
+    # one id may hold any number of texts, equal ones too
+    taken = texts.select("id", "print").distinct().orderBy(F.xxhash64("id", "print"), "id", "print").limit(max_docs)
+    sample = texts.join(F.broadcast(taken), ["id", "print"]).select("id", "print", "label", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
-            data, offsets = string_buffer(batch.column(1))
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            fresh = [i for i, key in enumerate(keys) if key not in seen and not seen.add(key)]
+            batch = batch.take(pa.array(fresh, pa.int64()))
+            data, offsets = string_buffer(batch.column(3))
             for lo, hi in slices(offsets):
                 features, lines, _ = line_features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 packed = [x.astype(np.float32).tobytes() for x in np.split(features, np.cumsum(lines)[:-1])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(packed, pa.binary())], ["id", "label", "features"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in range(3)), pa.array(packed, pa.binary())], ["id", "print", "label", "features"])
 
-    rows = sorted(sample.mapInArrow(run, "id long, label int, features binary").collect(), key=lambda r: (r.id, bytes(r.features)))
+    found = sample.mapInArrow(run, "id long, print long, label int, features binary").dropDuplicates(["id", "print"])
+    rows = sorted(found.collect(), key=lambda r: (r.id, bytes(r.features)))
     parts = [np.frombuffer(r.features, np.float32).reshape(-1, N_FEATURES).astype(float) for r in rows]
     lines = np.array([len(p) for p in parts], np.int64)
     return LineCRF.fit(np.concatenate(parts) if parts else np.zeros((0, N_FEATURES)), lines, np.array([r.label for r in rows], np.int64))
@@ -198,7 +210,7 @@ def fit_line_crf(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
 
 def score_quality(docs: DataFrame, model: LineCRF, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, score, n_lines)`` of every row."""
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind = docs.select(quoted(id_col)).schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,7 +218,7 @@ def score_quality(docs: DataFrame, model: LineCRF, *, id_col: str = "doc_id", te
             for lo, hi in slices(offsets):
                 features, lines, chars = line_features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 score = model.score(features, lines, chars)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(score), pa.array(lines.astype(np.int64))], [id_col, "score", "n_lines"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(score), pa.array(lines.astype(np.int64))], ["id", "score", "n_lines"])
 
-    picked = docs.select(id_col, F.col(text_col).cast("string").alias("__text"))
-    return picked.mapInArrow(run, f"`{id_col}` {kind}, score double, n_lines long")
+    picked = docs.select(quoted(id_col).alias("id"), quoted(text_col).cast("string").alias("text"))
+    return picked.mapInArrow(run, f"id {kind}, score double, n_lines long").toDF(id_col, "score", "n_lines")

@@ -33,7 +33,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.llm.words import row_hash, spare
+from marginalia.llm.words import quoted, row_hash, spare
 from marginalia.plans.scratch import materialize
 
 WORD = "[^ \\t\\n\\x0B\\f\\r]+"
@@ -148,7 +148,7 @@ def _repeated(df: DataFrame, times: str) -> DataFrame:
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, fan_in: int = 48, seed: int = 7) -> DataFrame:
     """``(doc_id, source, size, source_size, target, copies, taken)`` of every row."""
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"), row_hash(docs).alias("row"), _size(F.col(f"`{text_col}`")).alias("size"))
+    rows = docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(source_col).cast("string").alias("source"), row_hash(docs).alias("row"), _size(quoted(text_col)).alias("size"))
     plan = _plan(rows, weights, share, most, fan_in, seed)
     extra, one = F.col("extra"), F.when(F.col("extra") < F.col("n"), 1).otherwise(0).cast("long")
     shares = F.array(*(F.struct((F.col("whole") + more).cast("int").alias("copies"), times.alias("times")) for more, times in ((F.lit(1), extra), (F.col("bit"), one), (F.lit(0), F.col("n") - extra - one))))
@@ -163,11 +163,12 @@ def resample(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     each taken as planned; rows equal in every column are taken as often as their number.
     """
     row, size, ident, times = (spare(docs.columns, x) for x in ("row", "size", "ident", "times"))
-    doc_id = F.col(f"`{id_col}`").cast("long")
-    mine = docs.withColumn(row, row_hash(docs)).withColumn(size, _size(F.col(f"`{text_col}`"))).withColumn(ident, F.coalesce(doc_id, F.lit(0).cast("long")))
-    rows = mine.select(doc_id.alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"), F.col(row).alias("row"), F.col(size).alias("size"))
+    doc_id = quoted(id_col).cast("long")
+    mine = docs.withColumn(row, row_hash(docs)).withColumn(size, _size(quoted(text_col))).withColumn(ident, F.coalesce(doc_id, F.lit(0).cast("long")))
+    rows = mine.select(doc_id.alias("doc_id"), quoted(source_col).cast("string").alias("source"), F.col(row).alias("row"), F.col(size).alias("size"))
     plan = _plan(rows, weights, share, most, fan_in, seed)
     total = (F.col("n") * F.col("whole") + F.col("extra") + F.when(F.col("extra") < F.col("n"), F.col("bit")).otherwise(0)).cast("long")
     plan = plan.select(F.col("row").alias(row), F.col("size").alias(size), F.coalesce("doc_id", F.lit(0).cast("long")).alias(ident), total.alias(times)).where(F.col(times) > 0)
     joined = mine.dropDuplicates([row, size, ident]).join(plan, [row, size, ident])
-    return _repeated(joined.select(*docs.columns, times), times).select(*docs.columns)
+    columns = [quoted(c) for c in docs.columns]
+    return _repeated(joined.select(*columns, times), times).select(*columns)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from marginalia.llm.public_vocab import default_path, piece_model, pieces
 from marginalia.llm.textkernel import Docs, range_hashes, slices, string_buffer, window_hashes
-from marginalia.llm.words import WordTable, sum_by_doc, worker_table
+from marginalia.llm.words import WordTable, quoted, sum_by_doc, worker_table
 
 #: Distinct words that a worker keeps.
 CAPACITY = 150_000
@@ -215,7 +215,7 @@ def quality_rules(docs: DataFrame, vocabulary: str | None = None, *, id_col: str
                 found = _judge(table, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], min_words)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *(pa.array(found[c]) for c in _COLUMNS[1:])], _COLUMNS)
 
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    picked = docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).cast("string").alias("text"))
     return picked.mapInArrow(run, SCHEMA)
 
 
@@ -234,4 +234,5 @@ def keep_good(docs: DataFrame, vocabulary: str | None = None, *, text_col: str =
                 kept[lo:hi] = _judge(table, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], min_words)["kept"]
             yield batch.filter(pa.array(kept))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # names may hold anything
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm.public_vocab import default_path, rank_file
-from marginalia.llm.words import release_tables
+from marginalia.llm.words import quoted, release_tables, spare
 
 KINDS = ["assign", "access", "hex", "novel"]
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -170,11 +170,13 @@ def secret_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                 out.append((*(kinds.count(k) for k in KINDS), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(both)))
             columns = list(zip(*out, strict=True)) if out else [()] * 6
             kinds_of = [pa.int64()] * 4 + [pa.string()] * 2
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds_of, strict=True))], [id_col, "n_assign", "n_access", "n_hex", "n_novel", "base_sha256", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds_of, strict=True))], names)
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    picked = docs.select(id_col, F.col(text_col).cast("string").alias("__text"))
-    return picked.mapInArrow(run, f"`{id_col}` {kind}, n_assign long, n_access long, n_hex long, n_novel long, base_sha256 string, spans string")
+    names = ["id", "n_assign", "n_access", "n_hex", "n_novel", "base_sha256", "spans"]
+    picked = docs.select(quoted(id_col).alias("id"), quoted(text_col).cast("string").alias("text"))
+    kind = picked.schema[0].dataType.simpleString()
+    found = picked.mapInArrow(run, f"id {kind}, n_assign long, n_access long, n_hex long, n_novel long, base_sha256 string, spans string")
+    return found.toDF(id_col, *names[1:])
 
 
 def redact(docs: DataFrame, *, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
@@ -189,8 +191,9 @@ def redact(docs: DataFrame, *, text_col: str = "text", length_col: str | None =
         for texts in frames:
             yield texts.map(lambda t: t if t is None else _redacted(t, scan(t)[1]))
 
-    out = docs.withColumn(text_col, clean(F.col(text_col)))
+    cleaned = spare(docs.columns, "cleaned")
+    out = docs.select("*", clean(quoted(text_col).cast("string")).alias(cleaned))
+    new = {text_col: quoted(cleaned)}
     if length_col and length_col in docs.columns:
-        kind = docs.schema[length_col].dataType
-        out = out.withColumn(length_col, F.length(text_col).cast(kind))
-    return out.select(*docs.columns)
+        new[length_col] = F.length(cleaned).cast(docs.schema[length_col].dataType)
+    return out.select(*(new[c].alias(c) if c in new else quoted(c) for c in docs.columns))

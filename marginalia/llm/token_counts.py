@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm.public_vocab import default_path, pieces
-from marginalia.llm.words import WordTable, split_slices, sum_by_doc, worker_table
+from marginalia.llm.words import WordTable, quoted, split_slices, sum_by_doc, worker_table
 
 WORD_MARK = "▁"
 #: Log score of one fallback byte.
@@ -126,5 +126,5 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None, *, id_col: str
                 sums = sum_by_doc(table.columns[0][rows], counts) if words else np.zeros((hi - lo, 2), np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(counts), pa.array(sums[:, 0]), pa.array(sums[:, 1])], ["doc_id", "n_words", "n_tokens", "n_fallback"])
 
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    picked = docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).cast("string").alias("text"))
     return picked.mapInArrow(run, "doc_id long, n_words long, n_tokens long, n_fallback long")

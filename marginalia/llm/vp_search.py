@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marginalia.llm.words import quoted
+
 LEAF = 128
 _SLACK = 1e-9
 _NONE = np.iinfo(np.int64).max
@@ -234,8 +236,8 @@ def nearest(
     same = vectors.schema[vector_col].dataType == queries.schema[vector_col].dataType
 
     def usable_rows(df: DataFrame) -> DataFrame:
-        vector = F.col(f"`{vector_col}`") if same else F.col(f"`{vector_col}`").cast("array<double>")
-        kept = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), vector.alias("vector")).where(F.col("id").isNotNull() & usable(F.col("vector")))
+        vector = quoted(vector_col) if same else quoted(vector_col).cast("array<double>")
+        kept = df.select(quoted(id_col).cast("long").alias("id"), vector.alias("vector")).where(F.col("id").isNotNull() & usable(F.col("vector")))
         return kept.withColumn("dim", F.size("vector"))
 
     rows, asked = usable_rows(vectors), usable_rows(queries)

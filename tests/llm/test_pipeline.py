@@ -67,4 +67,4 @@ def test_empty_table(spark, stages, tmp_path):
 
 
 def test_queries_are_registered():
-    assert {f"op{n}" for n in range(1, 11)} == {name.split("_")[0] for name in queries.QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {name.split("_")[0] for name in queries.QUERIES}
