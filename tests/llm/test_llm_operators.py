@@ -355,7 +355,7 @@ def test_fertility_bands(spark):
     assert found[3].script == "Cyrillic"
     numbers = " ".join(str(1000 + 37 * i) for i in range(120))
     [r] = quality_rules.quality_rules(spark.createDataFrame([(1, numbers)], "doc_id long, text string")).collect()
-    assert r.script == "none" and r.kept
+    assert r.script == "none" and not r.kept  # a list of numbers is no text
 
 
 def test_fertility_by_brute_force(spark):
@@ -374,12 +374,17 @@ def test_fertility_by_brute_force(spark):
         counts = [len(regex.findall(rf"(?V1)[\p{{L}}&&\p{{Script={s}}}]", text or "")) for s in quality_rules.SCRIPTS[:-2]]
         counts.append(len(regex.findall(r"\p{L}", text or "")) - sum(counts))
         script = quality_rules.SCRIPTS[counts.index(max(counts))] if sum(counts) else "none"
-        least, most, bytes_, share, cap = quality_rules.BANDS[script]
+        band = quality_rules.BANDS[script]
+        x, ratio = math.log2(size), sum(map(len, words)) / size
+        held = min(max(x, band.span[0]), band.span[1])
+        floor = min(band.share * x, band.cap)
+        if ratio <= band.upto:
+            floor = max(floor, band.curve[0] + band.curve[1] * held + band.curve[2] * held**2 - band.slack)
         fallback = sum(model.is_byte(t) for t in ids)
         windows = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
         marked = {j for i in range(len(words) - 2) if windows[tuple(words[i : i + 3])] > 1 for j in (i, i + 1, i + 2)}
-        kept = len(words) >= 50 and 100 * len(marked) <= 50 * len(words) and least <= sum(map(len, words)) / size <= most and fallback <= bytes_ * size and entropy >= min(share * math.log2(size), cap)
-        expected[(ident, len(ids), fallback, round(entropy, 6), script, kept)] += 1
+        kept = len(words) >= 50 and 100 * len(marked) <= 50 * len(words) and ids and band.least <= ratio <= band.most and fallback <= band.fallback * size and entropy >= floor
+        expected[(ident, len(ids), fallback, round(entropy, 6), script, bool(kept))] += 1
     assert found == expected
 
 

@@ -1,9 +1,15 @@
 """Importance resampling, vector codes and line dedup against brute force and their SQL; odd names and repeated ids."""
 
+import bisect
 import hashlib
+import heapq
+import inspect
 import math
+import queue
 import random
 import re
+import statistics
+import textwrap
 import zlib
 from collections import Counter
 
@@ -13,7 +19,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from marginalia.llm import importance, language_id, line_crf, line_dedup, queries, vector_codes
+from marginalia.llm import importance, language_id, line_crf, line_dedup, quality_rules, queries, vector_codes
 from marginalia.llm.words import row_hash
 from marginalia.plans.scratch import materialize
 
@@ -298,3 +304,29 @@ def test_pipeline_with_odd_columns(spark, folder):
         docs = materialize(stage(spark, docs, folder))
         assert docs.columns == columns and docs.count() > 0, name
     assert corpus_pipeline.STAGES[-1][1](spark, docs, folder).count() == docs.count()
+
+
+def test_bands_keep_code_and_few_words_and_reject_junk(spark):
+    code = [inspect.getsource(m) for m in (bisect.insort_right, heapq.merge, textwrap.TextWrapper, queue.Queue, statistics.linear_regression)]
+    few = " ".join(R.choice("the cat sat on a mat and then it ran to see what was there for food with no fear of dogs".split()) for _ in range(150))
+    numbers = " ".join(str(R.randrange(10**6)) for _ in range(120))
+    menu = " | ".join(R.choice(["ention", "erble", "heating", "ouning", "thatsh", "Edhand", "entat."]) + R.choice(["nd", "ed", "ing", "ou"]) for _ in range(120))
+    rows = spark.createDataFrame(list(enumerate([*code, few, numbers, menu])), "doc_id long, text string")
+    assert [r.kept for r in quality_rules.quality_rules(rows).orderBy("doc_id").collect()] == [True] * 6 + [False, False]
+
+
+def test_bands_on_held_out_labels(spark):
+    """Of sf0.1, rows outside the training rows of the bands: precision and recall of what the method alone rejects."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    held = labels.where((F.crc32(F.col("doc_id").cast("string")) % 5 == 0) & F.col("quality").isNotNull())
+    found = Counter((r.quality, r.kept) for r in quality_rules.quality_rules(docs).where("not base_failed").join(held, "doc_id").collect())
+    assert found[0, False] >= 0.85 * (found[0, False] + found[0, True]) and found[1, False] <= 0.003 * (found[1, False] + found[1, True])
+
+
+def test_fit_bands(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    fitted = quality_rules.fit_bands(docs, labels, outside=0.01)
+    assert fitted["Greek"] == quality_rules.BANDS["Greek"] and fitted["Latin"].curve[2] < 0 and 0 < fitted["Latin"].slack < 1
+    bad = quality_rules.quality_rules(docs, bands=fitted).join(labels.where("quality = 0"), "doc_id").where("not base_failed")
+    assert bad.where("not kept").count() > 0.8 * bad.count()
+    assert quality_rules.fit_bands(docs.limit(0), labels) == quality_rules.BANDS
