@@ -8,7 +8,8 @@ texts tie and ties go to the smaller id wherever the sums were added up.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 from functools import reduce
 from itertools import batched
 
@@ -24,6 +25,7 @@ from marginalia.plans.scratch import materialize
 DIGITS = 6
 CELLS = 1 << 20  # of a matrix of queries by rows at a time
 _NOT_TOKEN = re.compile("[^a-z0-9]+")
+_TOKEN = re.compile("[a-z0-9]+")
 
 
 def top_k(scored: DataFrame, k: int | None, by: str = "query_id") -> DataFrame:
@@ -43,8 +45,116 @@ def corpus_stats(corpus: DataFrame) -> DataFrame:
     return corpus.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(tokens(F.coalesce("text", F.lit(""))))).alias("avg_length"))
 
 
-def bm25(corpus: DataFrame, queries: DataFrame, k: int | None = 8, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """Positive BM25 scores of each query, best first (5.1, 7.1). A query's terms count once."""
+def tokens_of(text: str | None) -> list[str]:
+    """The tokens of one text, as ``functions.text.tokens`` splits them off."""
+    return _TOKEN.findall((text or "").lower())
+
+
+@dataclass(frozen=True)
+class TermBlock:
+    """Some queries as a matrix of terms by queries; a query's terms count once."""
+
+    names: list
+    terms: dict[str, int]
+    matrix: np.ndarray
+
+    @classmethod
+    def of(cls, rows: Sequence[Row]) -> TermBlock:
+        bags = [set(tokens_of(r.text)) for r in rows]
+        terms = {t: i for i, t in enumerate(sorted(set().union(*bags)))}
+        matrix = np.zeros((len(terms), len(rows)))
+        for q, bag in enumerate(bags):
+            matrix[[terms[t] for t in bag], q] = 1.0
+        return cls([r.query_id for r in rows], terms, matrix)
+
+
+def term_blocks(queries: DataFrame, max_queries: int, matrix_bytes: int) -> Iterator[TermBlock]:
+    """Blocks of at most ``max_queries`` queries whose matrix has at most ``matrix_bytes``; the driver holds one at a time."""
+    for rows in batched(queries.select("query_id", F.col("text").cast("string")).toLocalIterator(), max_queries):
+        yield from map(TermBlock.of, _by_bytes(rows, matrix_bytes, lambda text: set(tokens_of(text))))
+
+
+def _term_counts(corpus: DataFrame, block: TermBlock) -> tuple[int, float, np.ndarray]:
+    """Number of texts, their mean length in tokens, and how many have each term of the block: one pass, a sum a term."""
+    shared = corpus.sparkSession.sparkContext.broadcast(block.terms)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = shared.value
+        n, length, df = 0, 0, np.zeros(len(terms), np.int64)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                found = tokens_of(text)
+                n, length = n + 1, length + len(found)
+                df[[terms[t] for t in set(found) if t in terms]] += 1
+        used = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array([-2, -1, *used.tolist()]), pa.array([n, length, *df[used].tolist()])], ["slot", "n"])
+
+    sums = corpus.select(F.col("text").cast("string")).mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    found = {r.slot: r.n for r in sums.collect()}  # a row a term of the block
+    n = found.pop(-2, 0)
+    length, df = found.pop(-1, 0), np.zeros(len(block.terms), np.int64)
+    df[list(found)] = list(found.values())
+    return n, length / n if n else 0.0, df
+
+
+def query_names(queries: DataFrame, names: list) -> pa.Array:
+    """Query ids as an Arrow array of their type."""
+    kind = queries.schema["query_id"].dataType.simpleString()
+    return pa.array(names, pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string())
+
+
+def best_cells(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, query) of the positive scores that are among the k largest of their query; ties at the cut stay."""
+    least = np.partition(score, -k, axis=0)[-k] if len(score) > k else np.zeros(score.shape[1])
+    return np.nonzero((score > 0) & (score >= least))
+
+
+def bm25(corpus: DataFrame, queries: DataFrame, k: int | None = 8, k1: float = 1.5, b: float = 0.75, max_queries: int = 1024, matrix_bytes: int = 64_000_000) -> DataFrame:
+    """Positive BM25 scores of each query, best first (5.1, 7.1). A query's terms count once.
+
+    Queries are a matrix of terms by queries that every task holds. The corpus passes twice: for the
+    number of texts of each term, and for the scores, of which each slice's best rows are
+    shuffled and nothing else. More queries than a block holds get two passes a block. All
+    ranks (``k`` None) are joined on terms instead.
+    """
+    if k is None:
+        return bm25_joined(corpus, queries, k, k1, b)
+    parts = [_bm25_block(corpus, queries, block, k, k1, b) for block in term_blocks(queries, max_queries, matrix_bytes)]
+    if len(parts) <= 1:
+        return parts[0] if parts else bm25_joined(corpus, queries, k, k1, b)
+    return top_k(reduce(DataFrame.unionByName, map(materialize, parts)).drop("rank"), k)
+
+
+def _bm25_block(corpus: DataFrame, queries: DataFrame, block: TermBlock, k: int, k1: float, b: float) -> DataFrame:
+    """One block of queries."""
+    n, avg_length, df = _term_counts(corpus, block)
+    weights = block.matrix * np.log(1.0 + (n - df + 0.5) / (df + 0.5))[:, None]
+    names = query_names(queries, block.names)
+    shared = corpus.sparkSession.sparkContext.broadcast((block.terms, weights))
+    kinds = {c: f.schema[c].dataType.simpleString() for f, c in ((corpus, "id"), (queries, "query_id"))}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, weights = shared.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                score = np.zeros((part.num_rows, len(names)))
+                for i, text in enumerate(part.column(1).to_pylist()):
+                    found = tokens_of(text)
+                    mine, tf = np.unique(np.array([terms[t] for t in found if t in terms], np.int64), return_counts=True)
+                    if len(mine):
+                        norm = k1 * (1 - b + b * len(found) / (avg_length or 1.0))
+                        score[i] = (tf * (k1 + 1) / (tf + norm)) @ weights[mine]
+                score = np.round(score, DIGITS)
+                row, q = best_cells(score, k)
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), part.column(0).take(pa.array(row)), pa.array(score[row, q])], ["query_id", "id", "score"])
+
+    found = corpus.select("id", F.col("text").cast("string")).mapInArrow(run, f"query_id {kinds['query_id']}, id {kinds['id']}, score double")
+    return top_k(found, k)
+
+
+def bm25_joined(corpus: DataFrame, queries: DataFrame, k: int | None = 8, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """The same by a join on terms, for all ranks."""
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens("text"))).alias("term"))
     found = postings(corpus).join(asked.select("term").distinct(), "term", "left_semi")
     df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -86,22 +196,23 @@ def trigram_cosine(corpus: DataFrame, queries: DataFrame, k: int | None = 8, max
     asked = queries.select("query_id", F.col("text").cast("string"))
     rows = asked.limit(max_queries + 1).collect()
     blocks = [rows] if len(rows) <= max_queries else batched(asked.toLocalIterator(), max_queries)
-    parts = [part for block in blocks for part in _by_bytes(block, matrix_bytes)]
+    parts = [part for block in blocks for part in _by_bytes(block, matrix_bytes, lambda text: set(_gram_codes(text)[0].tolist()))]
     if len(parts) <= 1:
         return _trigram_block(corpus, queries, [r for part in parts for r in part], k)
     return top_k(reduce(DataFrame.unionByName, [materialize(_trigram_block(corpus, queries, part, k)) for part in parts]).drop("rank"), k)
 
 
-def _by_bytes(rows: Sequence[Row], limit: int) -> Iterator[list[Row]]:
-    """Runs of queries whose matrix has at most ``limit`` bytes, one query at least."""
+def _by_bytes(rows: Sequence[Row], limit: int, keys: Callable[[str | None], set]) -> Iterator[list[Row]]:
+    """Runs of queries whose matrix of keys by queries has at most ``limit`` bytes, one query at least."""
     part: list[Row] = []
-    grams: set[int] = set()
+    known: set = set()
     for row in rows:
-        more = grams | set(_gram_codes(row.text)[0].tolist())
-        if part and len(more) * (len(part) + 1) * 8 > limit:
+        own = keys(row.text)
+        if part and len(known | own) * (len(part) + 1) * 8 > limit:
             yield part
-            part, more = [], set(_gram_codes(row.text)[0].tolist())
-        part, grams = [*part, row], more
+            part, known = [], set()
+        part.append(row)
+        known |= own
     if part:
         yield part
 
@@ -115,7 +226,7 @@ def _trigram_block(corpus: DataFrame, queries: DataFrame, asked: Sequence[Row],
         matrix[np.searchsorted(grams, codes), q] = counts
     norms = np.array([np.sqrt(float((c * c).sum())) for _, c in bags])
     kinds = {c: f.schema[c].dataType.simpleString() for f, c in ((corpus, "id"), (queries, "query_id"))}
-    names = pa.array([r.query_id for r in asked], pa.int64() if kinds["query_id"] == "bigint" else pa.int32() if kinds["query_id"] == "int" else pa.string())
+    names = query_names(queries, [r.query_id for r in asked])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,8 +242,7 @@ def _trigram_block(corpus: DataFrame, queries: DataFrame, asked: Sequence[Row],
                         dots = counts[known].astype(float) @ matrix[place[known]]
                         score[i] = dots / np.maximum(norms * np.sqrt(float((counts * counts).sum())), 1e-300)
                 score = np.round(score, DIGITS)
-                least = np.partition(score, -k, axis=0)[-k] if part.num_rows > k else np.zeros(len(norms))
-                row, q = np.nonzero((score > 0) & (score >= least))  # ties at the cut stay: ids decide later
+                row, q = best_cells(score, k)
                 yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), part.column(0).take(pa.array(row)), pa.array(score[row, q])], ["query_id", "id", "score"])
 
     found = corpus.select("id", F.col("text").cast("string")).mapInArrow(run, f"query_id {kinds['query_id']}, id {kinds['id']}, score double")
