@@ -1,11 +1,11 @@
 """Importance resampling, vector codes and line dedup against brute force and their SQL; odd names and repeated ids."""
 
-import bisect
+import csv
 import hashlib
 import heapq
 import inspect
+import json
 import math
-import queue
 import random
 import re
 import statistics
@@ -307,7 +307,7 @@ def test_pipeline_with_odd_columns(spark, folder):
 
 
 def test_bands_keep_code_and_few_words_and_reject_junk(spark):
-    code = [inspect.getsource(m) for m in (bisect.insort_right, heapq.merge, textwrap.TextWrapper, queue.Queue, statistics.linear_regression)]
+    code = [inspect.getsource(m) for m in (heapq.merge, textwrap.TextWrapper, statistics.linear_regression, csv.Sniffer, json.JSONEncoder)]
     few = " ".join(R.choice("the cat sat on a mat and then it ran to see what was there for food with no fear of dogs".split()) for _ in range(150))
     numbers = " ".join(str(R.randrange(10**6)) for _ in range(120))
     menu = " | ".join(R.choice(["ention", "erble", "heating", "ouning", "thatsh", "Edhand", "entat."]) + R.choice(["nd", "ed", "ing", "ou"]) for _ in range(120))
