@@ -19,8 +19,8 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -51,33 +51,40 @@ class PerfectHash:
     """A minimal perfect hash of byte strings to their values, by hash and displace.
 
     Keys fall in buckets; each bucket, the largest first, gets the first displacement
-    that sends its keys to free slots. There are as many slots as keys. A slot keeps its
-    key, so strings outside the set are told apart.
+    that sends its keys to free slots. Buckets of one key come last and name a free slot themselves
+    (a negative displacement). There are as many slots as keys. A slot keeps its key, so
+    strings outside the set are told apart.
     """
 
     _MASK = (1 << 40) - 1
 
     def __init__(self, values: dict[bytes, int]):
-        self.size, self.n_buckets = len(values), max(1, len(values) // 3)
-        buckets: list[list[bytes]] = [[] for _ in range(self.n_buckets)]
+        self.size, self.n_buckets = len(values), max(1, len(values) // 2)
+        buckets: list[list[tuple[bytes, int, int]]] = [[] for _ in range(self.n_buckets)]
         for key in values:
-            buckets[self._parts(key)[0] % self.n_buckets].append(key)
+            x, y, z = self._parts(key)
+            buckets[x % self.n_buckets].append((key, y, z))
         self.displacement = [0] * self.n_buckets
         self.keys: list[bytes | None] = [None] * self.size
         self.values = [-1] * self.size
         for b in sorted(range(self.n_buckets), key=lambda b: -len(buckets[b])):
-            if not buckets[b]:
+            mine = buckets[b]
+            if len(mine) < 2:
                 break
-            parts, d = [self._parts(k) for k in buckets[b]], 0
+            d = 0
             while True:
-                slots = {self._slot(y, z, d) for _, y, z in parts}
-                if len(slots) == len(parts) and all(self.keys[s] is None for s in slots):
+                slots = {self._slot(y, z, d) for _, y, z in mine}
+                if len(slots) == len(mine) and all(self.keys[s] is None for s in slots):
                     break
                 d += 1
             self.displacement[b] = d
-            for key, (_, y, z) in zip(buckets[b], parts, strict=True):
+            for key, y, z in mine:
                 slot = self._slot(y, z, d)
                 self.keys[slot], self.values[slot] = key, values[key]
+        free = (s for s in range(self.size) if self.keys[s] is None)
+        for b in [b for b in range(self.n_buckets) if len(buckets[b]) == 1]:
+            key, slot = buckets[b][0][0], next(free)
+            self.displacement[b], self.keys[slot], self.values[slot] = -1 - slot, key, values[key]
 
     @classmethod
     def _parts(cls, key: bytes) -> tuple[int, int, int]:
@@ -85,7 +92,7 @@ class PerfectHash:
         return h & cls._MASK, (h >> 40) & cls._MASK, (h >> 80) | 1
 
     def _slot(self, y: int, z: int, d: int) -> int:
-        return (((y ^ (d * 0x9E3779B97F)) * z >> 16) & self._MASK) % self.size
+        return -1 - d if d < 0 else (((y ^ (d * 0x9E3779B97F)) * z >> 16) & self._MASK) % self.size
 
     def get(self, key: bytes) -> int | None:
         if not self.size:
@@ -136,13 +143,13 @@ def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class _Memo(dict):
-    """Pre-token -> ids, in two generations of at most ``capacity`` entries."""
+    """Pre-token -> ids, as the bytes of 32-bit numbers, in two generations of at most ``capacity`` entries."""
 
     def __init__(self, make, capacity: int):
         super().__init__()
         self.make, self.capacity, self.old = make, capacity, {}
 
-    def __missing__(self, pre_token: str) -> tuple[int, ...]:
+    def __missing__(self, pre_token: str) -> bytes:
         found = self.old.get(pre_token)
         if found is None:
             found = self.make(pre_token)
@@ -157,19 +164,23 @@ class _Memo(dict):
 class Codec:
     """Encoder and decoder of one vocabulary, with a bounded memo of pre-tokens."""
 
-    def __init__(self, path: str, capacity: int = 125_000):
+    def __init__(self, path: str, capacity: int = 150_000):
         self.ranks = rank_file(path)
         self.whole = PerfectHash(self.ranks)
         self.token = {rank: token for token, rank in self.ranks.items()}
         self.memo = _Memo(self._piece, capacity)
 
-    def _piece(self, pre_token: str) -> tuple[int, ...]:
+    def _piece(self, pre_token: str) -> bytes:
         raw = pre_token.encode("utf-8", "surrogatepass")
         whole = self.whole.get(raw)
-        return (whole,) if whole is not None else tuple(merge_bytes(raw, self.ranks))
+        return array("i", (whole,) if whole is not None else merge_bytes(raw, self.ranks)).tobytes()
+
+    def packed(self, text: str) -> np.ndarray:
+        """The ids of a text as 32-bit numbers."""
+        return np.frombuffer(b"".join(map(self.memo.__getitem__, pre_tokens(text))), np.int32)
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.memo.__getitem__, pre_tokens(text))))
+        return self.packed(text).tolist()
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
@@ -190,13 +201,14 @@ def _encoder(path: str, columns: list[str], digests: bool):
                 part = texts.slice(at, 256).to_pylist()
                 numbers, first, second = [], [], []
                 for text in part:
-                    ids = tool.encode(text or "")
-                    numbers.append(len(ids))
+                    packed = tool.packed(text or "")
+                    numbers.append(len(packed))
                     if digests:
+                        ids = packed.tolist()
                         first.append(hashlib.sha256(",".join(map(label.__getitem__, ids)).encode()).hexdigest())
                         second.append(hashlib.sha256(tool.decode(ids)).hexdigest())
                     else:
-                        first.append(np.array(ids, np.int32))
+                        first.append(packed)
                         second.append(None)
                 out = [pa.array(numbers, pa.int64()), pa.array(first, pa.string() if digests else pa.list_(pa.int32()))]
                 names = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["n_tokens", "ids"]
