@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions.numbers import canonical_json
 from marginalia.operators.agent import enrich_missing
+from marginalia.operators.artifacts import cli_envelope, label_rows  # noqa: F401 (part of this module's names)
 from marginalia.operators.envelopes import require
 from marginalia.operators.routing import CORPORA
 
@@ -142,17 +143,7 @@ def cache_record(text: Column) -> Column:
     return F.when(found["name"].isNotNull() & found["contentHash"].isNotNull() & found["expiresAt"].isNotNull(), found)
 
 
-# --- strict artifacts --------------------------------------------------------------------------
-
-
-def cli_envelope(text: Column) -> Column:
-    """(result, cost) of a command's JSON envelope (10.28): no object, an error flag, or a result that is no string is an error."""
-    body = F.try_parse_json(text)
-    result = F.try_variant_get(body, "$.result", "variant")
-    flagged = F.try_variant_get(body, "$.is_error", "boolean")
-    rule = (F.schema_of_variant(result) == "STRING") & ~F.coalesce(flagged, F.lit(False))
-    cost = F.try_variant_get(body, "$.total_cost_usd", "double")
-    return require(F.struct(F.try_variant_get(body, "$.result", "string").alias("result"), cost.alias("cost")), rule, "not a result envelope", "struct<result:string,cost:double>")
+# --- strict artifacts (JSON ones are read in operators/artifacts.py) --------------------------------------------------------------------------
 
 
 def answers_map(outcomes: DataFrame) -> DataFrame:
@@ -169,20 +160,6 @@ def strict_verdicts(points: DataFrame, verdicts: DataFrame) -> DataFrame:
     return joined.select("item_id", "point_id", require(value == "true", value.isin("true", "false"), "a verdict is missing or no boolean", "boolean").alias("credited"))
 
 
-def label_rows(labels: DataFrame) -> DataFrame:
-    """Filled rows of a labelling sheet (10.29): ``labels(row)``, JSON objects; unknown keys, blank texts and ungraded points are errors."""
-    names = ["answer", "human_credited", "item_id", "point_id", "point_text", "question"]
-    body = F.try_parse_json("row")
-    texts = [F.try_variant_get(body, f"$.{n}", "string") for n in names if n != "human_credited"]
-    graded = F.try_variant_get(body, "$.human_credited", "variant")
-    rule = (F.array_sort(F.json_object_keys("row")) == F.array(*map(F.lit, names))) & (F.schema_of_variant(graded) == "BOOLEAN")
-    for text in texts:
-        rule = rule & (F.length(F.coalesce(text, F.lit(""))) > 0)
-    out = F.struct(*(t.alias(n) for t, n in zip(texts, [n for n in names if n != "human_credited"], strict=True)), F.try_variant_get(body, "$.human_credited", "boolean").alias("human_credited"))
-    kind = "struct<answer:string,item_id:string,point_id:string,point_text:string,question:string,human_credited:boolean>"
-    return labels.select(require(out, rule, "not a filled label", kind).alias("r")).select("r.*")
-
-
 def is_valid_disposition(value: Column) -> Column:
     """Whether a failure was decided in one of the known ways (3.29)."""
     return F.coalesce(value.isin(DISPOSITIONS), F.lit(False))

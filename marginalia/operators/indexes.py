@@ -24,6 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from marginalia.operators.retrieval import DIGITS, TermBlock, best_cells, query_names, term_blocks, tokens_of, top_k
 from marginalia.plans.scratch import materialize
@@ -64,6 +65,10 @@ def _define(spark: SparkSession, place: str, **parts) -> None:
 # --- text -------------------------------------------------------------------------------
 
 
+_TERMS = "term string, df long, bucket int"
+_BLOCKS = "term string, span long, top double, at array<int>, impacts array<double>, bucket int"
+
+
 @dataclass(frozen=True)
 class TextIndex:
     """``terms(term, df)``, ``blocks(term, span, top, at, impacts)``, ``docs(id, span, at, filter columns)``.
@@ -80,8 +85,9 @@ class TextIndex:
     @classmethod
     def open(cls, spark: SparkSession, place: str) -> TextIndex:
         known = _definition(spark, place)
-        terms, blocks, docs = (spark.read.parquet(f"{place}/{t}") for t in ("terms", "blocks", "docs"))
-        return cls(terms, blocks, docs, known["n"], known["n_buckets"])
+        schemas = {"terms": _TERMS, "blocks": _BLOCKS, "docs": StructType.fromJson(known["docs"])}
+        tables = (spark.read.schema(s).parquet(f"{place}/{t}") for t, s in schemas.items())
+        return cls(*tables, known["n"], known["n_buckets"])
 
 
 def _forward(corpus: DataFrame, near: tuple[str, ...], filters: tuple[str, ...]) -> DataFrame:
@@ -128,7 +134,8 @@ def ensure_text_index(
     inside = F.col("row").bitwiseAND(F.lit((1 << 33) - 1))
     span = F.shiftright("row", 33) * F.lit(1 << 33) + F.floor(inside / span_rows)
     placed = materialize(placed.withColumn("span", span).withColumn("at", (inside % span_rows).cast("int")).drop("row"))
-    placed.select("id", "span", "at", *filters).write.parquet(f"{built}/docs")
+    docs = placed.select("id", "span", "at", *filters)
+    docs.write.parquet(f"{built}/docs")
 
     norm = F.col("p.tfs") + k1 * (1 - b + b * F.col("length") / F.lit(float(avg_length) or 1.0))
     posted = placed.select("span", "at", "length", F.explode(F.arrays_zip("terms", "tfs")).alias("p"))
@@ -139,10 +146,10 @@ def ensure_text_index(
     # a common term has as many blocks as there are spans: they are dealt by span as well
     salt = F.pmod(F.xxhash64("term", "span"), F.lit(max(1, n // span_rows // 4096)))
     blocks.repartition("bucket", salt).sortWithinPartitions("bucket", "term", "span").write.partitionBy("bucket").parquet(f"{built}/blocks")
-    stored = spark.read.parquet(f"{built}/blocks")
+    stored = spark.read.schema(_BLOCKS).parquet(f"{built}/blocks")
     terms = stored.groupBy("bucket", "term").agg(F.sum(F.size("at")).alias("df"))
     terms.repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{built}/terms")
-    _define(spark, built, kind="text", n=n, n_buckets=n_buckets, k1=k1, b=b, near=list(near), filters=list(filters))
+    _define(spark, built, kind="text", n=n, n_buckets=n_buckets, k1=k1, b=b, near=list(near), docs=docs.schema.jsonValue())
     made = _publish(spark, built, place)
     return TextIndex.open(spark, place), made
 
@@ -288,8 +295,10 @@ class VectorIndex:
 
     @classmethod
     def open(cls, spark: SparkSession, place: str) -> VectorIndex:
-        centres = np.array([r.centre for r in spark.read.parquet(f"{place}/centres").orderBy("cell").collect()], float)
-        return cls(spark.read.parquet(f"{place}/rows"), centres, spark.read.parquet(f"{place}/reach"))
+        known = _definition(spark, place)
+        rows, reach = (spark.read.schema(StructType.fromJson(known[t])).parquet(f"{place}/{t}") for t in ("rows", "reach"))
+        stored = spark.read.schema("cell int, centre array<double>").parquet(f"{place}/centres")  # a row a cell
+        return cls(rows, np.array([r.centre for r in stored.orderBy("cell").collect()], float), reach)
 
 
 def _unit(matrix: np.ndarray) -> np.ndarray:
@@ -351,9 +360,10 @@ def ensure_vector_index(
     dealt = placed.repartition("cell", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n // max(cells, 1) // 65_536))))).sortWithinPartitions("cell", "angle")
     dealt.write.partitionBy("cell").parquet(f"{built}/rows")
     rows = spark.read.schema(f"id long, unit array<double>{kinds}, angle double, cell int").parquet(f"{built}/rows")
-    rows.groupBy("cell", *filters).agg(F.min("angle").alias("least"), F.max("angle").alias("most"), F.count(F.lit(1)).alias("n")).write.parquet(f"{built}/reach")
+    reach = rows.groupBy("cell", *filters).agg(F.min("angle").alias("least"), F.max("angle").alias("most"), F.count(F.lit(1)).alias("n"))
+    reach.write.parquet(f"{built}/reach")
     spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "cell int, centre array<double>").coalesce(1).write.parquet(f"{built}/centres")
-    _define(spark, built, kind="vector", n=n, cells=cells, filters=list(filters))
+    _define(spark, built, kind="vector", n=n, cells=cells, rows=rows.schema.jsonValue(), reach=reach.schema.jsonValue())
     made = _publish(spark, built, place)
     return VectorIndex.open(spark, place), made
 

@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from marginalia.operators.stats import DIGITS, poisson_weight
+from marginalia.plans.scratch import materialize
 
 # Components in order of dependency, with how each is switched off; builds.
 COMPONENTS = [
@@ -50,3 +54,44 @@ def scored_plan(plan: DataFrame, scores: DataFrame) -> DataFrame:
     if missing:
         raise ValueError(f"rungs without a score: {sorted(missing)}")
     return plan.join(scores.select("rung_id", "rate"), "rung_id")
+
+
+def compared_rungs(seed: int) -> list[tuple[str, str, int]]:
+    """(rung, the rung it is held against, its seed): build-up rungs against the one before, knock-outs against the whole."""
+    both = rungs()
+    up, out = ([r[2] for r in both if r[0] == ladder] for ladder in ("build-up", "knock-out"))
+    built = [(rung, up[n - 1], seed + n) for n, rung in enumerate(up) if n]
+    return built + [(rung, up[-1], seed + len(KEYS) + 1 + n) for n, rung in enumerate(out)]
+
+
+def ladder_run(spark: SparkSession, scores: DataFrame, seed: int, iterations: int = 2000, confidence: float = 0.95) -> DataFrame:
+    """Both ladders with rates, changes and their intervals (12.7): ``scores(rung_id, item_id, strict_pass)``.
+
+    ``(ladder, rung, rung_id, component, build, rate, delta, low, high, iterations)``; the floor's change is 0.
+    A change is the mean over items of a rung's pass less that of the rung it is held against; items are resampled
+    with that rung's seed. All rungs are resampled in one pass: a task sends two sums for each rung and resample.
+    A rung without scores, or two compared rungs that do not cover the same items, are errors.
+    """
+    if iterations <= 0 or not 0.0 < confidence < 1.0:
+        raise ValueError("iterations must be positive and confidence between 0 and 1")
+    plan = run_plan(spark, live=False)
+    pairs = spark.createDataFrame(compared_rungs(seed), "rung_id string, base_id string, seed int")
+    known = scores.select("rung_id", "item_id", F.col("strict_pass").cast("int").alias("pass")).where("pass is not null")
+    rates = scored_plan(plan, known.groupBy("rung_id").agg(F.round(F.avg("pass"), DIGITS).alias("rate")))
+    roles = pairs.select("rung_id", "seed", F.explode(F.array(F.struct(F.col("rung_id").alias("of"), F.lit(1).alias("sign")), F.struct(F.col("base_id").alias("of"), F.lit(-1).alias("sign")))).alias("r"))
+    roles = roles.select("rung_id", "seed", F.col("r.of").alias("of"), F.col("r.sign").alias("sign"))  # two rows a rung
+    each = known.withColumnRenamed("rung_id", "of").join(F.broadcast(roles), "of")
+    gaps = each.groupBy("rung_id", "seed", "item_id").agg(F.sum(F.col("sign") * F.col("pass")).alias("gap"), F.sum("sign").alias("left"), F.count(F.lit(1)).alias("n"))
+    gaps = materialize(gaps)
+    if odd := gaps.where("left <> 0 or n <> 2").first():
+        raise ValueError(f"rung {odd.rung_id!r} and the one it is held against do not cover the same items once each: {odd.item_id!r}")
+    point = gaps.groupBy("rung_id").agg(F.round(F.avg("gap"), DIGITS).alias("delta"))
+    drawn = gaps.withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
+    drawn = drawn.withColumn("w", poisson_weight(F.col("seed"), F.col("iteration"), F.col("item_id"))).where("w > 0")
+    means = drawn.groupBy("rung_id", "iteration").agg((F.sum(F.col("w") * F.col("gap")) / F.sum("w")).alias("mean"))
+    tail = (1.0 - confidence) / 2
+    bound = lambda at: F.round(F.percentile("mean", F.lit(at)), DIGITS)
+    spread = means.groupBy("rung_id").agg(bound(tail).alias("low"), bound(1.0 - tail).alias("high"))
+    out = rates.join(point, "rung_id", "left").join(spread, "rung_id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
+    return out.select("ladder", "rung", "rung_id", "component", "build", "rate", zero("delta"), zero("low"), zero("high"), F.lit(iterations).alias("iterations"))

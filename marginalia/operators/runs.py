@@ -234,7 +234,8 @@ def gap_dashboard(
     Gap i is resampled with ``seed`` + i. With ``floors(arm, spread)`` a gap is within noise if
     it is not above the greater spread of its arms. Without ``holdout`` its columns are null.
     """
-    known = {r.arm for r in dev.select("arm").distinct().limit(len(pairs) * 2 + 1000).collect()}
+    named = sorted({a for p in pairs for a in p})
+    known = {r.arm for r in dev.where(F.col("arm").isin(named)).select("arm").distinct().collect()}  # at most those that are named
     if missing := sorted({a for p in pairs for a in p} - known):
         raise ValueError(f"no scores of the arms {missing}")
     of = lambda arm, name: dev.where(F.col("arm") == arm).select("item_id", F.col("strict_pass").cast("double").alias(name))

@@ -7,8 +7,9 @@ does, iteration after iteration.
 
 from __future__ import annotations
 
+import math
 import random
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -74,6 +75,76 @@ def paired_bootstrap(pairs: DataFrame, seed: int, iterations: int = 2000, confid
 POISSON = [0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676, 0.99998975]
 
 
+def poisson_weight(seed: Column, iteration: Column, item: Column) -> Column:
+    """How often an item is in a resample: a Poisson draw by the hash of seed, iteration and item."""
+    digest = F.substring(F.md5(F.concat_ws(":", seed, iteration, item.cast("string")).cast("binary")), 1, 8)
+    limits = [f"{math.ceil(p * 2.0**32):08x}" for p in POISSON]  # of 32 bits in hex, which sort as numbers do
+
+    def weight(drawn: Column) -> Column:
+        out = F.when(drawn < limits[0], 0)
+        for n, limit in enumerate(limits[1:], 1):
+            out = out.when(drawn < limit, n)
+        return out.otherwise(len(limits))
+
+    # the one-element array binds the digest, which is so made once
+    return F.get(F.transform(F.array(digest), weight), F.lit(0))
+
+
+#: A statistic of weighted rows: given the weight's column, an aggregate over the columns of the items.
+Statistic = Callable[[Column], Column]
+
+
+def mean_of(value: Column) -> Statistic:
+    """The mean of a column."""
+    return lambda w: F.sum(w * value.cast("double")) / F.sum(w)
+
+
+def ratio_of(above: Column, below: Column) -> Statistic:
+    """The ratio of two sums; null where the lower one is 0."""
+    return lambda w: F.try_divide(F.sum(w * above.cast("double")), F.sum(w * below.cast("double")))
+
+
+def percentile_of(value: Column, fraction: float) -> Statistic:
+    """A percentile by linear interpolation, of rows repeated as often as their weight."""
+    return lambda w: F.percentile(value.cast("double"), F.lit(fraction), w)
+
+
+def kappa_between(one: Column, other: Column) -> Statistic:
+    """Cohen's kappa of two yes-or-no columns."""
+    a, b = one.cast("double"), other.cast("double")
+    share = lambda x, w: F.sum(w * x) / F.sum(w)
+    return lambda w: kappa_of(share((a == b).cast("double"), w), share(a, w), share(b, w))
+
+
+def bootstrap_of(
+    items: DataFrame, key: str, statistic: Statistic, seed: int, iterations: int = 2000, confidence: float = 0.95, *,
+    by: str | None = None, generator: str = "poisson",
+) -> DataFrame:
+    """(by, point, low, high, iterations) of any statistic of ``items``, resampled with replacement (2.15, 12.1, 12.2).
+
+    ``statistic`` is a weighted aggregate; a resample only changes the weights. ``poisson`` weights come from a hash of
+    the item's key, so items need no numbers and no join, groups of ``by`` are resampled in one pass, and a task sends
+    what the aggregate merges. ``hash`` and ``mersenne`` draw as ``draws`` does, for all items together.
+    """
+    if iterations <= 0 or not 0.0 < confidence < 1.0:
+        raise ValueError("iterations must be positive and confidence between 0 and 1")
+    groups = [by] if by else []
+    if generator == "poisson":
+        each = items.withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
+        each = each.withColumn("weight", poisson_weight(F.lit(seed), F.col("iteration"), F.col(key))).where("weight > 0")
+    else:
+        placed, n = numbered(items, key)
+        weights = draws(items.sparkSession, n, iterations, seed, generator).groupBy("iteration", "idx").agg(F.count(F.lit(1)).alias("weight"))
+        each = weights.join(placed, "idx")
+    found = each.groupBy(*groups, "iteration").agg(statistic(F.col("weight")).alias("value"))
+    tail = (1.0 - confidence) / 2
+    bound = lambda at: F.round(F.percentile("value", F.lit(at)), DIGITS)
+    spread = found.groupBy(*groups).agg(bound(tail).alias("low"), bound(1.0 - tail).alias("high"), F.count(F.lit(1)).alias("iterations"))
+    point = items.withColumn("weight", F.lit(1)).groupBy(*groups).agg(F.round(statistic(F.col("weight")), DIGITS).alias("point"))
+    joined = point.join(spread, groups) if groups else point.join(F.broadcast(spread))  # one row each
+    return joined.select(*groups, "point", "low", "high", "iterations")
+
+
 def poisson_bootstrap(pairs: DataFrame, seed: int, iterations: int = 2000, confidence: float = 0.95) -> DataFrame:
     """(point, low, high, iterations) of mean(treatment - baseline) over items of any number (12.1).
 
@@ -82,9 +153,7 @@ def poisson_bootstrap(pairs: DataFrame, seed: int, iterations: int = 2000, confi
     """
     items = pairs.select("item_id", (F.col("treatment") - F.col("baseline")).cast("double").alias("gap"))
     each = items.withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
-    digest = F.md5(F.concat_ws(":", F.lit(seed), F.col("iteration"), F.col("item_id").cast("string")).cast("binary"))
-    chance = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-    weight = sum((F.when(chance >= limit, 1).otherwise(0) for limit in POISSON[1:]), F.when(chance >= POISSON[0], 1).otherwise(0))
+    weight = poisson_weight(F.lit(seed), F.col("iteration"), F.col("item_id"))
     means = each.groupBy("iteration").agg((F.sum(weight * F.col("gap")) / F.sum(weight)).alias("gap"))
     return interval(means, "gap", confidence).join(items.agg(F.round(F.avg("gap"), DIGITS).alias("point")))
 

@@ -23,7 +23,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return below.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """``edges(a, b)`` of longs -> ``(node, component)``, component the smallest node reachable.
 
     Nodes without an edge do not appear. Self loops and repeated edges are
@@ -35,16 +35,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     def mark(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    last = mark(edges)
-    for _ in range(max_rounds):
-        if not last[0]:
-            break
+    last, now = None, mark(edges)
+    while now[0] and now != last:  # each round brings edges nearer to stars, until nothing changes
         edges = materialize(_small_star(_large_star(edges)))
-        now = mark(edges)
-        if now == last:
-            break
-        last = now
-    else:
-        raise RuntimeError("connected components did not settle")
+        last, now = now, mark(edges)
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)

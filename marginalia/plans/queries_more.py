@@ -422,16 +422,19 @@ def arm_dashboard(spark, sf_dir):
     return runs.arm_dashboard(a.join(b.select("item_id"), "item_id", "left_semi"), b.join(a.select("item_id"), "item_id", "left_semi"))
 
 
-@query(f"""WITH {_ARMS}, d AS (SELECT a.item_id, a.strict_pass::INT::DOUBLE AS x, b.strict_pass::INT::DOUBLE AS y FROM arms AS a JOIN arms AS b USING (item_id) WHERE a.arm = 'click' AND b.arm = 'view' AND item_id % 4 = 0), i AS (SELECT row_number() OVER (ORDER BY item_id) - 1 AS idx, y - x AS gap FROM d), n AS (SELECT count(*) AS n FROM i),
-  dr AS (SELECT it, ('0x' || substr(md5('5:' || it || ':' || slot), 1, 12))::BIGINT % n AS idx FROM n, range(60) AS a(it), range((SELECT count(*) FROM i)) AS b(slot)), g AS (SELECT it, avg(gap) AS gap FROM dr JOIN i USING (idx) GROUP BY it),
-  c AS (SELECT round(quantile_cont(gap, 0.025), 6) AS low, round(quantile_cont(gap, 0.975), 6) AS high, (SELECT round(avg(gap), 6) FROM i) AS point FROM g)
+_GAP_DRAW = "(" + " + ".join(f"(('0x' || substr(md5('5:' || it || ':' || item_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE >= {p:.8f}::DOUBLE)::INT" for p in stats.POISSON) + ")"
+
+
+@query(f"""WITH {_ARMS}, d AS (SELECT a.item_id, b.strict_pass::INT - a.strict_pass::INT AS gap FROM arms AS a JOIN arms AS b USING (item_id) WHERE a.arm = 'click' AND b.arm = 'view'),
+  w AS (SELECT it, gap, {_GAP_DRAW} AS w FROM d, range(2000) AS t(it)), g AS (SELECT it, sum(w * gap)::DOUBLE / sum(w) AS gap FROM w GROUP BY it),
+  c AS (SELECT round(quantile_cont(gap, 0.025), 6) AS low, round(quantile_cont(gap, 0.975), 6) AS high, (SELECT round(avg(gap), 6) FROM d) AS point FROM g)
   SELECT 'click' AS baseline_arm, 'view' AS treatment_arm, point, low, high, round(greatest(abs(high - point), abs(point - low)), 6) AS half_width, abs(point) <= 0.05 AS within_noise FROM c""")
 def gap_dashboard(spark, sf_dir):
-    """5.12, 12.3, 12.5: one gap with its interval and the floor of its arms."""
-    a, b = (_measured(spark, sf_dir, x).where("item_id % 4 = 0") for x in ("click", "view"))
+    """5.12, 12.3, 12.5: one gap over all items with its interval of 2,000 resamples and the floor of its arms."""
+    a, b = (_measured(spark, sf_dir, x) for x in ("click", "view"))
     dev = a.join(b.select("item_id"), "item_id", "left_semi").select(F.lit("click").alias("arm"), "item_id", "strict_pass").unionByName(b.join(a.select("item_id"), "item_id", "left_semi").select(F.lit("view").alias("arm"), "item_id", "strict_pass"))
     floors = spark.createDataFrame([("click", 0.05), ("view", 0.01)], "arm string, spread double")
-    return runs.gap_dashboard(dev, [("click", "view")], 5, 60, floors=floors)[0]
+    return runs.gap_dashboard(dev, [("click", "view")], 5, floors=floors, bootstrap=stats.poisson_bootstrap)[0]
 
 
 @query(f"""WITH {_BM25.format(where="WHERE lang = 'de'")}, {_TRI.format(where="WHERE lang = 'de'")}, {_RRF}, v AS (SELECT query_id, id, round(1.0::DOUBLE / (60 + rank), 9) AS score, rank AS vector_rank, NULL::INT AS bm25_rank, 'vector' AS stage, 'vector' AS stages, rank FROM tcr WHERE rank <= 8),
