@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.operators import artifacts, indexes, ladders, stats
+from marginalia.operators import artifacts, embedding, indexes, ladders, memo, stats
 from marginalia.plans.catalogue import _BM25, ORACLES, QUERIES, chunks, query, questions, table
 from marginalia.plans.scratch import materialize, scratch_dir
 from marginalia.sources.files import FileSink
@@ -109,6 +109,27 @@ def page_files(spark, sf_dir):
     return read_bytes(spark, root, rows.select("file")).select("file", F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("long").alias("bytes"))
 
 
+@query("""SELECT doc_id AS id, length(coalesce(text, '')) AS chars, length(coalesce(text, '')) - length(replace(coalesce(text, ''), ' ', '')) AS blanks, length(regexp_replace(coalesce(text, ''), '[^0-9]', '', 'g')) AS digits FROM documents""")
+def embedded_texts(spark, sf_dir):
+    """11.8: every text through the embedding seam in full batches, with the provider that counts."""
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    found = embedding.embed(rows, embedding.counting_provider, lanes=max(2, spark.sparkContext.defaultParallelism), spacing=0)
+    part = lambda i, name: F.col("vector")[i].cast("long").alias(name)
+    return found.select("id", part(0, "chars"), part(1, "blanks"), part(2, "digits"))
+
+
+@query("""WITH k AS (SELECT doc_id, source || '|' || lang AS key FROM documents), f AS (SELECT DISTINCT key FROM k WHERE doc_id % 4 = 0 AND key LIKE '%|e%'),
+  n AS (SELECT count(*) FILTER (WHERE key IN (SELECT key FROM f)) AS hits, count(*) FILTER (WHERE key NOT IN (SELECT key FROM f)) AS misses FROM k WHERE key IS NOT NULL)
+  SELECT doc_id, upper(key) AS value, hits, misses, 0::BIGINT AS coalesced FROM k, n""")
+def memoised_contexts(spark, sf_dir):
+    """11.11: a value for every document by its source and language from the shared cache, which a first run has filled in part."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat("source", F.lit("|"), "lang").alias("key"))
+    cache = memo.Memo(spark, _fresh(spark, "memo"), lambda missing: missing.select("key", F.upper("key").alias("value")), "value string")
+    cache.get(rows.where((F.col("doc_id") % 4 == 0) & F.col("key").contains("|e")))
+    found, counts = cache.get(rows)
+    return found.select("doc_id", "value", *(F.lit(n).cast("long").alias(name) for name, n in counts.items()))
+
+
 # --- streams ----------------------------------------------------------------------------
 
 
