@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.operators import artifacts, embedding, indexes, ladders, memo, stats
+from marginalia.plans import queries_more, reports  # noqa: F401 (queries_more registers what reports are made of)
 from marginalia.plans.catalogue import _BM25, ORACLES, QUERIES, chunks, query, questions, table
 from marginalia.plans.scratch import materialize, scratch_dir
 from marginalia.sources.files import FileSink
@@ -239,6 +240,31 @@ def bootstrap_ratio(spark, sf_dir):
     return stats.bootstrap_of(rows, "doc_id", stats.ratio_of(F.col("toxic"), F.col("quality")), 3)
 
 
+# --- reports ----------------------------------------------------------------------------
+
+_SIGNED = "CASE WHEN {0} < 0 THEN '-' ELSE '+' END || printf('%.2f%%', abs({0}) * 100)"
+
+
+@query(f"""WITH d AS ({ORACLES['arm_dashboard']}), l AS (
+  SELECT 0 AS part, '000' AS key, '# users: view against click, paired by item' AS line
+  UNION ALL SELECT 1, '', 'change in strict pass, all items: ' || {_SIGNED.format('strict_pass_delta')} || ' (' || CASE WHEN strict_pass_delta > 0 THEN 'view ahead' WHEN strict_pass_delta < 0 THEN 'click ahead' ELSE 'tied' END || ') of ' || n FROM d WHERE slice = 'all'
+  UNION ALL SELECT 2, '000', 'slice | n | click strict | view strict | change | click behaviour | view behaviour | click cite recall | view cite recall'
+  UNION ALL SELECT 3, CASE WHEN slice = 'all' THEN '1' ELSE '0' END || slice, concat_ws(' | ', slice, n::VARCHAR, printf('%.2f%%', naive_strict_pass * 100), printf('%.2f%%', agent_strict_pass * 100), {_SIGNED.format('strict_pass_delta')},
+    printf('%.0f%%', naive_behavior_match * 100), printf('%.0f%%', agent_behavior_match * 100), printf('%.0f%%', naive_cite_recall * 100), printf('%.0f%%', agent_cite_recall * 100)) FROM d)
+  SELECT part, key, line FROM l""")
+def arm_report(spark, sf_dir):
+    """13.1: the comparison of two arms as lines."""
+    return reports.arm_report(QUERIES["arm_dashboard"](spark, sf_dir), "users", ("click", "view"))
+
+
+@query(f"""WITH d AS ({ORACLES['order_probe']}) SELECT 0 AS part, '000' AS key, '# users: orders of the corpus' AS line UNION ALL SELECT 0, '001', 'seed | n | strict'
+  UNION ALL SELECT 1, lpad(seed::VARCHAR, 20, '0'), concat_ws(' | ', seed::VARCHAR, n::VARCHAR, printf('%.2f%%', rate * 100)) || CASE WHEN seed = 0 THEN ' (as it is)' ELSE '' END FROM d
+  UNION ALL SELECT 2, '', CASE WHEN bool_or(is_order_sensitive) THEN 'order matters: strict pass moves by ' || printf('%.2f%%', max(spread) * 100) ELSE 'order does not matter' END FROM d""")
+def order_report(spark, sf_dir):
+    """13.2: the order probe as lines."""
+    return reports.order_report(QUERIES["order_probe"](spark, sf_dir), "users")
+
+
 # --- strict artifacts -------------------------------------------------------------------
 
 
