@@ -563,14 +563,14 @@ def test_language_id_predictions(spark):
 def test_language_id_sample(spark, monkeypatch):
     """Each language gives its rows of the smallest hashes, common or not, thinned or not."""
     rows = [(i, "de" if i % 10 else "en") for i in range(3_000)] + [(i, "fr") for i in range(3_000, 3_002)] + [(None, "de")]
-    known = spark.createDataFrame(rows, "id long, lang string")
-    ranked = known.withColumn("h", F.pmod(F.xxhash64("id"), F.lit(1 << 40))).collect()
-    expected = {(r.id, r.lang) for lang in ("de", "en", "fr") for r in sorted((x for x in ranked if x.lang == lang), key=lambda x: x.h)[:20]}
+    known = spark.createDataFrame(rows, "id long, lang string").select("lang", F.xxhash64("id").alias("print"))
+    ranked = known.withColumn("h", F.pmod("print", F.lit(1 << 40))).collect()
+    expected = {(r.lang, r.print) for lang in ("de", "en", "fr") for r in sorted((x for x in ranked if x.lang == lang), key=lambda x: x.h)[:20]}
     for thinned in (10_000, 1):
         monkeypatch.setattr(language_id, "_THINNED", thinned)
         assert {tuple(r) for r in language_id._chosen(known, 20, 1_000).collect()} == expected
     assert language_id._chosen(known, 20, 5).count() == 5
-    assert language_id._chosen(known.where("id < 0"), 20, 5).count() == 0
+    assert language_id._chosen(known.where("false"), 20, 5).count() == 0
 
 
 def test_language_id_edges(spark, docs, texts, empty):
