@@ -40,11 +40,18 @@ def tree_hashes(nodes: DataFrame) -> DataFrame:
 
 
 def facts_digests(edges: DataFrame, definitions: DataFrame) -> DataFrame:
-    """(document_id, digest) of a document's cross-references in order and its definitions by term (10.7)."""
+    """(document_id, digest) of a document's cross-references in order and its definitions by term (10.7).
+
+    A side without rows is an empty list in the digested JSON, never left out.
+    """
     listed = edges.groupBy("document_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("edge_pos", "source", "target", "kind"))), lambda e: F.struct(e["source"].alias("from"), e["kind"].alias("kind"), e["target"].alias("to"))).alias("crossReferences"))
     terms = definitions.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("term", "path_key"))).alias("definitions"))
     both = listed.join(terms, "document_id", "full")
-    return both.select("document_id", F.sha2(F.to_json(F.struct("crossReferences", "definitions")), 256).alias("digest"))
+    whole = [F.coalesce(c, F.array().cast(both.schema[c].dataType)).alias(c) for c in ("crossReferences", "definitions")]
+    return both.select("document_id", F.sha2(F.to_json(F.struct(*whole)), 256).alias("digest"))
+
+
+# The first part of the keys of both caches, and the order of their parts.
 
 
 def tree_cache_key(stage: Column, model: Column, prompt_version: Column, tree_hash: Column) -> Column:
@@ -137,6 +144,9 @@ def read_extraction_set(spark, folder: str) -> DataFrame:
     return files.select("file", item.alias("item")).select("file", F.try_variant_get("item", "$.id", "string").alias("id"), F.to_json("item").alias("item"))
 
 
+# The fields of a context cache's record.
+
+
 def cache_record(text: Column) -> Column:
     """A stored record of a context cache, null where it is absent or malformed (1.29)."""
     found = F.from_json(text, "struct<name:string,contentHash:string,expiresAt:string>", {"mode": "PERMISSIVE"})
@@ -179,9 +189,13 @@ def tier_items(items: DataFrame, tier: str, include_holdout: bool) -> DataFrame:
     return items if include_holdout else items.where("side = 'dev'")
 
 
+# The first and the longest pause before another try, in milliseconds.
+FIRST_MS, LONGEST_MS = 1000, 30_000
+
+
 def backoff_ms(attempt: Column, jitter: Column) -> Column:
     """How long to wait before the next try (10.16)."""
-    return F.least(F.lit(1000) * F.pow(F.lit(2), attempt), F.lit(30000)).cast("long") + jitter
+    return F.least(F.lit(FIRST_MS) * F.pow(F.lit(2), attempt), F.lit(LONGEST_MS)).cast("long") + jitter
 
 
 def pdf_read_problems(texts: DataFrame, nodes: DataFrame) -> DataFrame:

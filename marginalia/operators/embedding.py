@@ -23,8 +23,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Texts a request, seconds between requests, first and longest pause before another try, in milliseconds.
-BATCH, SPACING, FIRST_MS, LONGEST_MS = 96, 21.0, 1000, 30_000
+from marginalia.operators.builds import FIRST_MS, LONGEST_MS
+
+# Texts a request, seconds between requests.
+BATCH, SPACING = 96, 21.0
 
 Provider = Callable[[Sequence[str]], Sequence[Sequence[float]]]
 OUT = "id {kind}, vector array<double>, batch int, tries int, slot long"

@@ -88,7 +88,7 @@ def select_reranker(provider: str, injected: dict[str, Callable], authority: Cal
 
 
 def chunks_for_arm(chunks: DataFrame, documents: DataFrame, arm: str, corpora: list[str] | None = None) -> DataFrame:
-    """Chunks of an arm in canonical order (3.19-3.21): adds ``doc_pos`` and ``corpus``.
+    """Chunks of an arm (3.19-3.21) with ``doc_pos`` and ``corpus``; a table has no order, canonical is that of doc_pos.
 
     ``documents(document_id, doc_pos, corpus)``. Only ``stuff-oracle`` looks at ``corpora``;
     an empty list of them is an error, as is a chunk of an unmapped document.

@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.operators import artifacts, embedding, indexes, ladders, memo, stats
+from marginalia.operators import artifacts, builds, embedding, indexes, ladders, memo, stats
 from marginalia.plans import queries_more, reports  # noqa: F401 (queries_more registers what reports are made of)
 from marginalia.plans.catalogue import _BM25, ORACLES, QUERIES, chunks, query, questions, table
 from marginalia.plans.scratch import materialize, scratch_dir
@@ -300,5 +300,16 @@ def cli_envelopes(spark, sf_dir):
     return o.select(F.col("o_orderkey").alias("item_id"), artifacts.cli_envelope(text).alias("e")).select("item_id", "e.cost", "e.usage")
 
 
+@query("""WITH e AS (SELECT o_custkey AS id, '[' || string_agg('{"from":"s' || o_orderkey || '","kind":"cites","to":"' || o_orderstatus || '"}', ',' ORDER BY o_orderkey) || ']' AS x FROM orders GROUP BY 1),
+  d AS (SELECT c_custkey AS id, '[{"term":"' || c_mktsegment || '","path_key":"d"}]' AS y FROM customer WHERE c_custkey % 2 = 0)
+  SELECT id AS document_id, sha256('{"crossReferences":' || coalesce(x, '[]') || ',"definitions":' || coalesce(y, '[]') || '}') AS digest FROM e FULL JOIN d USING (id)""")
+def facts_digests(spark, sf_dir):
+    """10.7: digests of customers, whose orders stand for cross-references and whose segments for definitions, either of which may lack."""
+    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    edges = o.select(F.col("o_custkey").alias("document_id"), F.col("o_orderkey").alias("edge_pos"), F.concat(F.lit("s"), "o_orderkey").alias("source"), F.col("o_orderstatus").alias("target"), F.lit("cites").alias("kind"))
+    terms = c.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("document_id"), F.col("c_mktsegment").alias("term"), F.lit("d").alias("path_key"))
+    return builds.facts_digests(edges, terms)
+
+
 #: The names of this module's queries.
 NAMES = [name for name, f in QUERIES.items() if f.__module__ == __name__]
