@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.operators.stats import DIGITS, poisson_weight
+from marginalia.operators.stats import DIGITS, resampled_sums
 from marginalia.plans.scratch import materialize
 
 # Components in order of dependency, with how each is switched off; builds.
@@ -86,9 +86,8 @@ def ladder_run(spark: SparkSession, scores: DataFrame, seed: int, iterations: in
     if odd := gaps.where("left <> 0 or n <> 2").first():
         raise ValueError(f"rung {odd.rung_id!r} and the one it is held against do not cover the same items once each: {odd.item_id!r}")
     point = gaps.groupBy("rung_id").agg(F.round(F.avg("gap"), DIGITS).alias("delta"))
-    drawn = gaps.withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
-    drawn = drawn.withColumn("w", poisson_weight(F.col("seed"), F.col("iteration"), F.col("item_id"))).where("w > 0")
-    means = drawn.groupBy("rung_id", "iteration").agg((F.sum(F.col("w") * F.col("gap")) / F.sum("w")).alias("mean"))
+    drawn = resampled_sums(gaps.select(F.col("rung_id").alias("grp"), "seed", F.col("item_id").cast("string").alias("item"), F.col("gap").cast("double").alias("value")), iterations)
+    means = drawn.where("below > 0").select(F.col("grp").alias("rung_id"), "iteration", (F.col("above") / F.col("below")).alias("mean"))
     tail = (1.0 - confidence) / 2
     bound = lambda at: F.round(F.percentile("mean", F.lit(at)), DIGITS)
     spread = means.groupBy("rung_id").agg(bound(tail).alias("low"), bound(1.0 - tail).alias("high"))
