@@ -126,14 +126,18 @@ def slice_manifest(text: DataFrame) -> DataFrame:
     """``(seed, pos, item_id, behavior_class, side)`` of slice manifests ``text(doc)`` (10.29).
 
     A whole seed, entries with known keys only, an id, a known behaviour, and the side that is not sealed; a
-    manifest without entries is an error.
+    manifest without entries is an error. A column ``first`` of ``text`` is the place of a document's first entry in
+    its whole slice, where that is dealt to many documents.
     """
+    text = text.select("doc", (F.col("first") if "first" in text.columns else F.lit(0)).cast("long").alias("first"))
     body = F.try_parse_json("doc")
     seed = F.when(kind_of(body, "seed") == "NUMBER", F.try_variant_get(body, "$.seed", "double"))
     rule = _known_keys(F.col("doc"), SLICE_KEYS) & (seed == F.floor(seed)) & (kind_of(body, "slice") == "ARRAY")
     entries = F.try_variant_get(body, "$.slice", "array<variant>")
     listed = require(entries, rule & (F.size(entries) > 0), "not a slice manifest", "array<variant>")
-    rows = text.select(F.try_variant_get(body, "$.seed", "long").alias("seed"), F.posexplode(listed).alias("pos", "v")).select("*", F.to_json("v").alias("row"))
+    # columns of their own below the explode: in it they would be read again, from the whole document, for every entry
+    whole = text.select("first", F.try_variant_get(body, "$.seed", "long").alias("seed"), listed.alias("listed"))
+    rows = whole.select("seed", "first", F.posexplode("listed").alias("at", "v")).select("seed", (F.col("first") + F.col("at")).alias("pos"), "v", F.to_json("v").alias("row"))
     v = F.col("v")
     good = F.schema_of_variant(v).startswith("OBJECT") & _known_keys(F.col("row"), ENTRY_KEYS) & _filled(text_of(v, "id"))
     good = good & text_of(v, "behavior_class").isin(CLASSES) & (text_of(v, "side") == SLICE_SIDE)
@@ -147,3 +151,25 @@ def render_slice(entries: DataFrame, seed: int) -> DataFrame:
     entry = F.struct(F.col("item_id").alias("id"), "behavior_class", F.lit(SLICE_SIDE).alias("side"))
     placed = F.array_sort(F.collect_list(F.struct(F.sha2(F.col("item_id"), 256).alias("h"), entry.alias("e"))))
     return entries.agg(placed.alias("p")).select(F.to_json(F.struct(F.lit(1).alias("version"), F.lit(seed).alias("seed"), F.transform("p", lambda x: x["e"]).alias("slice"))).alias("doc"))
+
+
+#: Entries that a document of a slice holds, about.
+ENTRIES = 1000
+
+
+def render_slices(entries: DataFrame, seed: str, size: int = ENTRIES) -> DataFrame:
+    """``(doc, first)``: the slices of ``entries(item_id, behavior_class)`` by the column ``seed``, in documents of about ``size`` entries.
+
+    Documents are ranges of the hash of the id, so a slice is their entries in the order of ``first``, the place of a
+    document's first entry; entries of one hash are in one document.
+    """
+    ranges = max(1, -(-entries.count() // size))
+    h = F.sha2(F.col("item_id"), 256)
+    part = F.floor(F.conv(F.substring(h, 1, 8), 16, 10).cast("long") * ranges / F.lit(2**32)).cast("long")
+    entry = F.struct(F.col("item_id").alias("id"), "behavior_class", F.lit(SLICE_SIDE).alias("side"))
+    rows = entries.select(F.col(seed).alias("seed"), part.alias("part"), h.alias("h"), entry.alias("e"))
+    counts = rows.groupBy("seed", "part").agg(F.count(F.lit(1)).alias("n"))  # a row a document
+    firsts = counts.select("seed", "part", (F.sum("n").over(Window.partitionBy("seed").orderBy("part")) - F.col("n")).alias("first"))
+    placed = rows.groupBy("seed", "part").agg(F.array_sort(F.collect_list(F.struct("h", "e"))).alias("p"))
+    docs = placed.select("seed", "part", F.to_json(F.struct(F.lit(1).alias("version"), "seed", F.transform("p", lambda x: x["e"]).alias("slice"))).alias("doc"))
+    return docs.join(firsts, ["seed", "part"]).select("doc", "first")

@@ -282,9 +282,7 @@ def correction_documents(spark, sf_dir):
 def slice_manifests(spark, sf_dir):
     """10.29, 6.12: the labelled documents of each toxicity as a slice manifest, ordered by hash, written and read strictly."""
     rows = table(spark, sf_dir, "labels").where("toxic is not null").select(F.col("doc_id").cast("string").alias("item_id"), F.lit("answer").alias("behavior_class"), "toxic")
-    docs = [artifacts.render_slice(rows.where(F.col("toxic") == seed), seed) for seed in (0, 1)]
-    whole = docs[0].unionByName(docs[1]).where(F.col("doc").contains('"id"'))  # a side without rows has no manifest
-    found = artifacts.slice_manifest(whole)
+    found = artifacts.slice_manifest(artifacts.render_slices(rows, "toxic"))
     return found.select("item_id", "behavior_class", "side", F.col("pos").cast("long").alias("pos"), F.col("seed").cast("int").alias("seed"))
 
 
