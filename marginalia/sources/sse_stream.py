@@ -10,7 +10,8 @@ is not JSON, are skipped, as in ``golden.parse_sse``.
 The offset of a batch is the size of each file. A frame belongs to the range of bytes that its ending
 blank line ends in; a reader looks back from the begin of its range for the begin of that frame. So
 an unfinished frame waits, whatever batch or restart comes between, and no frame is read twice.
-Ranges of more than ``rangeBytes`` are cut by the same rule. With the option ``ended`` a last frame
+Ranges of more than ``rangeBytes`` are cut by the same rule; a task reads as many ranges as make up
+``taskBytes``, each counted with what opening a file costs, so tasks grow with bytes, not with files. With the option ``ended`` a last frame
 without blank line counts too; it is for files that grow no more.
 """
 
@@ -29,6 +30,8 @@ from marginalia.sources.files import file_system
 _BLANK = re.compile(rb"\r?\n\r?\n")
 #: Bytes that are looked back for at a time.
 _BACK = 1 << 16
+#: What opening a file counts for, in bytes.
+_OPEN = 1 << 16
 
 
 def frame_event(frame: str) -> tuple[str, str] | None:
@@ -81,10 +84,18 @@ class Range(InputPartition):
         self.file, self.start, self.stop = file, start, stop
 
 
+class Ranges(InputPartition):
+    """The ranges that one task reads."""
+
+    def __init__(self, ranges: list[Range]):
+        self.ranges = ranges
+
+
 class _Reader(DataSourceStreamReader):
     def __init__(self, options: dict[str, str]):
         self.root, self.ended = options["path"], options.get("ended", "false").lower() == "true"
         self.range_bytes = int(options.get("rangebytes", 16 << 20))
+        self.task_bytes = int(options.get("taskbytes", 16 << 20))
 
     def initialOffset(self) -> dict:
         return {}
@@ -96,16 +107,23 @@ class _Reader(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         out: list[InputPartition] = []
+        held, cost = [], 0
         for file, stop in sorted(end.items()):
             for at in range(start.get(file, 0), stop, self.range_bytes):
-                out.append(Range(file, at, min(at + self.range_bytes, stop)))
-        return out
-
-    def read(self, partition: Range) -> Iterator[tuple]:
+                one = Range(file, at, min(at + self.range_bytes, stop))
+                if held and cost + one.stop - at + _OPEN > self.task_bytes:
+                    out.append(Ranges(held))
+                    held, cost = [], 0
+                held.append(one)
+                cost += one.stop - at + _OPEN
+        return [*out, Ranges(held)] if held else out
+
+    def read(self, partition: Ranges) -> Iterator[tuple]:
         known, root = file_system(self.root)
-        for at, text in frames(known, f"{root}/{partition.file}", partition.start, partition.stop, self.ended):
-            if (found := frame_event(text)) is not None:
-                yield partition.file, at, *found
+        for one in partition.ranges:
+            for at, text in frames(known, f"{root}/{one.file}", one.start, one.stop, self.ended):
+                if (found := frame_event(text)) is not None:
+                    yield one.file, at, *found
 
 
 class SseSource(DataSource):
