@@ -105,8 +105,9 @@ def embed(rows: DataFrame, provider: Provider, *, batch: int = BATCH, lanes: int
         if sum(h.num_rows for h in held):
             yield send(pa.Table.from_batches(held))
 
-    lane = F.pmod(F.xxhash64("id", "text"), F.lit(lanes))
-    dealt = rows.select("id", F.col("text").cast("string").alias("text"), lane.alias("lane")).repartition(lanes, "lane").sortWithinPartitions("id", "text")
+    lane = F.pmod(F.xxhash64("id", "text"), F.lit(lanes)).cast("int")
+    # a partition a lane: dealt by a hash of the lane, several would share one and others stay empty
+    dealt = rows.select("id", F.col("text").cast("string").alias("text"), lane.alias("lane")).repartitionById(lanes, "lane").sortWithinPartitions("id", "text")
     return dealt.select("id", "text").mapInArrow(run, OUT.format(kind=kind))
 
 

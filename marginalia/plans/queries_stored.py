@@ -110,11 +110,16 @@ def page_files(spark, sf_dir):
     return read_bytes(spark, root, rows.select("file")).select("file", F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("long").alias("bytes"))
 
 
+#: Texts of a lane, about: lanes grow with the table, so that no task does.
+_LANE_ROWS = 5000
+
+
 @query("""SELECT doc_id AS id, length(coalesce(text, '')) AS chars, length(coalesce(text, '')) - length(replace(coalesce(text, ''), ' ', '')) AS blanks, length(regexp_replace(coalesce(text, ''), '[^0-9]', '', 'g')) AS digits FROM documents""")
 def embedded_texts(spark, sf_dir):
     """11.8: every text through the embedding seam in full batches, with the provider that counts."""
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    found = embedding.embed(rows, embedding.counting_provider, lanes=max(2, spark.sparkContext.defaultParallelism), spacing=0)
+    lanes = max(2, spark.sparkContext.defaultParallelism, -(-rows.count() // _LANE_ROWS))
+    found = embedding.embed(rows, embedding.counting_provider, lanes=lanes, spacing=0)
     part = lambda i, name: F.col("vector")[i].cast("long").alias(name)
     return found.select("id", part(0, "chars"), part(1, "blanks"), part(2, "digits"))
 
