@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,9 +78,26 @@ def coverage(parts: DataFrame, reference: DataFrame) -> DataFrame:
     """Parts that occur less often in the reference text than among the parts (5.30)."""
     clean = lambda c: F.trim(F.regexp_replace(c, "(?U)[\\s\\uFEFF]+", " "))
     need = parts.select("document_id", clean("text").alias("part")).where("part <> ''").groupBy("document_id", "part").agg(F.count(F.lit(1)).alias("needed"))
-    found = need.join(reference.select("document_id", clean("text").alias("whole")), "document_id", "left")
-    found = found.withColumn("found", F.coalesce(occurrences("whole", "part"), F.lit(0)))
-    return found.where("found < needed").select("document_id", "part", "needed", "found")
+    kind = need.schema["document_id"].dataType.simpleString()
+    listed = need.groupBy("document_id").agg(F.collect_list(F.struct("part", "needed")).alias("parts"))  # the parts of one document
+    found = listed.join(reference.select("document_id", clean("text").alias("whole")), "document_id", "left")
+    return found.select("document_id", "parts", "whole").mapInArrow(_scarce_parts, f"document_id {kind}, part string, needed long, found long")
+
+
+def _scarce_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The parts of each document that its text holds too seldom: a text is sent once, not once a part."""
+    for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):  # texts are as long as they are
+        rows, parts, needed, found = [], [], [], []
+        for i, (listed, whole) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+            for one in listed:
+                n = (whole or "").count(one["part"])
+                if n < one["needed"]:
+                    rows.append(i)
+                    parts.append(one["part"])
+                    needed.append(one["needed"])
+                    found.append(n)
+        columns = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(parts, pa.string()), pa.array(needed, pa.int64()), pa.array(found, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, ["document_id", "part", "needed", "found"])
 
 
 def tree_digest(rows: DataFrame, by: str, value: str, group: str, levels: tuple[int, ...] = (6, 3, 0)) -> DataFrame:
