@@ -165,7 +165,7 @@ def answers_map(outcomes: DataFrame) -> DataFrame:
 
 def strict_verdicts(points: DataFrame, verdicts: DataFrame) -> DataFrame:
     """``points(item_id, point_id)`` with ``credited`` (4.14): ``verdicts(item_id, point_id, value)``, JSON texts; an absent one or no boolean is an error."""
-    joined = points.join(verdicts, ["item_id", "point_id"], "left")
+    joined = points.join(verdicts.hint("merge"), ["item_id", "point_id"], "left")  # as many as the points: never broadcast
     value = F.trim("value")
     return joined.select("item_id", "point_id", require(value == "true", value.isin("true", "false"), "a verdict is missing or no boolean", "boolean").alias("credited"))
 

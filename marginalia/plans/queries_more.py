@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from marginalia.functions import prompts, text
 from marginalia.operators import builds, corpus, envelopes, evaluation, fusion, ladders, routing, runs, stats
 from marginalia.plans.catalogue import _ARMS, _BM25, _CITES, _KEYS, _NODES, _RRF, _TRI, ORACLES, _cites, _keys, _nodes, chunks, query, questions, r6, table
+from marginalia.plans.scratch import materialize
 from marginalia.sources import golden, manifest
 
 _S = "[\\s\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}]"
@@ -320,12 +321,13 @@ def strict_artifacts(spark, sf_dir):
     cost = F.when(F.col("item_id") % 2 == 0, F.round("o_totalprice", 2))
     call = builds.cli_envelope(F.to_json(F.struct(F.col("o_orderstatus").alias("result"), F.lit(False).alias("is_error"), cost.alias("total_cost_usd"))))
     label = F.to_json(F.struct(text_id.alias("item_id"), F.lit("p").alias("point_id"), F.lit("q").alias("question"), F.col("o_orderstatus").alias("answer"), F.lit("t").alias("point_text"), (F.col("item_id") % 3 == 0).alias("human_credited")))
-    labels = builds.label_rows(o.select(label.alias("row"))).select(F.col("item_id").cast("long").alias("item_id"), "point_id", F.col("human_credited").cast("string").alias("value"))
+    # written once: else every join would filter on the keys by parsing the rows again, field by field
+    labels = materialize(builds.label_rows(o.select(label.alias("row"))).select(F.col("item_id").cast("long").alias("item_id"), "point_id", F.col("human_credited").cast("string").alias("value")))
     verdicts = builds.strict_verdicts(labels.select("item_id", "point_id"), labels).select("item_id", "credited")
     answers = builds.answers_map(o.select("item_id", F.col("o_orderstatus").alias("answer_text")))
     ways = F.element_at(F.array(*map(F.lit, [*builds.DISPOSITIONS, "other"])), (F.col("item_id") % 5 + 1).cast("int"))
     rows = o.select("item_id", call.alias("c"), builds.is_valid_disposition(ways).alias("valid"))
-    return rows.join(verdicts, "item_id").join(answers, "item_id").select("item_id", "c.result", "c.cost", "credited", "valid", "answer")
+    return rows.join(verdicts.hint("merge"), "item_id").join(answers.hint("merge"), "item_id").select("item_id", "c.result", "c.cost", "credited", "valid", "answer")
 
 
 @query("""SELECT doc_id, sha256('["' || doc_id || '","doc|' || doc_id || '",' || to_json(text)::VARCHAR || ']') AS chunk_hash, '["chunk","situating-context","hierarchy","m","v1","' || md5(source) || '","","' || lang || '"]' AS cache_key FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL AND source IS NOT NULL""")
