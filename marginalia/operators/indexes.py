@@ -11,9 +11,9 @@ reaches the scan. As with any filtered search, term statistics are those of the
 
 from __future__ import annotations
 
+import itertools
 import json
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from marginalia.operators.retrieval import DIGITS, TermBlock, best_cells, query_names, term_blocks, tokens_of, top_k
+from marginalia.operators.retrieval import DIGITS, TermBlock, best_cells, counted, query_names, term_blocks, tokens_in, top_k
 from marginalia.plans.scratch import materialize
 
 #: Scores are rounded to ``DIGITS``; bounds are compared with this much room.
@@ -66,7 +66,9 @@ def _define(spark: SparkSession, place: str, **parts) -> None:
 
 
 _TERMS = "term string, df long, bucket int"
-_BLOCKS = "term string, span long, top double, at array<int>, impacts array<double>, bucket int"
+_BLOCKS = "term string, span long, top double, at array<int>, impacts array<double>"
+#: Spans of which a task makes blocks at a time.
+_SPANS_A_RUN = 16
 
 
 @dataclass(frozen=True)
@@ -90,25 +92,59 @@ class TextIndex:
         return cls(*tables, known["n"], known["n_buckets"])
 
 
-def _forward(corpus: DataFrame, near: tuple[str, ...], filters: tuple[str, ...]) -> DataFrame:
-    """(id, length, terms, tfs, near and filter columns) of every text."""
-    more = list(dict.fromkeys((*near, *filters)))
-    kinds = "".join(f", `{c}` {corpus.schema[c].dataType.simpleString()}" for c in more)
+def _lengths(texts: DataFrame) -> tuple[int, float]:
+    """Number of texts and their mean length in tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            length, terms, tfs = [], [], []
-            for text in batch.column(1).to_pylist():
-                found = Counter(tokens_of(text))
-                length.append(found.total())
-                terms.append(list(found))
-                tfs.append(list(found.values()))
-            columns = [batch.column(0), pa.array(length, pa.int64()), pa.array(terms, pa.list_(pa.string())), pa.array(tfs, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*columns, *batch.columns[2:]], ["id", "length", "terms", "tfs", *more])
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.column(0).slice(at, 1024)
+                yield pa.RecordBatch.from_arrays([pa.array([len(part)]), pa.array([len(tokens_in(part)[0])])], ["n", "length"])
 
-    kind = corpus.schema["id"].dataType.simpleString()
-    picked = corpus.select("id", F.col("text").cast("string"), *more)
-    return picked.mapInArrow(run, f"id {kind}, length long, terms array<string>, tfs array<long>{kinds}")
+    n, length = texts.select("text").mapInArrow(run, "n long, length long").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("length"), F.lit(0))).first()
+    return n, length / n if n else 0.0
+
+
+def _whole_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of some spans at a time; ``span`` is the first column, and spans lie one after another."""
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if held is None else pa.concat_tables([held, table])
+        span = table.column(0).to_numpy()
+        starts = np.concatenate([[0], np.flatnonzero(np.diff(span)) + 1])
+        held = table.slice(int(starts[-1]))  # its other rows may follow
+        cuts = [*starts[:-1:_SPANS_A_RUN].tolist(), int(starts[-1])]
+        for lo, hi in itertools.pairwise(cuts):
+            yield table.slice(lo, hi - lo)
+    if held is not None and held.num_rows:
+        yield held
+
+
+def _blocks(placed: DataFrame, avg_length: float, k1: float, b: float) -> DataFrame:
+    """The blocks of ``placed(span, at, text)``, made where the spans lie: postings are neither rows nor shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_spans(batches):
+            span, at = table.column(0).to_numpy(), table.column(1).to_numpy()
+            text, terms, code = tokens_in(table.column(2).combine_chunks())
+            if not len(code):
+                continue
+            length = np.bincount(text, minlength=len(span))
+            text, code, tf = counted(text, code, len(terms))
+            impact = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[text] / (avg_length or 1.0)))
+            by_name = pc.sort_indices(terms).to_numpy()
+            place = np.empty(len(terms), np.int64)
+            place[by_name] = np.arange(len(terms))
+            order = np.lexsort((at[text], span[text], place[code]))
+            text, code, impact = text[order], code[order], impact[order]
+            first = np.concatenate([[0], np.flatnonzero((np.diff(code) != 0) | (np.diff(span[text]) != 0)) + 1])
+            offsets = pa.array(np.append(first, len(code)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(at[text].astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(impact))]
+            columns = [terms.take(pa.array(code[first])), pa.array(span[text[first]]), pa.array(np.maximum.reduceat(impact, first)), *lists]
+            yield pa.RecordBatch.from_arrays(columns, ["term", "span", "top", "at", "impacts"])
+
+    return placed.select("span", "at", "text").mapInArrow(run, _BLOCKS)
 
 
 def ensure_text_index(
@@ -120,34 +156,28 @@ def ensure_text_index(
     Documents lie in spans of at most ``span_rows``, in the order of the ``near`` columns, then
     ids: the more alike the documents of a span, the more spans a search can leave out. A
     posting holds the part of a document's score that does not depend on the query (its impact).
-    Postings of a term and span are a block with its largest impact; blocks lie in files by a
-    hash of the term. No block grows with the corpus.
+    Postings of a term and span are a block with its largest impact; blocks of a run of spans lie
+    together in the order of their terms, so that a scan for some terms skips pages. Where two tasks
+    read parts of one span, each makes blocks of its part: bounds are then sums of both, so they still hold.
+    No block grows with the corpus. Document frequencies lie in files by a hash of the term.
     """
     spark, place = corpus.sparkSession, f"{folder.rstrip('/')}/{name}"
     if _exists(spark, place):
         return TextIndex.open(spark, place), False
     built = f"{place}.{uuid.uuid4().hex}"
-    forward = materialize(_forward(corpus, near, filters))
-    n, avg_length = forward.agg(F.count(F.lit(1)), F.coalesce(F.avg("length"), F.lit(0.0))).first()
     order = [*near, "id"]
-    placed = forward.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("row", F.monotonically_increasing_id())
+    kept = corpus.select("id", F.col("text").cast("string").alias("text"), *dict.fromkeys(c for c in (*near, *filters) if c != "id"))
+    placed = kept.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("row", F.monotonically_increasing_id())
     inside = F.col("row").bitwiseAND(F.lit((1 << 33) - 1))
     span = F.shiftright("row", 33) * F.lit(1 << 33) + F.floor(inside / span_rows)
     placed = materialize(placed.withColumn("span", span).withColumn("at", (inside % span_rows).cast("int")).drop("row"))
+    n, avg_length = _lengths(placed)
     docs = placed.select("id", "span", "at", *filters)
     docs.write.parquet(f"{built}/docs")
-
-    norm = F.col("p.tfs") + k1 * (1 - b + b * F.col("length") / F.lit(float(avg_length) or 1.0))
-    posted = placed.select("span", "at", "length", F.explode(F.arrays_zip("terms", "tfs")).alias("p"))
-    posted = posted.select(F.col("p.terms").alias("term"), "span", "at", (F.col("p.tfs") * (k1 + 1) / norm).alias("impact"))
-    blocks = posted.groupBy("term", "span").agg(F.max("impact").alias("top"), F.array_sort(F.collect_list(F.struct("at", "impact"))).alias("p"))
-    bucket = F.pmod(F.xxhash64("term"), F.lit(n_buckets)).cast("int").alias("bucket")
-    blocks = blocks.select("term", "span", "top", F.col("p.at").alias("at"), F.col("p.impact").alias("impacts"), bucket)
-    # a common term has as many blocks as there are spans: they are dealt by span as well
-    salt = F.pmod(F.xxhash64("term", "span"), F.lit(max(1, n // span_rows // 4096)))
-    blocks.repartition("bucket", salt).sortWithinPartitions("bucket", "term", "span").write.partitionBy("bucket").parquet(f"{built}/blocks")
+    _blocks(placed, avg_length, k1, b).write.parquet(f"{built}/blocks")
     stored = spark.read.schema(_BLOCKS).parquet(f"{built}/blocks")
-    terms = stored.groupBy("bucket", "term").agg(F.sum(F.size("at")).alias("df"))
+    bucket = F.pmod(F.xxhash64("term"), F.lit(n_buckets)).cast("int").alias("bucket")
+    terms = stored.groupBy("term").agg(F.sum(F.size("at")).alias("df")).select("term", "df", bucket)
     terms.repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{built}/terms")
     _define(spark, built, kind="text", n=n, n_buckets=n_buckets, k1=k1, b=b, near=list(near), docs=docs.schema.jsonValue())
     made = _publish(spark, built, place)
@@ -196,9 +226,9 @@ def _search_block(index: TextIndex, queries: DataFrame, asked: TermBlock, k: int
     names = list(asked.terms)
     buckets = spark.createDataFrame([(t,) for t in names], "term string").select(F.pmod(F.xxhash64("term"), F.lit(index.n_buckets)).alias("b")).distinct()
     # terms and buckets are as many as one matrix has rows: they go to the scans as they are
-    wanted = F.col("bucket").isin([r.b for r in buckets.collect()]) & F.col("term").isin(names)
+    wanted = F.col("term").isin(names)
     df = np.zeros(len(names))
-    for row in index.terms.where(wanted).select("term", "df").collect():
+    for row in index.terms.where(F.col("bucket").isin([r.b for r in buckets.collect()]) & wanted).select("term", "df").collect():
         df[asked.terms[row.term]] = row.df
     weights = asked.matrix * np.log(1.0 + (index.n - df + 0.5) / (df + 0.5))[:, None]
     shared = spark.sparkContext.broadcast((pa.array(names, pa.string()), weights))  # the terms are in the order of their rows
@@ -241,21 +271,36 @@ def _search_block(index: TextIndex, queries: DataFrame, asked: TermBlock, k: int
 
     kinds = {c: f.schema[c].dataType for f, c in ((docs, "id"), (queries, "query_id"))}
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks of one span in a row a batch, terms by their numbers."""
+        for batch in batches:
+            span, lists = batch.column(0).to_numpy(), batch.column(2)
+            if not len(span):
+                continue
+            order = pa.array(np.argsort(span, kind="stable"))
+            span, lists, impacts = span[order.to_numpy()], lists.take(order), batch.column(3).take(order)
+            n = lists.value_lengths().to_numpy()
+            slot = pc.index_in(batch.column(1), value_set=shared.value[0]).take(order).to_numpy()
+            first = np.concatenate([[0], np.flatnonzero(np.diff(span)) + 1])
+            offsets = pa.array(np.append(np.concatenate([[0], np.cumsum(n)])[first], n.sum()).astype(np.int32))
+            values = (pa.array(np.repeat(slot, n).astype(np.int32)), lists.flatten(), impacts.flatten())
+            yield pa.RecordBatch.from_arrays([pa.array(span[first]), *(pa.ListArray.from_arrays(offsets, v) for v in values)], ["span", "slots", "at", "impacts"])
+
     def scores(spans: DataFrame) -> DataFrame:
         """The best rows of ``spans(span, qs)`` for the queries ``qs`` of each: (query_id, id, score)."""
-        members = docs.groupBy("span").agg(F.collect_list(F.struct("at", "id")).alias("members"))  # a span is bounded
-        spread = blocks.select("span", "term", "at", "impacts").groupBy("span").agg(F.collect_list(F.struct("term", "at", "impacts")).alias("held"))
+        some = spans.select("span")
+        members = docs.join(some, "span", "left_semi").groupBy("span").agg(F.collect_list(F.struct("at", "id")).alias("members"))  # a span is bounded
+        packed = blocks.select("span", "term", "at", "impacts").join(some, "span", "left_semi").select("span", "term", "at", "impacts").mapInArrow(pack, "span long, slots array<int>, at array<int>, impacts array<double>")
+        spread = packed.groupBy("span").agg(F.collect_list(F.struct("slots", "at", "impacts")).alias("held"))
         joined = spans.join(spread, "span").join(members, "span").select("qs", "held", "members")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            terms, weights = shared.value
+            weights = shared.value[1]
             for batch in batches:
                 for i in range(batch.num_rows):
                     qs, held, inside = (c[i].values for c in batch.columns)
                     qs, places = qs.to_numpy(zero_copy_only=False), inside.field("at").to_numpy()
-                    at = held.field("at")
-                    term = np.repeat(pc.index_in(held.field("term"), value_set=terms).to_numpy(), at.value_lengths().to_numpy())
-                    at = at.flatten().to_numpy()
+                    at, term = held.field("at").flatten().to_numpy(), held.field("slots").flatten().to_numpy()
                     used, column = np.unique(term, return_inverse=True)
                     impact = np.zeros((max(int(at.max()), int(places.max())) + 1, len(used)))
                     impact[at, column] = held.field("impacts").flatten().to_numpy()

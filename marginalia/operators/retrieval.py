@@ -15,6 +15,7 @@ from itertools import batched
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +27,7 @@ DIGITS = 6
 CELLS = 1 << 20  # of a matrix of queries by rows at a time
 _NOT_TOKEN = re.compile("[^a-z0-9]+")
 _TOKEN = re.compile("[a-z0-9]+")
+_IN_TOKEN = np.isin(np.arange(256), np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789", np.uint8))
 
 
 def top_k(scored: DataFrame, k: int | None, by: str = "query_id") -> DataFrame:
@@ -50,6 +52,25 @@ def tokens_of(text: str | None) -> list[str]:
     return _TOKEN.findall((text or "").lower())
 
 
+def tokens_in(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """All tokens of many texts, text by text: (place of its text, distinct tokens, place of the token among those)."""
+    parts = [(t or "").lower().encode() for t in texts.to_pylist()]
+    raw = np.frombuffer(b"\n".join([b"", *parts, b""]), np.uint8)
+    inside = _IN_TOKEN[raw]
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    start, stop = edges[::2], edges[1::2]
+    offsets = np.concatenate([[0], np.cumsum(stop - start)]).astype(np.int32)
+    found = pa.Array.from_buffers(pa.string(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(raw[inside])]).dictionary_encode()
+    ends = np.cumsum(np.array([len(p) + 1 for p in parts], np.int64))
+    return np.searchsorted(ends, start, side="left"), found.dictionary, found.indices.to_numpy()
+
+
+def counted(texts: np.ndarray, keys: np.ndarray, n_keys: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, key, how often) of every pair that there is, text by text."""
+    pairs, n = np.unique(texts * np.int64(max(n_keys, 1)) + keys, return_counts=True)
+    return pairs // max(n_keys, 1), pairs % max(n_keys, 1), n
+
+
 @dataclass(frozen=True)
 class TermBlock:
     """Some queries as a matrix of terms by queries; a query's terms count once."""
