@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from marginalia.operators.retrieval import DIGITS, TermBlock, best_cells, counted, query_names, term_blocks, tokens_in, top_k
+from marginalia.operators.retrieval import DIGITS, TermBlock, best_cells, counted, query_names, slices, term_blocks, tokens_in, top_k
 from marginalia.plans.scratch import materialize
 
 #: Scores are rounded to ``DIGITS``; bounds are compared with this much room.
@@ -67,8 +67,8 @@ def _define(spark: SparkSession, place: str, **parts) -> None:
 
 _TERMS = "term string, df long, bucket int"
 _BLOCKS = "term string, span long, top double, at array<int>, impacts array<double>"
-#: Spans of which a task makes blocks at a time.
-_SPANS_A_RUN = 16
+#: Bytes of text of which a task makes blocks at a time, in whole spans.
+_RUN_BYTES = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -96,17 +96,15 @@ def _lengths(texts: DataFrame) -> tuple[int, float]:
     """Number of texts and their mean length in tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.column(0).slice(at, 1024)
-                yield pa.RecordBatch.from_arrays([pa.array([len(part)]), pa.array([len(tokens_in(part)[0])])], ["n", "length"])
+        for part in slices(batches, 0):
+            yield pa.RecordBatch.from_arrays([pa.array([part.num_rows]), pa.array([len(tokens_in(part.column(0))[0])])], ["n", "length"])
 
     n, length = texts.select("text").mapInArrow(run, "n long, length long").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("length"), F.lit(0))).first()
     return n, length / n if n else 0.0
 
 
 def _whole_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The rows of some spans at a time; ``span`` is the first column, and spans lie one after another."""
+    """The rows of some spans of ``(span, at, text)`` at a time; spans lie one after another."""
     held = None
     for batch in batches:
         table = pa.Table.from_batches([batch])
@@ -114,9 +112,12 @@ def _whole_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         span = table.column(0).to_numpy()
         starts = np.concatenate([[0], np.flatnonzero(np.diff(span)) + 1])
         held = table.slice(int(starts[-1]))  # its other rows may follow
-        cuts = [*starts[:-1:_SPANS_A_RUN].tolist(), int(starts[-1])]
+        n_bytes = pc.fill_null(pc.binary_length(table.column(2)), 0).to_numpy()
+        run = (np.cumsum(n_bytes, dtype=np.int64) // _RUN_BYTES)[starts] if len(span) else starts
+        cuts = [0, *starts[np.flatnonzero(np.diff(run)) + 1].tolist(), int(starts[-1])]
         for lo, hi in itertools.pairwise(cuts):
-            yield table.slice(lo, hi - lo)
+            if lo < hi:
+                yield table.slice(lo, hi - lo)
     if held is not None and held.num_rows:
         yield held
 

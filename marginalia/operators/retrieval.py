@@ -11,7 +11,7 @@ import re
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
-from itertools import batched
+from itertools import batched, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -97,16 +97,14 @@ def term_blocks(queries: DataFrame, max_queries: int, matrix_bytes: int) -> Iter
 
 def _term_counts(corpus: DataFrame, block: TermBlock) -> tuple[int, float, np.ndarray]:
     """Number of texts, their mean length in tokens, and how many have each term of the block: one pass, a sum a term."""
-    shared = corpus.sparkSession.sparkContext.broadcast(block.terms)
+    shared = corpus.sparkSession.sparkContext.broadcast(pa.array(list(block.terms), pa.string()))  # in the order of their slots
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = shared.value
-        n, length, df = 0, 0, np.zeros(len(terms), np.int64)
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                found = tokens_of(text)
-                n, length = n + 1, length + len(found)
-                df[[terms[t] for t in set(found) if t in terms]] += 1
+        n, length, df = 0, 0, np.zeros(len(shared.value), np.int64)
+        for texts in slices(batches, 0):
+            place, slot, all_tokens = _asked_tokens(texts.column(0), shared.value)
+            n, length = n + texts.num_rows, length + int(all_tokens.sum())
+            df += np.bincount(counted(place, slot, len(df))[1], minlength=len(df))
         used = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array([-2, -1, *used.tolist()]), pa.array([n, length, *df[used].tolist()])], ["slot", "n"])
 
@@ -130,6 +128,32 @@ def best_cells(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero((score > 0) & (score >= least))
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """Runs of at most 1,024 rows and, if of more than one, about 2 MB of text."""
+    for batch in batches:
+        n_bytes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        block = np.cumsum(n_bytes, dtype=np.int64) >> 21
+        cuts = np.union1d(np.flatnonzero(np.diff(block)) + 1, np.arange(0, batch.num_rows, 1024)).tolist() + [batch.num_rows]
+        for lo, hi in pairwise(cuts):
+            yield batch.slice(int(lo), int(hi - lo))
+
+
+def _asked_tokens(texts: pa.Array, terms: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place of the text, slot) of every token that is one of ``terms``, and the number of all tokens of each text."""
+    place, found, code = tokens_in(texts)
+    slot = pc.fill_null(pc.index_in(found, value_set=terms), -1).to_numpy(zero_copy_only=False)[code]
+    return place[slot >= 0], slot[slot >= 0], np.bincount(place, minlength=len(texts))
+
+
+def _running_best(top: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` largest scores of each query so far, and (row, query) of the positive scores here that are among them; ties at the cut stay."""
+    top = np.vstack([top, score])
+    if len(top) > k:
+        top = np.partition(top, -k, axis=0)[-k:]
+    row, q = np.nonzero((score > 0) & (score >= (top[0] if len(top) == k else 0)))
+    return top, row, q
+
+
 def bm25(corpus: DataFrame, queries: DataFrame, k: int | None = 8, k1: float = 1.5, b: float = 0.75, max_queries: int = 1024, matrix_bytes: int = 64_000_000) -> DataFrame:
     """Positive BM25 scores of each query, best first (5.1, 7.1). A query's terms count once.
 
@@ -151,24 +175,23 @@ def _bm25_block(corpus: DataFrame, queries: DataFrame, block: TermBlock, k: int,
     n, avg_length, df = _term_counts(corpus, block)
     weights = block.matrix * np.log(1.0 + (n - df + 0.5) / (df + 0.5))[:, None]
     names = query_names(queries, block.names)
-    shared = corpus.sparkSession.sparkContext.broadcast((block.terms, weights))
+    shared = corpus.sparkSession.sparkContext.broadcast((pa.array(list(block.terms), pa.string()), weights))
     kinds = {c: f.schema[c].dataType.simpleString() for f, c in ((corpus, "id"), (queries, "query_id"))}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, weights = shared.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                score = np.zeros((part.num_rows, len(names)))
-                for i, text in enumerate(part.column(1).to_pylist()):
-                    found = tokens_of(text)
-                    mine, tf = np.unique(np.array([terms[t] for t in found if t in terms], np.int64), return_counts=True)
-                    if len(mine):
-                        norm = k1 * (1 - b + b * len(found) / (avg_length or 1.0))
-                        score[i] = (tf * (k1 + 1) / (tf + norm)) @ weights[mine]
-                score = np.round(score, DIGITS)
-                row, q = best_cells(score, k)
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), part.column(0).take(pa.array(row)), pa.array(score[row, q])], ["query_id", "id", "score"])
+        top = np.zeros((0, len(names)))
+        for part in slices(batches, 1):
+            place, slot, length = _asked_tokens(part.column(1), terms)
+            text, slot, tf = counted(place, slot, len(terms))
+            impact = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[text] / (avg_length or 1.0)))
+            score = np.zeros((part.num_rows, len(names)))
+            for i, (lo, hi) in enumerate(pairwise(np.searchsorted(text, np.arange(part.num_rows + 1)).tolist())):
+                if lo < hi:
+                    score[i] = impact[lo:hi] @ weights[slot[lo:hi]]
+            score = np.round(score, DIGITS)
+            top, row, q = _running_best(top, score, k)
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), part.column(0).take(pa.array(row)), pa.array(score[row, q])], ["query_id", "id", "score"])
 
     found = corpus.select("id", F.col("text").cast("string")).mapInArrow(run, f"query_id {kinds['query_id']}, id {kinds['id']}, score double")
     return top_k(found, k)
@@ -204,6 +227,25 @@ def _gram_codes(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(raw[:-2] << 16 | raw[1:-1] << 8 | raw[2:], return_counts=True)
 
 
+def _grams_in(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the text, number of the gram) of all trigrams of many texts, text by text."""
+    parts = [(t or "").lower().encode() for t in texts.to_pylist()]
+    raw = np.frombuffer(b"\n".join([*parts, b""]), np.uint8)  # every text ends with a byte of no token
+    inside = _IN_TOKEN[raw]
+    kept = inside.copy()
+    kept[1:] |= inside[:-1]  # a space after each token, the last of its text included
+    joined = np.where(inside, raw, 32)[kept].astype(np.int64)
+    stop = np.concatenate([[0], np.cumsum(kept)])[np.cumsum(np.array([len(p) + 1 for p in parts], np.int64))]
+    size = np.diff(stop, prepend=0)
+    text = np.repeat(np.arange(len(parts)), size)
+    whole = text[3:] == text[:-3]
+    codes = (joined[:-3] << 16 | joined[1:-2] << 8 | joined[2:-1])[whole]
+    short = np.flatnonzero((size > 1) & (size < 4))
+    first = stop[short] - size[short]
+    alone = np.where(size[short] == 2, joined[first], joined[first] << 8 | joined[first + 1])
+    return np.concatenate([text[:-3][whole], short]), np.concatenate([codes, alone])
+
+
 def trigram_cosine(corpus: DataFrame, queries: DataFrame, k: int | None = 8, max_queries: int = 1024, matrix_bytes: int = 64_000_000) -> DataFrame:
     """Positive cosines of trigram bags, best first (7.7, 10.10).
 
@@ -250,21 +292,19 @@ def _trigram_block(corpus: DataFrame, queries: DataFrame, asked: Sequence[Row],
     names = query_names(queries, [r.query_id for r in asked])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                score = np.zeros((part.num_rows, len(norms)))
-                for i, text in enumerate(part.column(1).to_pylist()):
-                    codes, counts = _gram_codes(text)
-                    place = np.searchsorted(grams, codes)
-                    known = place < len(grams)
-                    known[known] = grams[place[known]] == codes[known]
-                    if known.any():
-                        dots = counts[known].astype(float) @ matrix[place[known]]
-                        score[i] = dots / np.maximum(norms * np.sqrt(float((counts * counts).sum())), 1e-300)
-                score = np.round(score, DIGITS)
-                row, q = best_cells(score, k)
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), part.column(0).take(pa.array(row)), pa.array(score[row, q])], ["query_id", "id", "score"])
+        top = np.zeros((0, len(norms)))
+        for part in slices(batches, 1):
+            text, codes = _grams_in(part.column(1))
+            text, codes, n = counted(text, codes, 1 << 24)
+            own = np.sqrt(np.bincount(text, weights=(n * n).astype(float), minlength=part.num_rows))
+            place = np.minimum(np.searchsorted(grams, codes), max(len(grams) - 1, 0))
+            known = grams[place] == codes if len(grams) else np.zeros(len(codes), bool)
+            used, column = np.unique(place[known], return_inverse=True)
+            counts = np.zeros((part.num_rows, len(used)))
+            counts[text[known], column] = n[known]
+            score = np.round((counts @ matrix[used]) / np.maximum(norms * own[:, None], 1e-300), DIGITS)
+            top, row, q = _running_best(top, score, k)
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), part.column(0).take(pa.array(row)), pa.array(score[row, q])], ["query_id", "id", "score"])
 
     found = corpus.select("id", F.col("text").cast("string")).mapInArrow(run, f"query_id {kinds['query_id']}, id {kinds['id']}, score double")
     return top_k(found, k)
