@@ -90,10 +90,11 @@ def run_agent(questions: DataFrame, corpus: DataFrame, seams: Seams | None = Non
     first = materialize(retrieve(open_, corpus, k).withColumn("passes", F.lit(1)))
     lost = open_.join(first.select("query_id").distinct(), "query_id", "left_anti")
     again = lost.select("query_id", F.col("question"), F.array(seams.rewrite(F.col("question"))).alias("hops"))
-    found = first.unionByName(retrieve(again, corpus, k).withColumn("passes", F.lit(2)))
+    # retrieved rows are written, so that their number decides how they meet the texts
+    found = first.unionByName(materialize(retrieve(again, corpus, k).withColumn("passes", F.lit(2))))
     answers = materialize(_answer(found, corpus, seams, authority))
     weak = open_.join(answers.where("not grounded"), "query_id", "left_semi")
-    wide = retrieve(weak, corpus, 2 * k).withColumn("passes", F.lit(3))
+    wide = materialize(retrieve(weak, corpus, 2 * k).withColumn("passes", F.lit(3)))
     second = _answer(wide, corpus, seams, authority)
     kept = answers.where("grounded").unionByName(second)
     claims = F.when(F.col("grounded"), F.col("claims")).otherwise(F.filter("claims", seams.critic))

@@ -154,6 +154,12 @@ def _running_best(top: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarra
     return top, row, q
 
 
+def _nothing_asked(corpus: DataFrame, queries: DataFrame) -> DataFrame:
+    """The result for no queries, without a pass over the corpus."""
+    kinds = {c: f.schema[c].dataType.simpleString() for f, c in ((corpus, "id"), (queries, "query_id"))}
+    return corpus.sparkSession.createDataFrame([], f"query_id {kinds['query_id']}, id {kinds['id']}, score double, rank int")
+
+
 def bm25(corpus: DataFrame, queries: DataFrame, k: int | None = 8, k1: float = 1.5, b: float = 0.75, max_queries: int = 1024, matrix_bytes: int = 64_000_000) -> DataFrame:
     """Positive BM25 scores of each query, best first (5.1, 7.1). A query's terms count once.
 
@@ -166,7 +172,7 @@ def bm25(corpus: DataFrame, queries: DataFrame, k: int | None = 8, k1: float = 1
         return bm25_joined(corpus, queries, k, k1, b)
     parts = [_bm25_block(corpus, queries, block, k, k1, b) for block in term_blocks(queries, max_queries, matrix_bytes)]
     if len(parts) <= 1:
-        return parts[0] if parts else bm25_joined(corpus, queries, k, k1, b)
+        return parts[0] if parts else _nothing_asked(corpus, queries)
     return top_k(reduce(DataFrame.unionByName, map(materialize, parts)).drop("rank"), k)
 
 
@@ -261,7 +267,7 @@ def trigram_cosine(corpus: DataFrame, queries: DataFrame, k: int | None = 8, max
     blocks = [rows] if len(rows) <= max_queries else batched(asked.toLocalIterator(), max_queries)
     parts = [part for block in blocks for part in _by_bytes(block, matrix_bytes, lambda text: set(_gram_codes(text)[0].tolist()))]
     if len(parts) <= 1:
-        return _trigram_block(corpus, queries, [r for part in parts for r in part], k)
+        return _trigram_block(corpus, queries, parts[0], k) if parts else _nothing_asked(corpus, queries)
     return top_k(reduce(DataFrame.unionByName, [materialize(_trigram_block(corpus, queries, part, k)) for part in parts]).drop("rank"), k)
 
 
