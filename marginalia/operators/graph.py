@@ -12,17 +12,40 @@ from marginalia.operators.fusion import first_seen
 from marginalia.plans.scratch import materialize
 
 
+#: Bits by which rows that meet no key are left out before a join, whatever the number of keys: 8 MB as longs.
+_BITS, _PART = 1 << 26, 1 << 16
+
+
+def _meets(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose ``column`` is none of ``keys(key)``; a join must decide on the rest.
+
+    Keys are marked in a bitmap of fixed size, which every task holds, so that rows that meet no
+    key are not shuffled. Of many more keys than bits it leaves out less.
+    """
+    kind = rows.select(column).union(keys.select("key")).schema[0].dataType  # equal keys of two types have one hash
+    spot = lambda c: F.pmod(F.xxhash64(F.col(c).cast(kind)), F.lit(_BITS))
+    words = keys.select(spot("key").alias("spot")).groupBy(F.shiftright("spot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(spot % 64 AS INT))")).alias("bits"))
+    dense = keys.sparkSession.range(_BITS // 64).withColumnRenamed("id", "word").join(words, "word", "left").select("word", F.coalesce("bits", F.lit(0)).alias("bits"))
+    parts = dense.groupBy(F.floor(F.col("word") * 64 / _PART).alias("__part")).agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "bits"))), lambda w: w["bits"]).alias("__bits"))
+    marked = F.broadcast(materialize(parts))
+    spotted = rows.withColumn("__spot", spot(column)).withColumn("__part", F.shiftright("__spot", 16))
+    word = F.get("__bits", F.shiftright(F.col("__spot") % _PART, 6).cast("int"))
+    return spotted.join(marked, "__part").where(F.getbit(word, (F.col("__spot") % 64).cast("int")) == 1).select(*rows.columns)
+
+
 def expand_one_hop(seeds: DataFrame, edges: DataFrame, chunks: DataFrame) -> DataFrame:
     """Neighbours of seed keys (4.3): (key, via, edge_pos), first edge first.
 
     ``seeds(key)``, ``edges(source, target, edge_pos)`` in either direction,
-    ``chunks(key)``: neighbours that are seeds or no chunk are left out.
+    ``chunks(key)``: neighbours that are seeds or no chunk are left out. Edges that meet no seed
+    are not shuffled.
     """
     both = edges.select("edge_pos", F.lit(0).alias("turn"), F.col("source").alias("via"), F.col("target").alias("key")).unionByName(
         edges.select("edge_pos", F.lit(1).alias("turn"), F.col("target").alias("via"), F.col("source").alias("key"))
     )
-    seed = seeds.select("key").distinct()
-    out = both.join(seed.withColumnRenamed("key", "via"), "via", "left_semi").join(seed, "key", "left_anti").join(chunks.select("key").distinct(), "key", "left_semi")
+    seed = materialize(seeds.select("key").distinct())
+    # written, or the planner would move the joins below before it
+    out = materialize(_meets(both, "via", seed)).join(seed.withColumnRenamed("key", "via"), "via", "left_semi").join(seed, "key", "left_anti").join(chunks.select("key").distinct(), "key", "left_semi")
     return first_seen(out.withColumn("pos", F.struct("edge_pos", "turn")), ["key"]).select("key", "via", "edge_pos")
 
 
